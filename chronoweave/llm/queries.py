@@ -7,6 +7,7 @@ from chronoweave.llm.mixing import op4_systematic_mixing
 from chronoweave.llm.quality import op7_quality_rules
 from chronoweave.llm.sharding import op2_rendezvous_sharding
 from chronoweave.llm.simhash import op8_simhash_near_dedup
+from chronoweave.llm.toxicity import op1_kneser_ney_toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -16,7 +17,7 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op2_rendezvous_sharding, op4_systematic_mixing, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op4_systematic_mixing, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
