@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from chronoweave.llm.decontaminate import op9_benchmark_decontamination
+from chronoweave.llm import linededup
+from chronoweave.llm.linededup import op10_winnowed_line_dedup
 from chronoweave.llm.mixing import op4_systematic_mixing
+from chronoweave.llm.pii import op6_information_theoretic_pii
 from chronoweave.llm.quality import op7_quality_rules
 from chronoweave.llm.sharding import op2_rendezvous_sharding
 from chronoweave.llm.simhash import op8_simhash_near_dedup
@@ -17,9 +20,9 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op4_systematic_mixing, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op4_systematic_mixing, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_winnowed_line_dedup": linededup.ORACLE_SQL}
