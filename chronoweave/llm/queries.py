@@ -10,6 +10,7 @@ from chronoweave.llm.pii import op6_information_theoretic_pii
 from chronoweave.llm.quality import op7_quality_rules
 from chronoweave.llm.sharding import op2_rendezvous_sharding
 from chronoweave.llm.simhash import op8_simhash_near_dedup
+from chronoweave.llm.substring import op3_suffix_tree_substring_dedup
 from chronoweave.llm.toxicity import op1_kneser_ney_toxicity
 
 
@@ -20,7 +21,7 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op4_systematic_mixing, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
