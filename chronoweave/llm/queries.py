@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chronoweave.llm.decontaminate import op9_benchmark_decontamination
 from chronoweave.llm import linededup
+from chronoweave.llm.html import op5_site_style_tree_html
 from chronoweave.llm.linededup import op10_winnowed_line_dedup
 from chronoweave.llm.mixing import op4_systematic_mixing
 from chronoweave.llm.pii import op6_information_theoretic_pii
@@ -21,7 +22,7 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op5_site_style_tree_html, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
