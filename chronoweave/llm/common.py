@@ -37,6 +37,11 @@ def positions(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def only(df: DataFrame, flag: Column) -> DataFrame:
+    """Rows where the flag holds. A filter would be pushed below the projections that compute it, which it would repeat."""
+    return df.select("*", F.explode(F.when(flag, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
 def work_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import Work, table, words
+from chronoweave.llm.common import Work, only, table, words
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def disclosing(rows: DataFrame, private: DataFrame, work: Work, th: Thresholds)
     if count <= th.most_in_set:
         hashes = [r[0] for r in some.select(F.xxhash64("term")).limit(th.most_in_set).collect()]
         inside = F.expr(f"filter(terms, x -> xxhash64(x) IN ({', '.join(f'{h}L' for h in hashes) or 'NULL'}))")
-        held = held.withColumn("terms", inside).where(F.size("terms") > 0)
+        held = only(held.withColumn("terms", inside), F.size("terms") > 0)
     else:
         hits = held.select("doc_id", "text_hash", F.explode("terms").alias("term")).join(some, "term").groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("terms"))
         held = rows.join(hits.withColumnRenamed("doc_id", "_id"), ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
@@ -161,7 +161,7 @@ def find(docs: DataFrame, th: Thresholds = Thresholds(), key: str = "doc_id", te
     spans = base_spans(docs, key, text)
     base = work.write(spans.drop("text"))
     rows = spans.select("doc_id", "text_hash", "text")
-    private = work.write(spans.drop("doc_id").where(" or ".join(f"size({k}) > 0" for k, *_ in KINDS)).dropDuplicates(["text_hash"]))
+    private = work.write(only(spans.drop("doc_id"), F.expr(" + ".join(f"size({k})" for k, *_ in KINDS)) > 0).dropDuplicates(["text_hash"]))
     terms = term_spans(rows, private, work, th)
     df = base.join(terms.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
     inside = F.concat(*[F.col(k) for k, *_ in KINDS])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import words
+from chronoweave.llm.common import only, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -106,4 +106,4 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass, with their columns as they were."""
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    return quality_rules(held).where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
+    return only(quality_rules(held), F.col("kept")).select(*[F.col("row").getField(c).alias(c) for c in names])
