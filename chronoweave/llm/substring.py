@@ -34,7 +34,7 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         code = self[word] = xxh64_intdigest(word, 11)
         return code

@@ -23,7 +23,7 @@ from chronoweave.llm.common import Work, table
 @dataclass(frozen=True)
 class Settings:
     #: Labelled documents that the classes are learnt from at most, chosen by hash of their ids. Corpus counts cover all.
-    sample: int = 20_000
+    sample: int = 12_000
     #: log2 of the buckets for words and for bigrams.
     word_bits: int = 20
     pair_bits: int = 20
@@ -45,7 +45,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         code = xxh64_intdigest(word.strip(EDGE).encode(), 7) >> 1
         self[word] = code
