@@ -74,20 +74,20 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 80) -> tu
     while centres and len(centres) < k:
         far = rows.withColumn("_c", F.greatest(*[dot(F.col("v"), _lit(c)) for c in centres]) if len(centres) > 1 else dot(F.col("v"), _lit(centres[0])))
         centres.append(far.orderBy("_c", key).limit(1).select("v").first()[0])
-    assigned, mark = rows.withColumn("cluster", F.lit(0)), None
+    label = F.lit(0)
     for _ in range(rounds):
         if not centres:
             break
         each = F.array(*[F.struct(dot(F.col("v"), _lit(c)).alias("s"), F.lit(-i).alias("n")) for i, c in enumerate(centres)])
-        assigned = rows.withColumn("cluster", -F.array_max(each)["n"])
-        now = assigned.agg(F.sum(F.xxhash64(key, "cluster").cast("decimal(38,0)"))).first()[0]
-        if now == mark:
-            break
-        mark = now
-        for r in mean_vector(assigned, ["cluster"], "v").collect():
+        label = -F.array_max(each)["n"]
+        before = list(centres)
+        for r in mean_vector(rows.withColumn("cluster", label), ["cluster"], "v").collect():
             norm = sum(x * x for x in r["mean"]) ** 0.5
             if norm > 0:
-                centres[r["cluster"]] = [x / norm for x in r["mean"]]
+                centres[r["cluster"]] = [round(x / norm, 12) for x in r["mean"]]
+        if centres == before:  # equal labels give equal centres: one job a round settles both
+            break
+    assigned = rows.withColumn("cluster", label)
     return assigned.select(key, "cluster"), centres
 
 

@@ -83,7 +83,7 @@ def hysteresis_gate(s, d):
 
 def gate_full(s, d):
     df = gt.gate(_rel(s, d), K, I, "rel", -6.0, -9.0, 2, 2, 1, 3)
-    return df.select("channel", F.col("hour").cast("long").alias("hour"), F.col("state").cast("long").alias("state"), r6("gain").alias("gain"), r6(F.col("gain") * F.col("energy"), 5).alias("out_energy"))
+    return df.select("channel", F.col("hour").cast("long").alias("hour"), F.col("state").cast("long").alias("state"), r6("gain").alias("gain"), r6(F.col("gain") * F.col("energy"), 7).alias("out_energy"))
 
 
 GATE_FULL = f"""
@@ -94,7 +94,7 @@ c AS (SELECT *, min(CASE WHEN s = 1 AND p = 0 THEN hour END) OVER (PARTITION BY
       max(CASE WHEN s = 0 AND p = 1 THEN hour END) OVER (PARTITION BY channel ORDER BY hour) AS prv FROM b),
 k AS (SELECT *, CASE WHEN s = 1 THEN 1.0 ELSE greatest(coalesce(CASE WHEN nxt - hour < 3 THEN 0.5 + 0.5 * cos(pi() * (nxt - hour) / 3) END, 0.0),
       coalesce(CASE WHEN hour - prv + 1 < 3 THEN 0.5 + 0.5 * cos(pi() * (hour - prv + 1) / 3) END, 0.0)) END AS gain FROM c)
-SELECT channel, hour, s AS state, round(gain, 6) + 0.0 AS gain, round(gain * energy, 5) + 0.0 AS out_energy FROM k"""
+SELECT channel, hour, s AS state, round(gain, 6) + 0.0 AS gain, round(gain * energy, 7) + 0.0 AS out_energy FROM k"""
 
 
 def gate_runs(s, d):
@@ -421,11 +421,11 @@ OVERLAP_ADD = f"WITH {H} SELECT channel, hour, round(energy, 5) + 0.0 AS energy
 
 def silence_stats(s, d):
     g = gt.gate(_rel(s, d), K, I, "rel", -6.0, -9.0, 2, 2, 1, 3).withColumn("y", F.col("gain") * F.col("energy"))
-    return me.silence_stats(g, K, "y").select("channel", r6("zero_fraction").alias("zero_fraction"), r6("floor_db", 4).alias("floor_db"), r6("peak", 5).alias("peak"))
+    return me.silence_stats(g, K, "y").select("channel", r6("zero_fraction").alias("zero_fraction"), r6("floor_db", 4).alias("floor_db"), r6("peak", 7).alias("peak"))
 
 
-SILENCE = f"""WITH o AS ({GATE_FULL.replace('round(gain * energy, 5) + 0.0', 'gain * energy')})
-SELECT channel, round(avg((out_energy = 0)::INT), 6) + 0.0 AS zero_fraction, round(20 * log10(min(nullif(out_energy, 0)) + 1e-20), 4) + 0.0 AS floor_db, round(max(out_energy), 5) + 0.0 AS peak FROM o GROUP BY 1"""
+SILENCE = f"""WITH o AS ({GATE_FULL.replace('round(gain * energy, 7) + 0.0', 'gain * energy')})
+SELECT channel, round(avg((out_energy = 0)::INT), 6) + 0.0 AS zero_fraction, round(20 * log10(min(nullif(out_energy, 0)) + 1e-20), 4) + 0.0 AS floor_db, round(max(out_energy), 7) + 0.0 AS peak FROM o GROUP BY 1"""
 
 
 def whisper_db(s, d):
