@@ -120,6 +120,9 @@ def disclosing(rows: DataFrame, private: DataFrame, work: Work, th: Thresholds)
     """
     pairs = work.write(company(private, th))
     both = work.write(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= th.support))
+    # A term near several values can't reveal one: its texts near any value bound n(term) from below, before the corpus is read.
+    near_any = pairs.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    both = work.write(both.join(near_any, "term").where(F.col("n_both") >= th.share * F.col("n_near")).drop("n_near"))
     entity = pairs.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     some = both.select("term").distinct()
     count = some.count()
@@ -172,18 +175,20 @@ def find(docs: DataFrame, th: Thresholds = Thresholds(), key: str = "doc_id", te
 def sanitise(docs: DataFrame, th: Thresholds = Thresholds(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with base spans replaced by <kind>, disclosing terms by <term>, and those of most bits removed."""
     found = find(docs, th, key, text).select(F.col("doc_id").alias("_id"), "text_hash", *[k for k, *_ in KINDS], "term").dropDuplicates(["_id", "text_hash"])
-    df = docs.join(found, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("text_hash")))
+    names = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("own_id"), F.col(text).alias("own_text"))
+    df = docs.join(found, F.col("own_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("own_text"), F.lit(""))) == F.col("text_hash")))
     put = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{k}>").alias("r"))
     term = F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["bits"] >= th.remove_bits, "").otherwise("<term>").alias("r")))
     cuts = F.sort_array(F.concat(*[F.transform(F.col(k), put(k)) for k, *_ in KINDS], term))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, x):  # of overlapping spans the first is replaced and the rest of the later cut away
-        kept = F.substring(F.col(text), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+        kept = F.substring(F.col("own_text"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], kept, F.when(x["s"] >= a["at"], x["r"]).otherwise("")).alias("out"))
 
-    clean = F.aggregate(cuts, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(cuts, start, step, lambda a: F.concat(a["out"], F.substring(F.col("own_text"), a["at"] + 1, F.length("own_text"))))
+    return df.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in names])
 
 
 def op6_information_theoretic_pii(spark, sf_dir: str) -> DataFrame:
