@@ -100,5 +100,7 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents; the others keep their columns."""
-    bad = scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.withColumn("_own", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti").drop("_own")
+    bad = scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    left = rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -47,21 +47,22 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with their text cut to the lines kept, and n_lines, n_removed. A null text stays null."""
-    found = repeated_lines(docs, key, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
+    found = repeated_lines(docs, key, text).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "removed")
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias("_own"))
-    df = df.join(found, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    df = df.withColumn("_l", F.split(text, "\n"))
-    left = F.array_except(positions(F.size("_l")), F.col("removed"))
-    cut = F.array_join(F.transform(left, lambda j: F.get(F.col("_l"), j)), "\n")
-    out = [cut_or.alias(c) for c in kept for cut_or in [F.when(F.col("removed").isNull(), F.col(text)).otherwise(cut) if c == text else F.col(f"`{c}`")]]
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size("_l")).cast("long")
-    return df.select(*out, n.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("row"), F.col(key).alias("own_id"), F.col(text).alias("text"), F.xxhash64(text).alias("own_hash"))
+    df = rows.join(found, F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash")), "left")
+    df = df.withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(positions(F.size("lines")), F.col("removed"))
+    cut = F.array_join(F.transform(left, lambda j: F.get(F.col("lines"), j)), "\n")
+    cut = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    gone = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
+    return df.select(*[(cut if c == text else F.col("row").getField(c)).alias(c) for c in kept], n.alias("n_lines"), gone.alias("n_removed"))
 
 
 def op10_winnowed_line_dedup(spark, sf_dir: str) -> DataFrame:
     df = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return df.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same rows by comparing windows whole. doc_id is taken as unique, as it is in the table.
