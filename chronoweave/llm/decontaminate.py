@@ -104,3 +104,19 @@ def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
     left = rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti")
     return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows by comparing windows whole. doc_id is taken as unique, as it is in the table.
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+bn AS (SELECT item, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' '))) AS s FROM bn),
+l AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS i, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' '))) AS s FROM t, l WHERE len(w) >= n),
+h AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, s)),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, (SELECT unnest(range(13)) AS k) WHERE k < n GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM t LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
+"""

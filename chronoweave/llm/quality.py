@@ -107,3 +107,22 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
     return only(quality_rules(held), F.col("kept")).select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
+#: The same rows by comparing windows whole.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS s FROM d WHERE len(w) >= 8),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY 1),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+  len(list_filter(w, lambda x: list_contains([{', '.join(repr(x) for x in dict.fromkeys(STOP_WORDS))}], x)))::BIGINT AS n_stop_words,
+  len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•‣▪]'))) AS n_bullet
+  FROM d LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_stop_words,
+  NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / n_words <= 0.5 AND n_stop_words / n_words >= 0.01
+  AND n_dup_lines / n_lines <= 0.5 AND n_ellipsis / n_lines <= 0.5 AND n_bullet / n_lines <= 0.9 AS kept FROM b
+"""

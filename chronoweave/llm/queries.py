@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chronoweave.llm.decontaminate import op9_benchmark_decontamination
-from chronoweave.llm import linededup
+from chronoweave.llm import decontaminate, linededup, quality, substring
 from chronoweave.llm.html import op5_site_style_tree_html
 from chronoweave.llm.linededup import op10_winnowed_line_dedup
 from chronoweave.llm.mixing import op4_systematic_mixing
@@ -27,4 +27,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_winnowed_line_dedup": linededup.ORACLE_SQL}
+    return {
+        "op3_suffix_tree_substring_dedup": substring.ORACLE_SQL,
+        "op7_quality_rules": quality.ORACLE_SQL,
+        "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op10_winnowed_line_dedup": linededup.ORACLE_SQL,
+    }

@@ -276,3 +276,16 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
 def op3_suffix_tree_substring_dedup(spark, sf_dir: str) -> DataFrame:
     df = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows by comparing windows whole. doc_id is taken as unique, as it is in the table.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(len(w) - 34)) AS i, unnest(list_transform(range(len(w) - 34), lambda i: md5(array_to_string(w[i + 1:i + 35], ' ')))) AS s FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(35)) AS k)),
+x AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
