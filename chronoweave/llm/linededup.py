@@ -1,7 +1,8 @@
 """Line dedup by winnowing over line hashes.
 
-Lines that hold a word, trimmed, are hashed. Every window of WINDOW lines marks its least hash (the rightmost of equals),
-so a run of WINDOW lines that occurs twice has the same mark at the same place in both. Marks that occur once are dropped.
+Lines that hold a word, trimmed, are hashed. A window is WINDOW lines, and also the fewest lines that hold ENOUGH words
+where these are fewer, so its end follows from its text alone. Every window marks its least hash (the rightmost of
+equals), so a window that occurs twice has the same mark at the same place in both. Marks that occur once are dropped.
 Around the others the match is extended both ways, window by window, and of equal windows all but the first, in order of
 doc_id, text hash and line, lose their lines; adjoining windows make up the repeated runs.
 """
@@ -11,28 +12,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import SPACES, Work, positions, table
+from chronoweave.llm.common import SPACES, Work, positions, table, word_count
 
 WINDOW = 3
+#: Words from which one or two lines are a window, too: a long passage counts however few lines it has.
+ENOUGH = 50
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per distinct (key, text): marks, each with the windows that it stands for (start, content hash, line numbers)."""
     df = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("_l"))
     df = df.withColumn("_h", F.filter(F.transform("_l", lambda x, j: F.struct(j.alias("j"), F.btrim(x, F.lit(SPACES)).alias("s"))), lambda x: x["s"] != ""))
-    df = df.withColumn("_h", F.transform("_h", lambda x: F.struct(x["j"].alias("j"), F.xxhash64(x["s"]).alias("h")))).drop("_l")
+    df = df.withColumn("_h", F.transform("_h", lambda x: F.struct(x["j"].alias("j"), F.xxhash64(x["s"]).alias("h"), word_count(x["s"]).alias("n")))).drop("_l")
     h = F.col("_h")
-    least = lambda i: F.least(*[F.struct(F.get(h, i + k)["h"].alias("h"), (-(i + k)).alias("at")) for k in range(WINDOW)])
-    whole = lambda i: F.xxhash64(*[F.get(h, i + k)["h"] for k in range(WINDOW)])
-    numbers = lambda i: F.array(*[F.get(h, i + k)["j"] for k in range(WINDOW)])
-    window = lambda i: F.struct(least(i)["h"].alias("mark"), i.cast("int").alias("at"), whole(i).alias("whole"), numbers(i).alias("lines"))
-    return df.select("doc_id", "text_hash", F.inline(F.transform(positions(F.size(h) - (WINDOW - 1)), window)))
+
+    def fewest(i):  # lines that hold enough words, null if these aren't fewer than a window's
+        n, held = F.when(F.get(h, i)["n"] >= ENOUGH, 1), F.get(h, i)["n"]
+        for k in range(1, WINDOW - 1):
+            held = held + F.get(h, i + k)["n"]
+            n = n.when(held >= ENOUGH, k + 1)
+        return n
+
+    own = lambda x, k, value: F.when(x["n"] > k, value)
+    line = lambda x, k: F.get(h, x["i"] + k)
+    least = lambda x: F.least(*[own(x, k, F.struct(line(x, k)["h"].alias("h"), (-(x["i"] + k)).alias("at"))) for k in range(WINDOW)])
+    whole = lambda x: F.xxhash64(*[own(x, k, line(x, k)["h"]) for k in range(WINDOW)])
+    numbers = lambda x: F.slice(F.array(*[line(x, k)["j"] for k in range(WINDOW)]), 1, x["n"])
+    window = lambda x: F.struct(least(x)["h"].alias("mark"), x["i"].cast("int").alias("at"), whole(x).alias("whole"), numbers(x).alias("lines"))
+    place = lambda i, n: F.struct(i.alias("i"), n.cast("int").alias("n"))
+    usual = F.transform(positions(F.size(h) - (WINDOW - 1)), lambda i: place(i, F.lit(WINDOW)))
+    short = F.filter(F.transform(positions(F.size(h)), lambda i: place(i, fewest(i))), lambda x: x["n"].isNotNull())
+    places = F.concat(usual, short)
+    return df.select("doc_id", "text_hash", F.inline(F.transform(places, window)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, removed: sorted numbers (from 0) of the lines that later repeated runs hold.
 
-    Rows that repeat id and text are one document. Null, empty and short texts have no windows and don't appear.
+    Rows that repeat id and text are one document. Null and empty texts, and short ones of under WINDOW lines, have no
+    windows and don't appear.
     """
     work = Work(docs.sparkSession, "lines")
     rows = work.write(_lines(docs, key, text).distinct())
@@ -71,9 +89,11 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
 x AS (SELECT doc_id, unnest(range(len(ls))) AS j, unnest(ls) AS raw FROM l),
 nb AS (SELECT doc_id, j, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS r FROM nb WHERE s <> ''),
-w AS (SELECT doc_id, r, s AS a, lead(s) OVER d AS b, lead(s, 2) OVER d AS c FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY r)),
-later AS (SELECT doc_id, r FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, r) AS k FROM w WHERE c IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, r + k AS r FROM later, (VALUES (0), (1), (2)) AS t(k)),
+s3 AS (SELECT doc_id, r, s AS a, lead(s) OVER d AS b, lead(s, 2) OVER d AS c, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS na FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY r)),
+s2 AS (SELECT *, CASE WHEN na >= 50 THEN 1 WHEN na + len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) >= 50 THEN 2 END AS n FROM s3),
+w AS (SELECT doc_id, r, 3 AS n, a, b, c FROM s2 WHERE c IS NOT NULL UNION ALL SELECT doc_id, r, n, a, CASE WHEN n = 2 THEN b END, NULL FROM s2 WHERE n IS NOT NULL),
+later AS (SELECT doc_id, r, n FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, r) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, r + k AS r FROM later, (VALUES (0), (1), (2)) AS t(k) WHERE k < n),
 gone_j AS (SELECT doc_id, j FROM gone JOIN r USING (doc_id, r)),
 kept AS (SELECT x.doc_id, string_agg(raw, chr(10) ORDER BY x.j) AS text FROM x ANTI JOIN gone_j USING (doc_id, j) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n FROM gone_j GROUP BY 1)

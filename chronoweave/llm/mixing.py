@@ -7,11 +7,11 @@ Ordering by size keeps the words taken within about one large document of the ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronoweave.llm.common import SPACE_RUN, Work, table
+from chronoweave.llm.common import Work, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -21,10 +21,6 @@ SEED = 17
 CELLS = 64
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE_RUN.replace("[", "[^"))).cast("long")
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Target of each source, from (source, source_size): weights repeat over sources by code point, null last.
 
