@@ -111,10 +111,11 @@ def _tagged(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
 
 
-def disclosing(rows: DataFrame, private: DataFrame, work: Work, th: Thresholds) -> tuple[DataFrame, DataFrame]:
+def disclosing(rows: DataFrame, texts: DataFrame, private: DataFrame, work: Work, th: Thresholds) -> tuple[DataFrame, DataFrame]:
     """(term, bits) past the thresholds, and (doc_id, text_hash, text, terms) of the texts that hold candidates.
 
-    rows: doc_id, text_hash, text of the corpus; private: the distinct texts with base spans.
+    rows: doc_id, text_hash, text of the corpus; texts: its text hashes, already written; private: the distinct texts
+    with base spans.
     n(term) and the number of texts N run over all distinct texts of the corpus, not only those with protected values.
     bits = log2(n(entity, term) * N / (n(entity) * n(term))).
     """
@@ -136,16 +137,16 @@ def disclosing(rows: DataFrame, private: DataFrame, work: Work, th: Thresholds)
         held = rows.join(hits.withColumnRenamed("doc_id", "_id"), ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     held = work.write(held)
     term = held.select("text_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.select("text_hash").distinct().agg(F.count("*").alias("n"))
-    df = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))
-    bits = F.log2(F.col("n_both").cast("double") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    total = texts.select("text_hash").distinct().count()
+    df = both.join(entity, "entity").join(term, "term")
+    bits = F.log2(F.col("n_both").cast("double") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     df = df.withColumn("bits", bits).where((F.col("n_both") >= th.share * F.col("n_term")) & (F.col("bits") >= th.bits))
     return work.write(df.groupBy("term").agg(F.max("bits").alias("bits"))), held
 
 
-def term_spans(rows: DataFrame, private: DataFrame, work: Work, th: Thresholds) -> DataFrame:
+def term_spans(rows: DataFrame, texts: DataFrame, private: DataFrame, work: Work, th: Thresholds) -> DataFrame:
     """doc_id, text_hash, term: spans (s, e, bits) of disclosing terms, outside base spans, in order."""
-    terms, held = disclosing(rows, private, work, th)
+    terms, held = disclosing(rows, texts, private, work, th)
     df = held.select("doc_id", "text_hash", "text", F.explode("terms").alias("term")).join(terms, "term")
     edge = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in EDGE) + "\\x20\\x09-\\x0D]"
     rx = F.concat(F.lit(f"(?<=^|{edge})\\Q"), F.col("term"), F.lit(f"\\E(?=$|{edge})"))
@@ -165,7 +166,7 @@ def find(docs: DataFrame, th: Thresholds = Thresholds(), key: str = "doc_id", te
     base = work.write(spans.drop("text"))
     rows = spans.select("doc_id", "text_hash", "text")
     private = work.write(only(spans.drop("doc_id"), F.expr(" + ".join(f"size({k})" for k, *_ in KINDS)) > 0).dropDuplicates(["text_hash"]))
-    terms = term_spans(rows, private, work, th)
+    terms = term_spans(rows, base, private, work, th)
     df = base.join(terms.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
     inside = F.concat(*[F.col(k) for k, *_ in KINDS])
     clear = F.filter("term", lambda t: ~F.exists(inside, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
