@@ -39,6 +39,10 @@ class Settings:
 EDGE = ".,;:!?\"'()[]{}*#$%&<>|«»¡¿…"
 
 
+#: Characters whose words are handled at a time; a longer text is handled alone.
+PART = 2_000_000
+
+
 class _Codes(dict):
     """Word (lower case, edges stripped) to a 64-bit code; kept for the words of a task, up to a bound."""
 
@@ -66,6 +70,16 @@ def _tokens(texts: list[str | None], codes: _Codes) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(out) if out else np.zeros(0, np.int64)), sizes
 
 
+def _parts(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about PART characters: word arrays are held for one run at a time, whatever a batch holds."""
+    lo = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= PART or k == len(texts) - 1:
+            yield slice(lo, k + 1)
+            lo, size = k + 1, 0
+
+
 def _before(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The word before each, the start mark for the first of a text."""
     v = np.empty_like(w)
@@ -108,33 +122,36 @@ def _gather(ids: np.ndarray, toxic: np.ndarray, s: Settings):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[p]), kind, np.int32)), *(pa.array(x[p]) for x in (key, a, b, c))], ["kind", "key", "a", "b", "c"])
 
         for batch in batches:
-            w, sizes = _tokens(batch.column(1).to_pylist(), codes)
-            if not len(w):
-                continue
-            v = _before(w, sizes)
-            bucket = w & mask
-            h = _spread(v)
-            cls = (h & np.uint64(63)).view(np.int64)
-            seen[bucket * 64 + cls] = True
-            for level, bits in enumerate((6, 12)):
-                pick = (h >> np.uint64(20) & np.uint64((1 << bits) - 1)) == 0
-                np.bitwise_or.at(rare[level], bucket[pick], np.uint64(1) << cls[pick].view(np.uint64))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.array([-1 if x is None or x != x else int(x) for x in own], np.int64)
-            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-            hit = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-            for t in (0, 1):
-                docs = hit & (toxic[at] == t) if len(ids) else hit
-                pick = np.repeat(docs, sizes)
-                if pick.any():
-                    text = np.repeat(np.arange(len(sizes)), sizes)[pick]
-                    code = _pair(v[pick], w[pick])
-                    order = np.lexsort((text, code))
-                    once = np.concatenate(([True], (np.diff(code[order]) != 0) | (np.diff(text[order]) != 0)))
-                    at_once = order[once]  # a text counts a bigram once, however often it repeats it
-                    code, first, n = np.unique(code[at_once], return_index=True, return_counts=True)
-                    first = at_once[first]
-                    yield from rows(1 + t, code, (v[pick] & mask)[first], bucket[pick][first], n)
+            texts = batch.column(1).to_pylist()
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = np.array([-1 if x is None or x != x else int(x) for x in keys], np.int64)
+            for part in _parts(texts):
+                w, sizes = _tokens(texts[part], codes)
+                if not len(w):
+                    continue
+                own = keys[part]
+                v = _before(w, sizes)
+                bucket = w & mask
+                h = _spread(v)
+                cls = (h & np.uint64(63)).view(np.int64)
+                seen[bucket * 64 + cls] = True
+                for level, bits in enumerate((6, 12)):
+                    pick = (h >> np.uint64(20) & np.uint64((1 << bits) - 1)) == 0
+                    np.bitwise_or.at(rare[level], bucket[pick], np.uint64(1) << cls[pick].view(np.uint64))
+                at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+                hit = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
+                for t in (0, 1):
+                    docs = hit & (toxic[at] == t) if len(ids) else hit
+                    pick = np.repeat(docs, sizes)
+                    if pick.any():
+                        text = np.repeat(np.arange(len(sizes)), sizes)[pick]
+                        code = _pair(v[pick], w[pick])
+                        order = np.lexsort((text, code))
+                        once = np.concatenate(([True], (np.diff(code[order]) != 0) | (np.diff(text[order]) != 0)))
+                        at_once = order[once]  # a text counts a bigram once, however often it repeats it
+                        code, first, n = np.unique(code[at_once], return_index=True, return_counts=True)
+                        first = at_once[first]
+                        yield from rows(1 + t, code, (v[pick] & mask)[first], bucket[pick][first], n)
         full = np.ascontiguousarray(np.packbits(seen.reshape(-1, 64), axis=1, bitorder="little")).view(np.int64).ravel()
         some = np.flatnonzero(full)
         yield from rows(0, some, full[some], rare[0][some].view(np.int64), rare[1][some].view(np.int64))
@@ -164,6 +181,10 @@ class Model:
 
         All four are 0 for a text without words.
         """
+        parts = [self._evidence(texts[part], codes) for part in _parts(texts)]
+        return np.concatenate(parts) if parts else np.zeros((0, 4))
+
+    def _evidence(self, texts: list[str | None], codes: _Codes) -> np.ndarray:
         w, sizes = _tokens(texts, codes)
         out = np.zeros((len(texts), 4))
         if not len(w):
