@@ -1,8 +1,9 @@
 """Personal data, and information-theoretic sanitisation of what gives it away.
 
 Base spans come from four patterns and their checks. Around each, the corpus shows which terms keep company with which
-protected value: a term that, over all distinct texts, mostly occurs near one value, and far oftener than chance, discloses
-it. Terms past the threshold are generalised, and past a higher one removed, wherever they occur.
+protected entity: a term that, over all distinct texts, mostly occurs near one entity, and far oftener than chance,
+discloses it. Entities are the values themselves and what recurs where values don't: kinds, mail domains and names,
+networks, card issuers and number prefixes. Terms past the threshold are generalised, and past a higher one removed, wherever they occur.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ from chronoweave.llm.common import Work, only, table, words
 class Thresholds:
     #: Code points on each side of a value in which whole words count as its company.
     reach: int = 64
-    #: Least number of distinct texts in which the term keeps the value's company.
+    #: Least number of distinct texts in which the term keeps the entity's company.
     support: int = 3
     #: Least share of the term's texts in which it does, and least bits of information.
     share: float = 0.5
     bits: float = 6.0
     #: Bits from which a term is removed instead of generalised.
     remove_bits: float = 12.0
-    #: Least length of a term.
-    length: int = 4
     #: Terms up to which a set of their hashes travels with the tasks (8 bytes each); beyond it a join takes its place.
     most_in_set: int = 100_000
 
@@ -87,14 +86,30 @@ def _checked(check):
     return lambda x: check(x["v"])
 
 
-def _terms(found: Column, least: int) -> Column:
-    """Words without their edge punctuation, long enough and free of digits and @."""
+def _terms(found: Column) -> Column:
+    """Words without their edge punctuation."""
     stripped = F.transform(found, lambda w: F.btrim(w, F.lit(EDGE)))
-    return F.filter(F.array_distinct(stripped), lambda w: (F.length(w) >= least) & ~w.rlike("[0-9@]"))
+    return F.filter(F.array_distinct(stripped), lambda w: w != "")
+
+
+def entities(kind: Column, value: Column) -> Column:
+    """What a value stands for, as (what, of) with its kind: the value, the kind, and the parts that values share."""
+    entity = lambda what, of: F.struct(F.lit(what).alias("what"), of.alias("of"))
+    domain, digits = F.lower(F.substring_index(value, "@", -1)), _digits(value)
+    parts = {
+        "email": [("name", F.substring_index(value, "@", 1)), ("domain", domain), ("site", F.substring_index(domain, ".", -2))],
+        "ip": [("network", F.concat(F.substring_index(value, ".", n), F.lit("."))) for n in (1, 2, 3)],
+        "card": [("issuer", F.substring(digits, 1, 6))],
+        "phone": [("prefix", F.substring(digits, 1, n)) for n in range(1, 8)],
+    }
+    own = F.lit(None)
+    for k, found in parts.items():
+        own = F.when(kind == k, F.array(*[entity(*x) for x in found])).otherwise(own)
+    return F.concat(F.array(entity("value", value), entity("kind", F.lit(""))), own)
 
 
 def company(spans: DataFrame, th: Thresholds) -> DataFrame:
-    """(text_hash, entity, term): terms near each protected value, once for each distinct text."""
+    """(text_hash, entity, term): terms near each protected entity, once for each distinct text."""
     all_spans = F.concat(*[F.transform(F.col(k), _tagged(k)) for k, *_ in KINDS])
     df = spans.select("text_hash", "text", F.explode(all_spans).alias("x"))
     s, e, r = F.col("x.s"), F.col("x.e"), th.reach
@@ -103,8 +118,9 @@ def company(spans: DataFrame, th: Thresholds) -> DataFrame:
     # Words cut by the reach don't count.
     left = F.when(s > r, F.regexp_replace(left, "^[^\\x20\\x09-\\x0D]*", "")).otherwise(left)
     right = F.when(F.length(right) == r, F.regexp_replace(right, "[^\\x20\\x09-\\x0D]*+$", "")).otherwise(right)
-    near = _terms(F.concat(words(left), words(right)), th.length)
-    return df.select("text_hash", F.xxhash64(F.col("x.k"), F.col("x.v")).alias("entity"), F.explode(near).alias("term")).distinct()
+    near = _terms(F.concat(words(left), words(right)))
+    df = df.select("text_hash", F.col("x.k").alias("k"), F.explode(entities(F.col("x.k"), F.col("x.v"))).alias("of"), near.alias("terms"))
+    return df.select("text_hash", F.xxhash64("k", "of.what", "of.of").alias("entity"), F.explode("terms").alias("term")).distinct()
 
 
 def _tagged(kind: str):
@@ -121,13 +137,13 @@ def disclosing(rows: DataFrame, texts: DataFrame, private: DataFrame, work: Work
     """
     pairs = work.write(company(private, th))
     both = work.write(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= th.support))
-    # A term near several values can't reveal one: its texts near any value bound n(term) from below, before the corpus is read.
+    # A term near several entities of a sort can't reveal one: its texts near any value bound n(term) from below, before the corpus is read.
     near_any = pairs.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     both = work.write(both.join(near_any, "term").where(F.col("n_both") >= th.share * F.col("n_near")).drop("n_near"))
     entity = pairs.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     some = both.select("term").distinct()
     count = some.count()
-    held = rows.select("doc_id", "text_hash", "text", _terms(words(F.col("text")), th.length).alias("terms"))
+    held = rows.select("doc_id", "text_hash", "text", _terms(words(F.col("text"))).alias("terms"))
     if count <= th.most_in_set:
         hashes = [r[0] for r in some.select(F.xxhash64("term")).limit(th.most_in_set).collect()]
         inside = F.expr(f"filter(terms, x -> xxhash64(x) IN ({', '.join(f'{h}L' for h in hashes) or 'NULL'}))")

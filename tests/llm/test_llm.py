@@ -317,6 +317,17 @@ def test_pii_terms(spark, most):
     assert clean[99] == "was <term>: there" and "<email>" in clean[0] and "boss@" not in clean[0] and clean[10] == dict(far)[10]
 
 
+def test_pii_terms_of_entities_that_recur(spark):
+    r = random.Random(4)
+    value = {"a": "boss{}@firm.example.com", "b": "10.7.{}.9", "c": "+44 (171) 555-10{}0"}
+    near = [(100 * k + i, f"{prose(r, 12)} {term} {value[c].format(i)} {prose(r, 3)}") for k, (term, c) in enumerate((("Q7", "a"), ("xy", "b"), ("AB-12", "c"))) for i in range(6)]
+    far = [(1000 + i, prose(r, 30)) for i in range(60)]
+    df = spark.createDataFrame([*near, *far, (2000, "was Q7: xy, (AB-12) there")], "doc_id long, text string")
+    got = {x.doc_id: [(t.s, t.e) for t in x.term] for x in pii.find(df, pii.Thresholds(bits=2.0)).collect()}
+    assert got[2000] == [(4, 6), (8, 10), (13, 18)]
+    assert all(len(got[i]) == 1 for i, _ in near) and not any(got[i] for i, _ in far)
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>H</header><nav><a>menu</a></nav><div class="content"><p>One &amp; two<br>x&nbsp; y</p>
       <div class="sidebar">side</div><ul><li>a<li>b</ul><form>f</form><!-- c --></div><div id="comments">no</div><script>var t="</p>";</script><footer>F</footer></body>"""
