@@ -48,7 +48,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NOISE = frozenset("nav aside footer form menu dialog".split())
 _MAIN = frozenset(("article", "main"))
 _SAYS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-?nav|nav|navbar|navigation|menu|breadcrumbs?|footer|site-header|masthead|cookies?|consent|notice|notification|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|replies|complementary|contentinfo)(?:$|[\s_-])", re.I)
-_CONTAINERS = frozenset("div section table ul ol dl aside header footer nav form".split())
+#: Layout words that say what a wrapper has beside it, not what it is.
+_BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without)[-_]\S*", re.I)
 
 
 @dataclass
@@ -116,7 +117,7 @@ def blocks(html: str | None) -> tuple[list[Block], list[tuple[tuple[str, ...], t
             continue
         said = " ".join(x[1] or x[2] or x[3] for x in _NAMES.findall(m[4])) if m[4] else ""
         top = stack[-1]
-        noise = top.noise or tag in _NOISE or (tag == "header" and not top.main) or bool(said and tag not in ("body", "html", "article", "main") and _SAYS.search(said))
+        noise = top.noise or tag in _NOISE or (tag == "header" and not top.main) or bool(said and tag not in ("body", "html", "article", "main") and _SAYS.search(_BESIDE.sub("", said)))
         style = f"{tag}.{said}" if said else tag
         top.children.append(style)
         stack.append(_Open(tag, style, noise, top.main or tag in _MAIN))
@@ -202,7 +203,7 @@ def _text(html: str | None, low: dict[int, float], s: Settings) -> str:
         if low:
             paths = (x.path[:k] for k in range(1, len(x.path) + 1))
             if article:
-                bad = any(low.get(_hash(*p), 1.0) < s.inside for p in paths if p[-1].partition(".")[0] in _CONTAINERS and any(y.partition(".")[0] in _MAIN for y in p[:-1]))
+                bad = any(low.get(_hash(*p), 1.0) < s.inside for p in paths if any(y.partition(".")[0] in _MAIN for y in p[:-1]))
             else:
                 bad = any(_hash(*p) in low for p in paths if p[-1].partition(".")[0] not in ("html", "body"))
             if bad:

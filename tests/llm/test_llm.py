@@ -342,6 +342,13 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_inside_articles_and_layout_words(spark):
+    page = "<body><div class='page has-sidebar no-sidebar with-nav'><article><h2>Our daily paper</h2><p>Story number {} is its own</p></article><div class='sidebar'>side</div></div></body>"
+    df = spark.createDataFrame([(i, "http://a.example/", page.format(i)) for i in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: f"Story number {i} is its own" for i in range(8)}
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(5)
     bad = ["zounds", "blasted", "wretch", "knave"]
