@@ -1,7 +1,7 @@
 """HTML extraction by a site style tree.
 
 Pages of a host are merged into one tree of styles: a node is the path of block elements with their classes, and counts
-its pages, its child styles and the contents of its text blocks. A node's importance is made of the entropy of its
+its distinct pages, its child styles and the contents of its text blocks. A node's importance is made of the entropy of its
 presentation (many child styles: varied, likely content) and of its contents (a block seen on every page carries
 nothing). Branches of low importance, and those whose elements or classes say what they are, are cut from each page.
 """
@@ -9,7 +9,6 @@ nothing). Branches of low importance, and those whose elements or classes say wh
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -23,7 +22,7 @@ from chronoweave.llm.common import Work, table
 
 @dataclass(frozen=True)
 class Settings:
-    #: Least pages of a host with a node before its entropy counts.
+    #: Least distinct pages of a host with a node before its entropy counts.
     pages: int = 4
     #: Importance under which a branch goes, outside and inside an article.
     outside: float = 0.25
@@ -70,7 +69,7 @@ class _Open:
 
 
 def blocks(html: str | None) -> tuple[list[Block], list[tuple[tuple[str, ...], tuple[str, ...]]]]:
-    """Text blocks in page order, and each element's path with the styles of its children."""
+    """Text blocks in page order, and each element's path with the styles of its children; noise is marked in blocks and left out of paths and styles."""
     out: list[Block] = []
     nodes: list[tuple[tuple[str, ...], tuple[str, ...]]] = []
     stack = [_Open("", "", False, False)]
@@ -87,7 +86,8 @@ def blocks(html: str | None) -> tuple[list[Block], list[tuple[tuple[str, ...], t
 
     def close(k: int) -> None:
         while len(stack) > k:
-            nodes.append((path(), tuple(stack[-1].children)))
+            if not stack[-1].noise:
+                nodes.append((path(), tuple(stack[-1].children)))
             stack.pop()
 
     at = 0
@@ -119,7 +119,8 @@ def blocks(html: str | None) -> tuple[list[Block], list[tuple[tuple[str, ...], t
         top = stack[-1]
         noise = top.noise or tag in _NOISE or (tag == "header" and not top.main) or bool(said and tag not in ("body", "html", "article", "main") and _SAYS.search(_BESIDE.sub("", said)))
         style = f"{tag}.{said}" if said else tag
-        top.children.append(style)
+        if not noise:
+            top.children.append(style)
         stack.append(_Open(tag, style, noise, top.main or tag in _MAIN))
     if at < len(html):
         text.append(html[at:])
@@ -140,46 +141,49 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, kind, what, n), added up for a task's pages. kind 0: pages; 1: child styles; 2: contents below it."""
-    seen: Counter = Counter()
+_ENTRIES = "array<struct<node:long,kind:int,what:long>>"
 
-    def rows():
-        keys, n = list(seen), list(seen.values())
-        cols = [list(c) for c in zip(*keys, strict=True)]
-        types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(n, pa.int64())], ["host", "node", "kind", "what", "n"])
-        seen.clear()
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, copy, entries) of each page: copy is the same for pages of the same texts, and entries are (node, kind, what).
+
+    kind 0: the node itself; 1: its child styles; 2: contents below it. Noise is left out, of texts and entries alike: it
+    goes whatever its importance, and pages that differ in it alone are copies.
+    """
     for b in batches:
+        hosts, copies, ends = [], [], [0]
+        columns: tuple[list[int], list[int], list[int]] = ([], [], [])
         for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = host(url)
             found, nodes = blocks(html)
+            found = [x for x in found if not x.noise]
             mine = set()
             for path, children in nodes:
                 node = _hash(*path)
-                mine.add((h, node, 0, 0))
+                mine.add((node, 0, 0))
                 if children:
-                    mine.add((h, node, 1, _hash(*dict.fromkeys(children))))
+                    mine.add((node, 1, _hash(*dict.fromkeys(children))))
             for x in found:
                 content = _hash(x.text)
                 for k in range(1, len(x.path) + 1):
-                    mine.add((h, _hash(*x.path[:k]), 2, content))
-            seen.update(mine)
-        if len(seen) > 400_000:
-            yield from rows()
-    if seen:
-        yield from rows()
+                    mine.add((_hash(*x.path[:k]), 2, content))
+            for x in sorted(mine):
+                for c, v in zip(columns, x, strict=True):
+                    c.append(v)
+            hosts.append(host(url)), copies.append(_hash(*(x.text for x in found))), ends.append(len(columns[0]))
+        types = (pa.int64(), pa.int32(), pa.int64())
+        entries = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "kind", "what"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["host", "copy", "entries"])
 
 
 def low_nodes(pages: DataFrame, work: Work, s: Settings) -> DataFrame:
     """(host, node, importance) of the nodes under the outer threshold.
 
     With m pages, presentation is -sum p log_m p over child styles, and contents 1 - mean log_m(c) over blocks, c the
-    pages that hold a block.
+    pages that hold a block. Pages of a host with the same texts are copies and count once, with the least of their entries.
     """
-    counts = pages.select("url", "html").mapInArrow(_counts, "host string, node long, kind int, what long, n long")
-    counts = work.write(counts).groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
+    entries = pages.select("url", "html").mapInArrow(_entries, f"host string, copy long, entries {_ENTRIES}")
+    distinct = work.write(entries).groupBy("host", "copy").agg(F.min("entries").alias("entries"))
+    counts = distinct.select("host", F.inline("entries")).groupBy("host", "node", "kind", "what").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     per = counts.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, n)).alias("m"),
@@ -215,8 +219,8 @@ def _text(html: str | None, low: dict[int, float], s: Settings) -> str:
 def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """page_id, url and the main text of each row, "" if there is none; a null html is empty, a null url a host of its own.
 
-    An article, where a page has one, is its main text; without one all of the body is, less what is cut. Repeated rows
-    count as pages and get the same text.
+    An article, where a page has one, is its main text; without one all of the body is, less what is cut. Copies
+    count as one page, and repeated rows get the same text.
     """
     work = Work(pages.sparkSession, "pages")
     low = low_nodes(pages, work, s)

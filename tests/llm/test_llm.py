@@ -349,6 +349,16 @@ def test_html_tree_inside_articles_and_layout_words(spark):
     assert got == {i: f"Story number {i} is its own" for i in range(8)}
 
 
+@pytest.mark.parametrize("n", [3, 5, 300])
+def test_html_copies_keep_their_text(spark, n):
+    one = "<body><nav>menu {}</nav><article><div class='body'><p>The only story here</p></div></article></body>"
+    four = "<body><div class='text'><p>Tale number {} of four</p></div></body>"
+    data = [(i, "http://a.example/", one.format(i % 2)) for i in range(n)] + [(1000 + i, "http://b.example/", four.format(i % 4)) for i in range(n)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: "The only story here" for i in range(n)} | {1000 + i: f"Tale number {i % 4} of four" for i in range(n)}
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(5)
     bad = ["zounds", "blasted", "wretch", "knave"]
