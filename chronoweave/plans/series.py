@@ -396,9 +396,9 @@ UNION ALL SELECT p.clip, NULL, p.track, NULL FROM p ANTI JOIN c ON c.clip = p.cl
 
 def best_lag(s, d):
     h = fr.zscore(hourly(s, d), K, "n")
-    names = [r[0] for r in h.select("channel").distinct().orderBy("channel").limit(16).collect()]
-    a = h.select(F.col("channel").alias("a"), "hour", F.round("z", 9).alias("za")).withColumn("b", F.explode(F.array(*map(F.lit, names)))).where("a < b")
-    b = h.select(F.col("channel").alias("b"), "hour", F.round("z", 9).alias("zb")).withColumn("a", F.explode(F.array(*map(F.lit, names)))).where("a < b")
+    names = h.select("channel").distinct()
+    a = h.select(F.col("channel").alias("a"), "hour", F.round("z", 9).alias("za")).join(names.withColumnRenamed("channel", "b"), F.col("a") < F.col("b"))
+    b = h.select(F.col("channel").alias("b"), "hour", F.round("z", 9).alias("zb")).join(names.withColumnRenamed("channel", "a"), F.col("a") < F.col("b"))
     return mt.best_lag(a, b, ["a", "b"], "hour", "za", "zb", 24).select("a", "b", F.col("lag").cast("long").alias("lag"), r6("score", 4).alias("score"))
 
 

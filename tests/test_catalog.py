@@ -46,3 +46,14 @@ SLOW = {"choose_k", "kmeans_cosine"}
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).limit(5).count() >= 0
+
+
+def test_best_lag_takes_every_channel(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chronoweave.plans import series
+
+    df = spark.range(18 * 40).select(F.concat(F.lit("t"), F.lpad((F.col("id") % 18).cast("string"), 2, "0")).alias("event_type"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * F.lit(3_600_000_000)).alias("ts"), F.lit(1.0).alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = series.best_lag(spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(f"t{i:02}", f"t{j:02}") for j in range(18) for i in range(j)} and len(got) == 153
