@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +47,39 @@ def only(df: DataFrame, flag: Column) -> DataFrame:
     return df.select("*", F.explode(F.when(flag, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
 
 
+def free(names: list[str], stem: str = "_") -> str:
+    """A prefix that no column has, for columns of our own beside those of any input."""
+    while any(n.lower().startswith(stem) for n in names):
+        stem += "_"
+    return stem
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
+    """The cluster's shared folder. Only a session in one local process may do without, and has a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="work-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _local()
     return at.rstrip("/")
 
 
+@cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="work-")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, n: str, total: int, most: int = 4096) -> DataFrame:
+    """left joined to the rows of right with its key, where n is how many rows of left, of `total`, have that key.
+
+    Keys of over total / most rows are at most `most`, so they travel with the tasks and their rows stay where they are;
+    the others are even enough to be shuffled by key. right has each key once; keys are longs and never null.
+    """
+    limit = max(total // most, 1000)
+    hot = left.join(F.broadcast(right.where(F.col(n) > limit)), key)
+    return hot.unionByName(left.join(right.where(F.col(n) <= limit), key))
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,6 +104,10 @@ class Work:
     def drop(self, n: int) -> None:
         drop_table(self.spark, f"{self.at}/{n}")
 
+    def close(self) -> None:
+        """Drops all tables: only when nothing that reads them is left to run."""
+        drop_table(self.spark, self.at)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

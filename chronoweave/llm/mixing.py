@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronoweave.llm.common import Work, table, word_count
+from chronoweave.llm.common import Work, lookup, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -77,15 +77,20 @@ def op4_systematic_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its columns as they were."""
+    """The mix itself: each document as often as it is taken, with its columns as they were.
+
+    Of rows that repeat id, source and text the one that is first as JSON stands for all, with the copies of all. Nulls are
+    a source, an id and a text like any other; an empty table gives no rows.
+    """
     names = docs.columns
-    taken = Work(spark, "mixed").write(copies(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
-    keys = ("doc_id", "source", "text_hash")
-    taken = taken.where("copies > 0").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "copies", "rows")
-    rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names])).select(F.col("doc_id").alias("_d0"), F.col("source").alias("_d1"), F.xxhash64("text").alias("_d2"), "_row")
-    df = rows.join(taken, F.col("_d0").eqNullSafe(F.col("_k0")) & F.col("_d1").eqNullSafe(F.col("_k1")) & (F.col("_d2") == F.col("_k2")))
-    # Rows that share a key are interchangeable: one of them stands for all, with the copies of all.
-    again = taken.where("rows > 1").limit(1).count() > 0
-    if again:
-        df = df.dropDuplicates(["_d0", "_d1", "_d2"])
-    return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("_row").getField(c).alias(c) for c in names])
+    work = Work(spark, "mixed")
+    rid = F.xxhash64("doc_id", "source", F.xxhash64("text"))
+    taken = copies(docs.select("doc_id", "source", "text")).groupBy(F.xxhash64("doc_id", "source", "text_hash").alias("rid"))
+    taken = work.write(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    total = taken.agg(F.sum("rows")).first()[0] or 0
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), rid.alias("rid"))
+    df = lookup(held, taken.where("copies > 0"), "rid", "rows", total)
+    if taken.where("rows > 1").limit(1).count():
+        again = df.where("rows > 1").groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("copies").alias("copies"))
+        df = df.where("rows = 1").select("rid", "row", "copies").unionByName(again)
+    return df.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import only, words
+from chronoweave.llm.common import free, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -36,37 +36,43 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of the input stay, but for those of the same name as a measure, which are replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = [c for c in docs.columns if c.lower() not in MEASURES]
+    own = free(docs.columns)
+    col = lambda c: F.col(own + c)
     some = lambda line: line.rlike("[^\\x20\\x09-\\x0D]")
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], words(F.col(text)).alias("_w"), F.filter(F.split(t, "\n"), some).alias("_l"), t.alias("_t"))
-    w, n = F.col("_w"), F.size("_w")
-    df = df.withColumns({
-        "_h": F.when(n >= WINDOW, F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))),
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_w", lambda x: x.isin(STOP_WORDS))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("_l", lambda x: x.endswith("...") | x.endswith("…"))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_l", lambda x: x.rlike("^\\s*[-*•‣▪]"))).cast("long"),
-    }).drop("_w", "_l", "_t")
+    df = docs.select(*[F.col(f"`{c}`") for c in kept], words(F.col(f"`{text}`")).alias(own + "w"), F.filter(F.split(t, "\n"), some).alias(own + "l"), t.alias(own + "t"))
+    w, lines, n = col("w"), col("l"), F.size(col("w"))
+    counts = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_symbols": F.regexp_count(col("t"), F.lit(f"[{SYMBOLS}]")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike("^\\s*[-*•‣▪]"))),
+    }
+    fours = F.when(n >= WINDOW, F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3))))
+    df = df.withColumns({own + "h": fours} | {own + c: x.cast("long") for c, x in counts.items()}).drop(own + "w", own + "l", own + "t")
     # The hash of eight words is that of two hashes of four. Two equal windows hold five equal pairs of these: fewer, and none need be formed.
-    h = F.col("_h")
+    h = col("h")
     eights = F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 4))), 1, F.size(h) - (WINDOW - 1))
-    df = df.withColumn("_g", F.when(F.size(h) - F.size(F.array_distinct(h)) >= WINDOW - 3, eights)).drop("_h")
+    df = df.withColumn(own + "g", F.when(F.size(h) - F.size(F.array_distinct(h)) >= WINDOW - 3, eights)).drop(own + "h")
     # Sorting (hash, position) pairs puts equal windows side by side; most texts have none and skip this.
-    twice = F.size(F.array_distinct("_g")) < F.size("_g")
-    pairs = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_p", F.when(twice, pairs)).drop("_g")
-    p = F.col("_p")
+    g = col("g")
+    pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(own + "p", F.when(F.size(F.array_distinct(g)) < F.size(g), pairs)).drop(own + "g")
+    p = col("p")
     same = lambda x, i: (F.get(p, i - 1)["h"] == x["h"]) | (F.get(p, i + 1)["h"] == x["h"])
     at = F.sort_array(F.transform(F.filter(p, lambda x, i: F.coalesce(same(x, i), F.get(p, i - 1)["h"] == x["h"], F.get(p, i + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"))
     covered = F.aggregate(at, start, step, lambda a: a["n"])
-    return df.withColumn("n_repeat_words", F.when(p.isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("_p")
+    n_repeat = F.when(p.isNull(), F.lit(0)).otherwise(covered).cast("long")
+    # A generator of one row ends the chain: a filter on a measure stays above it instead of repeating every projection.
+    held = F.array(F.struct(*[col(c).alias(c) for c in counts], n_repeat.alias("n_repeat_words")))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(held))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines", "n_repeat_words")
@@ -90,9 +96,11 @@ def _safe(measure: str) -> str:
 def quality_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """Measures, `base_failed` and `kept` of every row.
 
-    base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. Null and empty texts fail.
+    base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. Null and empty texts fail. Rows are judged
+    one by one, so repeated rows get the same measures and an empty table gives no rows. A value that equals a bound passes.
     """
-    df = measures(docs, text).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    df = measures(docs.drop(*[c for c in docs.columns if c.lower() in ("base_failed", "kept") and c != text]), text)
+    df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
@@ -106,7 +114,7 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass, with their columns as they were."""
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    return only(quality_rules(held), F.col("kept")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    return quality_rules(held).where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 #: The same rows by comparing windows whole.

@@ -5,6 +5,10 @@ linked pair meets in one of ten tables keyed by two blocks. Inside a key the fin
 to a machine word; distances to a query are summed by carry-save counters, and words whose lanes all exceed the radius
 are abandoned. Each key gives a spanning forest of its links, never all pairs; components come from large-star and
 small-star rounds.
+
+A radius of 3 bits catches few texts that differ in some words. `similar_groups` is for these: shingles of five words, keys from
+runs of shingle minima, bit-sliced distances within a wide radius inside a key, and of what passes the exact Jaccard
+similarity of the shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import Work, table
+from chronoweave.llm.common import Work, lookup, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Five blocks; any two of them key a table.
@@ -33,38 +37,43 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # ---- fingerprints -----------------------------------------------------------------------------------------------
 
 
-def fingerprints(texts: list[str | None], n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64-bit SimHash of each text over its n-word shingles; without words zero."""
+def _shingled(texts: list[str | None], n: int, seed: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, starts, hashes) of a run of texts that have words: XXH64 of their n-word shingles, of the whole text if shorter."""
     from xxhash import xxh64_intdigest as digest
 
-    out = np.zeros(len(texts), np.uint64)
     hashes: list[int] = []
-    ends, rows = [], []
-
-    def flush() -> None:
-        if not ends:
-            return
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        stops = np.array(ends)
-        starts = np.concatenate(([0], stops[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        more = (2 * ones > (stops - starts)[:, None]).astype(np.uint8)
-        out[rows] = np.packbits(more, axis=1).view(">u8").ravel()
-        hashes.clear(), ends.clear(), rows.clear()
-
+    starts: list[int] = []
+    rows: list[int] = []
     for k, text in enumerate(texts):
         w = (text or "").encode().lower().split()  # bytes: A-Z alone, and the six ASCII separators alone
         if not w:
             continue
+        starts.append(len(hashes)), rows.append(k)
         if len(w) <= n:
             hashes.append(digest(b" ".join(w), seed))
         else:
             grams = zip(*(w[i:] for i in range(n)), strict=False)
             hashes.extend([digest(x, seed) for x in map(b" ".join, grams)])
-        ends.append(len(hashes)), rows.append(k)
         if len(hashes) > 200_000:
-            flush()
-    flush()
+            yield rows, np.array(starts), np.array(hashes, np.uint64)
+            hashes, starts, rows = [], [], []
+    if rows:
+        yield rows, np.array(starts), np.array(hashes, np.uint64)
+
+
+def _majority(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each run of hashes: the bits that are set in over half of them."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    size = np.diff(np.append(starts, len(hashes)))
+    return np.packbits((2 * ones > size[:, None]).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def fingerprints(texts: list[str | None], n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """64-bit SimHash of each text over its n-word shingles; without words zero."""
+    out = np.zeros(len(texts), np.uint64)
+    for rows, starts, hashes in _shingled(texts, n, seed):
+        out[rows] = _majority(starts, hashes)
     return out
 
 
@@ -76,7 +85,8 @@ def fingerprint_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             fp = fingerprints(b.column(1).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+    ids = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 # ---- bit-sliced links -------------------------------------------------------------------------------------------
@@ -91,30 +101,42 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(slices: np.ndarray, query: int, radius: int = RADIUS, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Words, from `first` on, with lanes within the radius of the query, and those lanes as bits.
+class Counters:
+    """Carry-save counters of many distances at once, one plane for each binary digit, and what exceeds the radius.
 
-    ones and twos are the carry-save counter's low planes; `over` collects what reaches 4, past the radius.
+    They start at 2^k - 1 - radius, k the digits of the radius, so that a distance over it is a carry out of the last plane.
     """
-    if radius != 3:
-        raise ValueError("the counter holds a radius of 3")
+
+    def __init__(self, width: int, radius: int):
+        k = max(radius.bit_length(), 1)
+        self.planes = [np.full(width, _ALL if (1 << k) - 1 - radius >> j & 1 else 0, np.uint64) for j in range(k)]
+        self.over = np.zeros(width, np.uint64)
+
+    def add(self, carry: np.ndarray) -> None:
+        for j, plane in enumerate(self.planes):
+            self.planes[j], carry = plane ^ carry, plane & carry
+        self.over = self.over | carry
+
+    def keep(self, at: np.ndarray) -> None:
+        self.planes = [p[at] for p in self.planes]
+        self.over = self.over[at]
+
+
+def near(slices: np.ndarray, query: int, radius: int = RADIUS, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Words, from `first` on, with lanes within the radius of the query, and those lanes as bits."""
     alive = np.arange(first, slices.shape[1])
-    ones = np.zeros(len(alive), np.uint64)
-    twos, over = ones.copy(), ones.copy()
+    count = Counters(len(alive), radius)
     part = slices[:, first:]
     for b in range(BITS):
-        x = ~part[b] if query >> b & 1 else part[b]
-        carry = ones & x
-        ones = ones ^ x
-        over = over | (twos & carry)
-        twos = twos ^ carry
+        count.add(~part[b] if query >> b & 1 else part[b])
         if b % LOOK == LOOK - 1:
-            keep = over != _ALL
+            keep = count.over != _ALL
             if not keep.all():
                 if not keep.any():
-                    return alive[:0], over[:0]
-                alive, ones, twos, over, part = alive[keep], ones[keep], twos[keep], over[keep], part[:, keep]
-    return alive, ~over
+                    return alive[:0], count.over[:0]
+                alive, part = alive[keep], part[:, keep]
+                count.keep(keep)
+    return alive, ~count.over
 
 
 def _lanes(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -142,8 +164,8 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def small_forests(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many small keys (sorted; at most 64 each), one word per key, all keys side by side."""
+def small_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within the radius in many small keys (sorted; at most 64 each), one word per key, all keys side by side."""
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     group = np.cumsum(new) - 1
     start = np.flatnonzero(new)
@@ -152,38 +174,29 @@ def small_forests(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
     slices = np.zeros((BITS, len(start)), np.uint64)
     for b in range(BITS):
         np.bitwise_or.at(slices[b], group, (fps >> np.uint64(b) & np.uint64(1)) << lane.astype(np.uint64))
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in range(int(size.max()) - 1):
         at = np.flatnonzero(size > r + 1)
         query = fps[start[at] + r]
         part = slices[:, at]
-        ones = np.zeros(len(at), np.uint64)
-        twos, over = ones.copy(), ones.copy()
         alive = np.arange(len(at))
+        count = Counters(len(at), radius)
+        later = _ALL << np.uint64(r + 1) if r < 63 else np.uint64(0)
+        valid = np.where(size[at] >= 64, _ALL, (np.uint64(1) << np.minimum(size[at], 63).astype(np.uint64)) - np.uint64(1)) & later
         for b in range(BITS):
-            x = part[b] ^ (np.uint64(0) - (query >> np.uint64(b) & np.uint64(1)))
-            carry = ones & x
-            ones = ones ^ x
-            over = over | (twos & carry)
-            twos = twos ^ carry
+            count.add(part[b] ^ (np.uint64(0) - (query >> np.uint64(b) & np.uint64(1))))
             if b % 16 == 15:
-                later = _ALL << np.uint64(r + 1) if r < 63 else np.uint64(0)
-                width = size[at][alive]
-                valid = np.where(width >= 64, _ALL, (np.uint64(1) << np.minimum(width, 63).astype(np.uint64)) - np.uint64(1)) & later
-                keep = (~over & valid) != 0
-                alive, ones, twos, over, part, query = alive[keep], ones[keep], twos[keep], over[keep], part[:, keep], query[keep]
-                valid = valid[keep]
+                keep = (~count.over & valid) != 0
+                alive, part, query, valid = alive[keep], part[:, keep], query[keep], valid[keep]
+                count.keep(keep)
                 if not len(alive):
                     break
         if len(alive):
-            hit = ~over & valid
-            on = np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            on = np.unpackbits((~count.over & valid).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, to = np.nonzero(on)
             left.append(start[at][alive][k] + r)
             right.append(start[at][alive][k] + to)
-    if not left:
-        return fps[:0], fps[:0]
-    return fps[np.concatenate(left)], fps[np.concatenate(right)]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +220,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in ((2, 4), (5, 12), (13, 32)):
             pick = (per_row >= low) & (per_row <= high)
             if pick.any():
-                x, y = small_forests(keys[pick], fps[pick])
-                a.append(x), b.append(y)
+                x, y = small_pairs(keys[pick], fps[pick])
+                a.append(fps[pick][x]), b.append(fps[pick][y])
         for s, m in zip(np.flatnonzero(new)[size > 32], size[size > 32], strict=True):
             if pairs := forest(fps[s : s + m]):
                 x, y = np.array(pairs, np.uint64).T
@@ -308,16 +321,163 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- near copies of some changed words ----------------------------------------------------------------------------
+
+#: Setting of near copies: shingles of five words, links at a Jaccard similarity of 0.8 of the sets of shingles.
+WORDS, SIMILARITY = 5, 0.8
+#: Keys: a run of ROWS minima each. A pair at 0.8 shares a key with 1 - (1 - 0.8^4)^10 = 0.9999, one at 0.9 with over 1 - 1e-4.
+BANDS, ROWS = 10, 4
+#: Bits within which a key's fingerprints are compared exactly. At a similarity of 0.8 the distance is 9.7 bits on average, 2.9 its deviation.
+WIDE = 24
+#: Fingerprints that a key compares in one piece. Larger keys are dealt into pieces at random and differently for each band:
+#: two near copies that are parted in one meet in another, or are both linked to what they meet.
+PIECE = 1000
+
+
+def _minima(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of each run of hashes, shape (runs, BANDS): each mixes the minima under ROWS hash functions of its own."""
+    r = np.random.default_rng(SEED)
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        a, b = (r.integers(0, 1 << 63, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
+        low = np.minimum.reduceat(hashes * a + b, starts)
+        x = (out[:, k // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+        out[:, k // ROWS] = x ^ (x >> np.uint64(29))
+    return out
+
+
+def _signatures(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(norm, fp, keys, grams): hash of the words, fingerprint, keys, and the sorted set of shingles as 32-bit codes."""
+        from xxhash import xxh64_intdigest as digest
+
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            norm = np.array([digest(b" ".join((t or "").encode().lower().split())) for t in texts], np.uint64)
+            fp = np.zeros(len(texts), np.uint64)
+            keys = np.zeros((len(texts), BANDS), np.uint64)
+            grams = [b""] * len(texts)
+            for rows, starts, hashes in _shingled(texts, n, SEED):
+                fp[rows] = _majority(starts, hashes)
+                keys[rows] = _minima(starts, hashes)
+                ends = np.append(starts[1:], len(hashes))
+                short = hashes.astype(np.uint32)
+                for row, x, y in zip(rows, starts, ends, strict=True):
+                    grams[row] = np.unique(short[x:y]).tobytes()
+            some = np.array([len(g) > 0 for g in grams], bool)
+            ends = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(norm.view(np.int64)), pa.array(fp.view(np.int64)), held, pa.array(grams, pa.binary())], ["rid", "doc_id", "text_hash", "norm", "fp", "keys", "grams"])
+
+    return run
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _similar(similarity: float, radius: int):
+    """Rows sorted by piece come in; verified links (a, b) of norms go out, a forest within each piece. Holds a few pieces."""
+
+    def forest_of(fps: np.ndarray, sets: list[np.ndarray], pairs) -> Iterator[tuple[int, int]]:
+        label = np.arange(len(fps))
+        for i, j in pairs:
+            if label[i] != label[j] and alike(sets[i], sets[j], similarity):
+                label[label == label[j]] = label[i]
+                yield i, j
+
+    def pairs_of(fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        slices = planes(fps)
+        for i in range(len(fps) - 1):
+            hit = _lanes(*near(slices, int(fps[i]), radius, first=i // 64))
+            for j in hit[(hit > i) & (hit < len(fps))]:
+                yield i, int(j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def links(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0).to_numpy()
+            cut = len(key) if last else int(np.searchsorted(key, key[-1]))
+            held, n = ([] if last else t.slice(cut).to_batches()), len(key) - cut
+            if not cut:
+                return
+            key, norm = key[:cut], t.column(1).to_numpy()[:cut]
+            fps = t.column(2).to_numpy()[:cut].view(np.uint64)
+            sets = [np.frombuffer(x, np.uint32) for x in t.column(3).slice(0, cut).to_pylist()]
+            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(new, cut))
+            small = np.repeat(size <= 32, size)
+            at = np.flatnonzero(small)
+            found: list[tuple[int, int]] = []
+            if len(at):
+                x, y = small_pairs(key[at], fps[at], radius)
+                found += forest_of(fps, sets, zip(at[x].tolist(), at[y].tolist(), strict=True))
+            for s, m in zip(new[size > 32], size[size > 32], strict=True):
+                found += [(s + i, s + j) for i, j in forest_of(fps[s : s + m], sets[s : s + m], pairs_of(fps[s : s + m]))]
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(norm[a]), pa.array(norm[b])], ["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+                if n > 2 * PIECE:
+                    yield from links(False)
+        while held:
+            yield from links(True)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, work: Work, key: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """rows (rid, doc_id, text_hash, norm) and, of norms that have links, (node, root).
+
+    Texts of the same words but for case and spaces have one norm; texts without words have one, too. Norms link whose sets of
+    n-word shingles have at least the similarity given, if they share a key and their fingerprints are within the radius.
+    """
+    ids = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("doc_id")).withColumn("text_hash", F.xxhash64("text"))
+    ids = ids.select("text", F.xxhash64("doc_id", "text_hash").alias("rid"), "doc_id", "text_hash")
+    out = f"rid long, doc_id {ids.schema['doc_id'].dataType.simpleString()}, text_hash long, norm long, fp long, keys array<long>, grams binary"
+    rows = work.write(ids.mapInArrow(_signatures(n), out).withColumn("no", F.monotonically_increasing_id()))
+    keyed = work.write(rows.select("norm", F.posexplode("keys").alias("t", "k")).select("norm", "t", F.xxhash64("t", "k").alias("key")).distinct())
+    many = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    deal = F.xxhash64("key", F.pmod(F.xxhash64("norm", "t"), F.ceil(F.col("n") / PIECE)))
+    keyed = work.write(lookup(keyed, many, "key", "n", keyed.count()).select("norm", deal.alias("piece")))
+    # One row of each norm that shares a key brings its set of shingles.
+    one = rows.groupBy("norm").agg(F.min("no").alias("no")).join(keyed.select("norm").distinct(), "norm").select("no")
+    sets = rows.select("no", "norm", "fp", "grams").join(one, "no")
+    shipped = keyed.join(sets, "norm").select("piece", "norm", "fp", "grams").repartition("piece").sortWithinPartitions("piece", "norm")
+    roots = components(shipped.mapInArrow(_similar(similarity, radius), "a long, b long"), work)
+    return rows.select("rid", "doc_id", "text_hash", "norm"), roots
+
+
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id. Of rows that repeat its id one stays.
+    """One document of each group of near copies stays: that of the smallest doc_id, then of the least text hash; ids that are null come last.
 
-    Rows without an id can't stand for a group and stay as they are.
+    Near copies are those of similar_groups (five words, 0.8). Rows that repeat id and text are one document: of these the
+    row stays that is first as JSON. Texts without words, null among them, are one group. An empty table gives no rows; the
+    columns stay as they were.
     """
-    found = Work(spark, "kept").write(near_duplicates(docs))
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    df = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        df = df.dropDuplicates(["doc_id"])
-    if found.where("doc_id is null").limit(1).count():
-        df = df.unionByName(docs.where("doc_id is null"))
-    return df
+    names = docs.columns
+    work = Work(spark, "near")
+    rows, roots = similar_groups(docs, work)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "rid"))
+    first = rows.groupBy("norm").agg(best.alias("best"))
+    group = first.join(roots, first["norm"] == roots["node"], "left").groupBy(F.coalesce("root", "norm").alias("root")).agg(F.min("best").alias("best"))
+    sizes = rows.groupBy("rid").agg(F.count("*").alias("n"))
+    kept = work.write(group.select(F.col("best.rid").alias("rid")).join(sizes, "rid"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"))
+    left = lookup(held, kept, "rid", "n", rows.count())
+    if kept.where("n > 1").limit(1).count():
+        again = left.where("n > 1").groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.where("n = 1").select("row").unionByName(again.select("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in names])
