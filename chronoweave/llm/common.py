@@ -77,7 +77,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, n: str, total: int, most
     """
     limit = max(total // most, 1000)
     hot = left.join(F.broadcast(right.where(F.col(n) > limit)), key)
-    return hot.unionByName(left.join(right.where(F.col(n) <= limit), key))
+    return hot.unionByName(left.join(right.where(F.col(n) <= limit).hint("merge"), key))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

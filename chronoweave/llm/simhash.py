@@ -325,13 +325,13 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Setting of near copies: shingles of five words, links at a Jaccard similarity of 0.8 of the sets of shingles.
 WORDS, SIMILARITY = 5, 0.8
-#: Keys: a run of ROWS minima each. A pair at 0.8 shares a key with 1 - (1 - 0.8^4)^10 = 0.9999, one at 0.9 with over 1 - 1e-4.
-BANDS, ROWS = 10, 4
+#: Keys: a run of ROWS minima each. A pair at 0.8 shares one with 1 - (1 - 0.8^4)^8 = 0.985, one at 0.85 with 0.997.
+BANDS, ROWS = 8, 4
 #: Bits within which a key's fingerprints are compared exactly. At a similarity of 0.8 the distance is 9.7 bits on average, 2.9 its deviation.
 WIDE = 24
 #: Fingerprints that a key compares in one piece. Larger keys are dealt into pieces at random and differently for each band:
 #: two near copies that are parted in one meet in another, or are both linked to what they meet.
-PIECE = 1000
+PIECE = 300
 
 
 def _minima(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -447,17 +447,21 @@ def similar_groups(docs: DataFrame, work: Work, key: str = "doc_id", text: str =
     ids = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("doc_id")).withColumn("text_hash", F.xxhash64("text"))
     ids = ids.select("text", F.xxhash64("doc_id", "text_hash").alias("rid"), "doc_id", "text_hash")
     out = f"rid long, doc_id {ids.schema['doc_id'].dataType.simpleString()}, text_hash long, norm long, fp long, keys array<long>, grams binary"
+    first = work.n + 1
     rows = work.write(ids.mapInArrow(_signatures(n), out).withColumn("no", F.monotonically_increasing_id()))
+    narrow = work.write(rows.select("rid", "doc_id", "text_hash", "norm"))
     keyed = work.write(rows.select("norm", F.posexplode("keys").alias("t", "k")).select("norm", "t", F.xxhash64("t", "k").alias("key")).distinct())
     many = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     deal = F.xxhash64("key", F.pmod(F.xxhash64("norm", "t"), F.ceil(F.col("n") / PIECE)))
     keyed = work.write(lookup(keyed, many, "key", "n", keyed.count()).select("norm", deal.alias("piece")))
-    # One row of each norm that shares a key brings its set of shingles.
-    one = rows.groupBy("norm").agg(F.min("no").alias("no")).join(keyed.select("norm").distinct(), "norm").select("no")
-    sets = rows.select("no", "norm", "fp", "grams").join(one, "no")
-    shipped = keyed.join(sets, "norm").select("piece", "norm", "fp", "grams").repartition("piece").sortWithinPartitions("piece", "norm")
-    roots = components(shipped.mapInArrow(_similar(similarity, radius), "a long, b long"), work)
-    return rows.select("rid", "doc_id", "text_hash", "norm"), roots
+    # One row of each norm that shares a key brings its set of shingles. The merge hints keep one plan at every size.
+    one = rows.groupBy("norm").agg(F.min("no").alias("no")).join(keyed.select("norm").distinct().hint("merge"), "norm").select("no")
+    sets = rows.select("no", "norm", "fp", "grams").join(one.hint("merge"), "no")
+    shipped = keyed.join(sets.hint("merge"), "norm").select("piece", "norm", "fp", "grams").repartition("piece").sortWithinPartitions("piece", "norm")
+    found = work.write(shipped.mapInArrow(_similar(similarity, radius), "a long, b long"))
+    for k in (0, 2, 3, 4):  # what the links were found with is not needed any more
+        work.drop(first + k)
+    return narrow, components(found, work)
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
