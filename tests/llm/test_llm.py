@@ -313,24 +313,67 @@ def test_substring(docs, none, group):
     assert any(r[2] for r in want) and substring.substring_dedup(none).count() == 0
 
 
-def test_lines(docs, none):
-    table = sorted({(r[0], r[1]) for r in rows() if r[1]}, key=lambda x: (x[0] is not None, x[0] or 0))
-    seen, gone = set(), defaultdict(set)
-    for i, t in table:
-        nb = [(j, x.strip(" \t\n\x0b\x0c\r")) for j, x in enumerate(t.split("\n")) if WORD.search(x)]
+def plain_lines(table):
+    """Lines (by number) that go from each (id, text): whole windows that occur before, extended both ways as far as they match."""
+    docs = []
+    for i, t in sorted({(r[0], r[1]) for r in table if r[1]}, key=lambda x: (x[0] is not None, x[0] or 0, int.from_bytes(xxhash.xxh64_digest(x[1].encode(), 42), "big", signed=True))):
+        docs.append((i, t, [(j, x.strip(" \t\n\x0b\x0c\r")) for j, x in enumerate(t.split("\n")) if WORD.search(x)]))
+    seen, gone = {}, defaultdict(set)
+    for d, (i, t, nb) in enumerate(docs):
+        line = [x for _, x in nb]
         for k in range(len(nb)):
-            sizes = [n for n in (1, 2) if len(words("\n".join(x for _, x in nb[k : k + n]))) >= 50][:1] + [3]
-            for n in sizes:
-                w = tuple(x for _, x in nb[k : k + n])
-                if len(w) < n:
-                    continue
-                if w in seen:
-                    gone[i, t].update(j for j, _ in nb[k : k + n])
-                seen.add(w)
-    want = sorted(((r[0], len(gone[r[0], r[1]]), None if r[1] is None else "\n".join(x for j, x in enumerate(r[1].split("\n")) if j not in gone[r[0], r[1]])) for r in rows()), key=repr)
-    got = linededup.line_dedup(odd(docs))
-    assert frame(got.select("doc_id", "n_removed", "text")) == want and sum(r[1] for r in want) > 8
+            held = [len(words(" ".join(line[k : k + n]))) >= 8 and k + n <= len(nb) for n in (1, 2)]
+            n = 1 if held[0] else 2 if held[1] else 3
+            if k + n > len(nb):
+                continue
+            w = tuple(line[k : k + n])
+            if w not in seen:
+                seen[w] = d, k
+                continue
+            other, lo, hi, at = docs[seen[w][0]][2], k, k + n, seen[w][1]
+            while lo and at and line[lo - 1] == other[at - 1][1]:
+                lo, at = lo - 1, at - 1
+            while hi < len(nb) and at + hi - lo < len(other) and line[hi] == other[at + hi - lo][1]:
+                hi += 1
+            gone[i, t].update(j for j, _ in nb[lo:hi])
+    return gone
+
+
+def line_rows():
+    """Runs of short and long lines, some shared in part, with repeats within a text and odd ends."""
+    r = random.Random(11)
+    pool = [prose(r, k) for k in (1, 1, 2, 3, 3, 4, 5, 7, 8, 9, 12, 30)]
+    out = []
+    for i in range(60):
+        picks = [r.choice(pool) if r.random() < 0.6 else prose(r, r.randint(1, 12)) for _ in range(r.randint(1, 9))]
+        if i % 3 == 0:
+            k = r.randrange(len(pool) - 4)
+            picks[1:1] = pool[k : k + 5]
+        out.append((2000 + i, ("\n\n" if i % 5 == 0 else "\n").join(p + " " * (i % 2) for p in picks), "en", "s", 1))
+    return out
+
+
+def test_lines(docs, none):
+    spark = docs.sparkSession
+    table = rows() + line_rows() + [(3000, "\n".join(["a b"] * 5000), "en", "s", 1)]
+    gone = plain_lines(table)
+    want = sorted(((r[0], len(gone[r[0], r[1]]), None if r[1] is None else "\n".join(x for j, x in enumerate(r[1].split("\n")) if j not in gone[r[0], r[1]])) for r in table), key=repr)
+    got = linededup.line_dedup(odd(spark.createDataFrame(table, SCHEMA).repartition(3)))
+    assert frame(got.select("doc_id", "n_removed", "text")) == want and sum(r[1] > 0 for r in want) > 30
     assert linededup.line_dedup(none).count() == 0
+    assert {r[0] for r in table} == {r[0] for r in want}
+
+
+def test_no_line_is_lost_and_fingerprints_are_few(spark):
+    table = line_rows()
+    df = spark.createDataFrame(table, SCHEMA)
+    kept = {x.strip() for r in linededup.line_dedup(df).collect() for x in (r.text or "").split("\n")}
+    assert {x.strip() for r in table for x in r[1].split("\n")} <= kept
+    # lines too short to be windows: of w = 3 lines each, about 2 / (w + 1) are selected
+    short = spark.createDataFrame([(i, "\n".join(f"l{i} n{j}" for j in range(200))) for i in range(50)], "doc_id long, text string")
+    lines = linededup.hashed_lines(short)
+    chosen = lines.select(F.size(F.array_distinct(F.transform(linededup.windows(F.col("h"), F.col("n")), lambda x: x["at"]))).alias("n")).agg(F.sum("n")).first()[0]
+    assert abs(chosen / 10_000 - 0.5) < 0.03
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
