@@ -406,7 +406,7 @@ def test_pii_terms(spark, most):
     near = [(i, prose(r, 12) + f" Zorblatt, boss@firm.example.com {prose(r, 3)} {i}") for i in range(6)]
     far = [(i, prose(r, 30)) for i in range(10, 60)]
     df = spark.createDataFrame([*near, *far, (99, "was Zorblatt: there"), (None, None)], "doc_id long, text string").withColumn("term", F.lit("x"))
-    th = pii.Thresholds(bits=2.0, most_in_set=most)
+    th = pii.Thresholds(bits=2.0, false_terms=1.0, most_in_set=most)
     got = {x.doc_id: x for x in pii.find(df, th).collect()}
     assert len(got[99].term) == 1 and (got[99].term[0].s, got[99].term[0].e) == (4, 12)
     assert all(len(got[i].term) == 1 for i, _ in near) and not any(got[i].term for i, _ in far)
@@ -420,11 +420,71 @@ def test_pii_terms_of_entities_that_recur(spark):
     near = [(100 * k + i, f"{prose(r, 12)} {term} {value[c].format(i)} {prose(r, 3)}") for k, (term, c) in enumerate((("Q7", "a"), ("xy", "b"), ("AB-12", "c"))) for i in range(6)]
     far = [(1000 + i, prose(r, 30)) for i in range(60)]
     df = spark.createDataFrame([*near, *far, (2000, "was Q7: xy, (AB-12) there")], "doc_id long, text string")
-    got = {x.doc_id: [(t.s, t.e) for t in x.term] for x in pii.find(df, pii.Thresholds(bits=2.0)).collect()}
+    got = {x.doc_id: [(t.s, t.e) for t in x.term] for x in pii.find(df, pii.Thresholds(bits=2.0, false_terms=1.0)).collect()}
     assert got[2000] == [(4, 6), (8, 10), (13, 18)]
     assert all(len(got[i]) == 1 for i, _ in near) and not any(got[i] for i, _ in far)
 
 
+def plain_company(t):
+    """(entity, term) pairs of one text."""
+    spans = [(k, m.start(), m.end(), m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t) if CHECKS[k](m[0])]
+    spans += [("secret", m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+_]{20,}", t) if len(re.findall("[0-9]", m[0])) >= 4 and len(re.findall("[A-Za-z]", m[0])) >= 4]
+    out = set()
+    for k, s, e, v in spans:
+        left, right = t[max(s - 64, 0) : s], t[e : e + 64]
+        left = re.sub(r"^[^\x20\x09-\x0D]*", "", left) if s > 64 else left
+        right = re.sub(r"[^\x20\x09-\x0D]*$", "", right) if len(right) == 64 else right
+        terms = {w.strip(pii.EDGE) for w in words(left) + words(right)}
+        digits = re.sub("[^0-9]", "", v)
+        of = {"email": lambda: [("name", v.split("@")[0]), ("domain", v.split("@")[-1].lower()), ("site", ".".join(v.split("@")[-1].lower().split(".")[-2:]))], "ip": lambda: [("network", ".".join(v.split(".")[:n]) + ".") for n in (1, 2, 3)], "card": lambda: [("issuer", digits[:6])], "phone": lambda: [("prefix", digits[:n]) for n in range(1, 8)], "secret": lambda: [("key", "")]}[k]()
+        out |= {((k, *x), w) for x in [("value", v), *of] for w in terms if re.search(r"[^\W_]", w)}
+    return out
+
+
+def test_pii_disclosure_equals_a_plain_count(spark):
+    import math
+
+    r = random.Random(8)
+    value = lambda i: r.choice([f"boss{i % 3}@firm.example.com", f"10.7.{i % 4}.9", "+44 (171) 555-1010", "4111 1111 1111 1111", f"token = \"{xxhash.xxh3_128_hexdigest(bytes([i]))}9a8b7c6d\""])
+    table = [(i, f"{prose(r, r.randint(0, 25))} {r.choice(['Zorblatt,', 'x-9', '| Quux', ''])} {value(i)} {prose(r, r.randint(0, 25))}") for i in range(150)] + [(500 + i, prose(r, 30)) for i in range(150)]
+    table += [(700, "Quux only"), (701, table[0][1]), (702, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    th = pii.Thresholds(false_terms=1.0)
+    work = pii.Work(spark, "t")
+    spans = pii.base_spans(df)
+    private = spans.drop("doc_id").where(" + ".join(f"size({k})" for k in pii.ALL) + " > 0").dropDuplicates(["text_hash"])
+    texts = {t or "" for _, t in table}
+    got, _ = pii.disclosing(spans.select("doc_id", "text_hash", "text"), len(texts), private, work, th)
+    both, entity, holds = Counter(), defaultdict(set), defaultdict(set)
+    for t in texts:
+        for e, w in plain_company(t):
+            both[e, w] += 1
+            entity[e].add(t)
+        for w in words(t):
+            holds[w.strip(pii.EDGE)].add(t)
+    needed, want = math.log2(len(both) / th.false_terms), {}
+    for (e, w), n in both.items():
+        share, chance = n / len(holds[w]), len(entity[e]) * len(holds[w]) / len(texts)
+        if n > chance and share >= th.share and math.log2(n / chance) >= th.bits and (n * math.log(n / chance) - n + chance) / math.log(2) >= needed:
+            old = want.get(w, (0, 0))
+            want[w] = max(old[0], math.log2(n / chance)), max(old[1], share)
+    found = {x.term: (x.bits, x.share) for x in got.collect()}
+    assert found.keys() == want.keys() and "token" in found
+    assert all(found[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_pii_secrets_and_many_spans(spark):
+    import time
+
+    key, common = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "aaaa1111bbbb2222cccc3333"
+    table = [(i, f"text {i} {common} x") for i in range(40)] + [(100, f'token = "{key}"!! a.{key}@b.example.com'), (101, "THISISALONGWORDWITHOUTDIGITS 123456789012345678901234"), (102, "1.2.3.4 a@b.cc " * 6000)]
+    start = time.time()
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(table, "doc_id long, text string"), pii.Thresholds(key_bits=4.0)).collect()}
+    assert [(x.s, x.e) for x in got[100].secret] == [(9, 49)] and not got[101].secret and not any(got[i].secret for i in range(40))
+    assert (len(got[102].ip), len(got[102].email)) == (6000, 6000) and (got[102].email[-1].s, got[102].email[-1].e) == (5999 * 15 + 8, 6000 * 15 - 1)
+    assert time.time() - start < 90
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>H</header><nav><a>menu</a></nav><div class="content"><p>One &amp; two<br>x&nbsp; y</p>
       <div class="sidebar">side</div><ul><li>a<li>b</ul><form>f</form><!-- c --></div><div id="comments">no</div><script>var t="</p>";</script><footer>F</footer></body>"""
