@@ -531,22 +531,78 @@ def test_toxicity(spark, docs, none):
             labels.append((i, int(t)))
     df = spark.createDataFrame([*rows, (9001, None), (9002, ""), (None, "x")], "doc_id long, text string")
     y = spark.createDataFrame([*labels, (77777, 1), (None, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.train(df, y, toxicity.Settings(word_bits=14, pair_bits=14))
+    model = toxicity.train(df, y)
     got = {x.key: x.score for x in toxicity.toxicity(odd(df), model).collect()}
     assert len(got) == 603 and all(0 <= v <= 1 for v in got.values())
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
     assert got[9001] == got[9002] < 0.5
-    blank = toxicity.train(none, y.limit(0), toxicity.Settings(word_bits=8, pair_bits=8))
+    blank = toxicity.train(none, y.limit(0))
     assert toxicity.toxicity(none, blank).count() == 0
     assert toxicity.toxicity(df.limit(5), blank).count() == 5
 
 
+def test_models_equal_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 500)
+    r = random.Random(12)
+    bad = ["zounds", "blasted"]
+    rows = [(f"k{i}", prose(r, 40) + (" " + " ".join(r.choice(bad) for _ in range(2)) + " you" if i % 3 == 0 else "")) for i in range(150)]
+    df = spark.createDataFrame([*rows, ("extra", prose(r, 300))], "doc_id string, text string")
+    y = spark.createDataFrame([(k, int(i % 3 == 0)) for i, (k, _) in enumerate(rows)], "doc_id string, toxic int")
+    s = toxicity.Settings()
+    model = toxicity.train(df, y, s)
+    learn = [(t, i % 3 == 0) for i, (k, t) in enumerate(rows) if zlib.crc32(k.encode()) % 5 in s.model_folds]
+    strip = lambda t: [w.strip(toxicity.EDGE) for w in t.lower().split()]
+    grams = [Counter(), Counter()]
+    for t, c in learn:
+        w = strip(t)
+        grams[c].update(set(zip([None, *w], w, strict=False)))
+    heard = defaultdict(set)
+    for t in [t for _, t in rows] + [df.where("doc_id = 'extra'").first().text]:
+        w = strip(t)
+        for v, x in zip([None, *w], w, strict=False):
+            heard[x].add(v)
+    codes = toxicity._Codes()
+    w, size = toxicity._tokens([rows[0][1]], codes)
+    got = model.one(w)
+    shared = {x: len(v) for x, v in heard.items()}
+    for c in (0, 1):
+        left = Counter(x for _, x in grams[c])
+        own = {x: max(n - s.word_discount, 0) / sum(left.values()) for x, n in left.items()}
+        spare = 1 - sum(own.values())
+        for x, p in zip(strip(rows[0][1]), got[:, c], strict=True):
+            if max(Counter(x for _, x in grams[k])[x] for k in (0, 1)) > s.word_discount:
+                assert p == pytest.approx(own.get(x, 0) + spare * shared[x] / sum(shared.values()), rel=0.2)  # contexts are estimated
+        v = toxicity._before(w, size)
+        pair, rest = model.pair(toxicity._pair(v, w))[:, c], model.rest(v)[:, c]
+        seen, kept = Counter(), Counter()
+        for (a, _), n in grams[c].items():
+            seen[a] += n
+            kept[a] += max(n - s.discount, 0)
+        for k, (a, x) in enumerate(zip([None, *strip(rows[0][1])], strip(rows[0][1]), strict=False)):
+            assert pair[k] == pytest.approx(max(grams[c][a, x] - s.discount, 0) / max(seen[a], 1), abs=1e-6)
+            assert rest[k] == pytest.approx(1 - kept[a] / max(seen[a], 1), abs=1e-6)
+    assert toxicity.toxicity(df, model).where("key = 'extra'").count() == 1
+
+
+def test_context_estimates(spark):
+    import pandas as pd
+
+    for n in (1, 7, 40, 150, 3000, 300_000):
+        v = np.random.default_rng(n).integers(0, 1 << 62, n)
+        key, maps = toxicity._contexts(np.full(n, 5, np.int64), v)
+        two = toxicity._merged([toxicity._contexts(np.full(len(x), 5, np.int64), x) for x in np.array_split(v, min(n, 3))])
+        assert (maps == two[1]).all() and key.tolist() == [5]
+        df = spark.createDataFrame(pd.DataFrame([[int(x) for x in maps.view(np.int64)[0]]], columns=list("abcd")))
+        got = df.select(toxicity.contexts(df)).first()[0]
+        assert got == pytest.approx(n, rel=0.5 if n > 100 else 0.25)
+
+
 def test_scores_ignore_held_out_labels(spark):
     r = random.Random(6)
     df = spark.createDataFrame([(i, prose(r, 20)) for i in range(100)], "doc_id long, text string")
     flip = [spark.createDataFrame([(i, (i % 3 == 0) ^ (f and zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(100)], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int")) for f in (False, True)]
-    s = toxicity.Settings(word_bits=10, pair_bits=10)
+    s = toxicity.Settings()
     a, b = (frame(toxicity.toxicity(df, toxicity.train(df, y, s))) for y in flip)
     assert a == b
 
