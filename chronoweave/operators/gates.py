@@ -40,11 +40,15 @@ def veto_shift(mine: Column, mine_ok: Column, rival: Column, rival_ok: Column, d
 
 
 def rival_max(df: DataFrame, frame: list[str], channel: str, value: str, out: str) -> DataFrame:
-    """Greatest value of the other channels of a frame, from the two greatest of all: no self join."""
-    w = Window.partitionBy(*frame)
-    top = F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(channel).alias("c"))).over(w), asc=False)
-    first, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
-    return df.withColumn(out, F.when(first["c"] == F.col(channel), second["v"]).otherwise(first["v"]))
+    """Greatest value of the other channels of a frame, NULL without any: the greatest and the next, each an aggregate.
+
+    Two passes of constant size per frame, however many channels it has; of equal values the channel last in order is the greatest.
+    """
+    top = df.groupBy(*frame).agg(F.max(F.struct(F.col(value).alias("v"), F.col(channel).alias("c"))).alias("_top"))
+    both = df.join(top, frame)
+    second = both.where(F.col("_top.c") != F.col(channel)).groupBy(*frame).agg(F.max(value).alias("_next"))
+    both = both.join(second, frame, "left")
+    return both.withColumn(out, F.when(F.col("_top.c") == F.col(channel), F.col("_next")).otherwise(F.col("_top.v"))).drop("_top", "_next")
 
 
 def visual_activity(df: DataFrame, keys: list[str], index: str, value: str, valid: str, smooth: int, spread: int, least: float = 1e-4, q: float = 0.9, out: str = "activity") -> DataFrame:

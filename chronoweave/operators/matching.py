@@ -5,6 +5,8 @@ Score tables are (keys, row, col, score) and small in every key: at most a handf
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +56,18 @@ def best_and_margin(plans: DataFrame, keys: list[str]) -> DataFrame:
 def shift_scores(left: DataFrame, right: DataFrame, index: str, row: str, col: str, a: str, b: str, n: int) -> DataFrame:
     """(lag, row, col, score) for every common circular lag of the left side, 0 included.
 
-    Every lag instead of a random draw of them: stricter, and the same on every run. The series are gathered into arrays
-    of n values (one row per series) and the lags are spread over the cluster.
+    Every lag instead of a random draw of them: stricter, and the same on every run. Each pair of series is one row of two
+    arrays of n values, and one FFT gives all its lags.
     """
     packed = lambda df, name, v: df.groupBy(name).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, v))), lambda x: x[v]).alias(v))
     both = packed(left, row, a).crossJoin(F.broadcast(packed(right, col, b)))
-    both = both.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = F.col(a)
-    turned = F.concat(F.slice(x, n - F.col("lag") + 1, F.col("lag")), F.slice(x, F.lit(1), n - F.col("lag")))
-    total = F.aggregate(F.zip_with(turned, F.col(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return both.select("lag", row, col, (total / n).alias("score"))
+
+    @F.pandas_udf("array<double>")
+    def circular(x: pd.Series, y: pd.Series) -> pd.Series:
+        f = np.fft.rfft(np.stack(y.to_numpy())) * np.fft.rfft(np.stack(x.to_numpy())).conj()
+        return pd.Series(list(np.fft.irfft(f, n) / n))
+
+    return both.select(row, col, F.posexplode(circular(a, b)).alias("lag", "score")).select("lag", row, col, "score")
 
 
 def significance(margins: DataFrame, n: int) -> DataFrame:

@@ -27,17 +27,17 @@ def istft(s: np.ndarray, length: int, n: int = 512, hop: int = 128) -> np.ndarra
     return (out / np.maximum(norm, 1e-8))[n : n + length]
 
 
-def wiener(stems: np.ndarray, mixture: np.ndarray, power: float = 2.0, floor: float = 0.0, n: int = 512, hop: int = 128) -> np.ndarray:
-    """Stems cut from the mixture by ratio masks; a single stem stays as it is."""
+def wiener(stems: np.ndarray, power: float = 2.0, floor: float = 0.0, order: int = 24, n: int = 512, hop: int = 128) -> np.ndarray:
+    """Each stem under the ratio mask of its power among all, smoothed over frequency; a single stem stays as it is."""
     if len(stems) < 2:
-        return stems
-    mags = np.stack([np.abs(stft(s, n, hop)) ** power for s in stems])
-    masks = mags / (mags.sum(0) + 1e-12)
-    if floor:
-        masks = np.maximum(masks, floor)
-        masks /= masks.sum(0)
-    mix = stft(mixture, n, hop)
-    return np.stack([istft(m * mix, len(mixture), n, hop) for m in masks])
+        return np.array(stems, float)
+    spectra = [stft(x, n, hop) for x in stems]
+    share = np.abs(np.stack(spectra)) ** power
+    share = share / (share.sum(0) + 1e-12)
+    if floor > 0:
+        share = np.maximum(share, floor)
+        share = share / (share.sum(0) + 1e-12)
+    return np.stack([istft(cepstral_smooth(g, order) * x, np.shape(stems)[1], n, hop) for g, x in zip(share, spectra, strict=True)])
 
 
 def cepstral_smooth(mask: np.ndarray, order: int = 24) -> np.ndarray:
@@ -46,7 +46,7 @@ def cepstral_smooth(mask: np.ndarray, order: int = 24) -> np.ndarray:
         return mask
     if order < 2:
         raise ValueError("an order under 2 would keep everything")
-    full = np.log(np.maximum(np.concatenate([mask, mask[-2:0:-1]]), 1e-6))
+    full = np.log(np.maximum(np.concatenate([mask, mask[-2:0:-1]]), 1e-10))
     c = np.fft.fft(full, axis=0).real
     c[order : len(c) - order + 1] = 0
     return np.clip(np.exp(np.fft.ifft(c, axis=0).real[: len(mask)]), 0, 1)
@@ -62,17 +62,26 @@ def _box(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return x
 
 
-def cancel_leak(stems: np.ndarray, size: tuple[int, int] = (5, 9), n: int = 512, hop: int = 128) -> np.ndarray:
-    """Takes from each of two stems what the other explains locally, weighted by who owns each cell."""
-    s = [stft(x, n, hop) for x in stems]
-    p = [_box(np.abs(x) ** 2, size) + 1e-12 for x in s]
-    out = []
-    for i, j in ((0, 1), (1, 0)):
+def leakage(s: list[np.ndarray], size: tuple[int, int]) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+    """Local powers, and for (i, j) the part of spectrum i that is a copy of spectrum j: a local regression, at most of gain one."""
+    p = [_box(np.abs(x) ** 2, size) + 1e-20 for x in s]
+
+    def copy(i: int, j: int) -> np.ndarray:
         cross = s[i] * s[j].conj()
         a = (_box(cross.real, size) + 1j * _box(cross.imag, size)) / p[j]
-        a /= np.maximum(np.abs(a), 1)
-        out.append(istft(s[i] - a * s[j] / (1 + (p[i] / p[j]) ** 2), stems.shape[1], n, hop))
-    return np.stack(out)
+        return a / np.maximum(np.abs(a), 1) * s[j]
+
+    return p, copy
+
+
+def cancel_leak(stems: np.ndarray, size: tuple[int, int] = (5, 9), owner: float = 1.0, n: int = 512, hop: int = 128) -> np.ndarray:
+    """Takes from each stem what every other explains locally, weighted by how much louder that one is; a single stem stays."""
+    if len(stems) < 2:
+        return np.array(stems, float)
+    s = [stft(x, n, hop) for x in stems]
+    p, copy = leakage(s, size)
+    others = lambda i: sum(copy(i, j) / (1 + (p[i] / p[j]) ** owner) for j in range(len(s)) if j != i)
+    return np.stack([istft(s[i] - others(i), np.shape(stems)[1], n, hop) for i in range(len(s))])
 
 
 def f0_autocorrelation(x: np.ndarray, rate: int, frame: int = 640, low: float = 70, high: float = 400, voiced: float = 0.35) -> np.ndarray:
@@ -88,23 +97,20 @@ def f0_autocorrelation(x: np.ndarray, rate: int, frame: int = 640, low: float =
 
 
 def f0_yin(x: np.ndarray, rate: int, frame: int = 1024, low: float = 70, high: float = 400, dip: float = 0.15) -> np.ndarray:
-    """Pitch of each frame from the first dip of the normalised difference function, refined by a parabola."""
+    """Pitch of each frame: the bottom of the first dip of the normalised difference function, else its least value, refined by a parabola."""
+    lo, hi = max(2, int(rate / high)), min(frame - 1, int(rate / low))
     out = []
-    hi = int(rate / low)
-    for k in range(0, len(x) - frame - hi + 1, frame):
-        f = x[k : k + frame + hi]
-        d = np.array([np.sum((f[:frame] - f[t : t + frame]) ** 2) for t in range(hi + 1)])
-        m = np.ones(hi + 1)
-        m[1:] = d[1:] * np.arange(1, hi + 1) / np.maximum(np.cumsum(d[1:]), 1e-12)
-        below = np.flatnonzero(m[int(rate / high) :] < dip)
-        if not len(below):
-            out.append(np.nan)
-            continue
-        t = int(rate / high) + below[0]
-        while t + 1 < hi and m[t + 1] < m[t]:
+    for k in range(0, len(x) - frame + 1, frame):
+        f = np.asarray(x[k : k + frame], float)
+        f = f - f.mean()
+        d = np.array([np.square(f[: frame - t] - f[t:]).sum() for t in range(hi + 1)])
+        m = np.append(1.0, d[1:] * np.arange(1, hi + 1) / np.maximum(np.cumsum(d[1:]), 1e-12))
+        inside = m[lo:hi]
+        t = lo + int(np.argmax(inside < dip) if (inside < dip).any() else np.argmin(inside))
+        while m[t] < dip and t + 1 < hi and m[t + 1] < m[t]:
             t += 1
-        bend = m[t - 1] - 2 * m[t] + m[t + 1] if t + 1 <= hi else 0
-        out.append(rate / (t + (0.5 * (m[t - 1] - m[t + 1]) / bend if bend > 0 else 0)))
+        bend = m[t - 1] - 2 * m[t] + m[t + 1]
+        out.append(rate / (t + (float(np.clip(0.5 * (m[t - 1] - m[t + 1]) / bend, -1, 1)) if abs(bend) > 1e-12 else 0.0)))
     return np.array(out)
 
 
@@ -142,16 +148,28 @@ def similarity_fit(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.
     return scale, rot, mb - scale * rot @ ma
 
 
+#: Root mean square under which a frame is silence, whatever the other frames are.
+SILENCE = 1e-3
+
+
 def cepstral_profile(x: np.ndarray, rate: int, coefs: int = 20) -> np.ndarray:
-    """Unit mean of the louder half's cepstra without the level term."""
-    n, hop = int(0.032 * rate), int(0.016 * rate)
+    """Unit mean of the louder frames' cepstra without the level term; empty where under two frames can be measured."""
+    n, hop = max(8, int(0.032 * rate)), max(1, int(0.016 * rate))
     if len(x) < n:
-        return np.zeros(coefs)
+        return np.zeros(0)
     f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), n)[::hop] * np.hanning(n)
-    level = np.sqrt((f * f).mean(1)) + 1e-10
-    c = np.fft.irfft(np.log(np.abs(np.fft.rfft(f / level[:, None], axis=1)) + 1e-6), axis=1)[:, 1 : coefs + 1]
-    m = c[level >= np.median(level)].mean(0)
-    return m / (np.linalg.norm(m) + 1e-12)
+    level = np.sqrt(np.square(f).mean(1))
+    loud = level > SILENCE
+    if loud.sum() >= 4:
+        loud &= level >= np.median(level[loud])
+    if loud.sum() < 2:
+        return np.zeros(0)
+    spectrum = np.abs(np.fft.rfft(f[loud], axis=1))
+    # Each frame over its own mean before the log, so that the profile doesn't follow the level.
+    spectrum /= spectrum.mean(1, keepdims=True) + 1e-20
+    mean = np.fft.irfft(np.log(spectrum + 1e-12), axis=1)[:, 1 : coefs + 1].mean(0)
+    norm = np.linalg.norm(mean)
+    return mean / norm if norm > 1e-12 else np.zeros(0)
 
 
 def band_profile(x: np.ndarray, rate: int, bands: int = 24, n: int = 512, hop: int = 128) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import entities, series
+from chronoweave.plans import entities, series, studio
 
-ALL = series.QUERIES | entities.QUERIES
+ALL = series.QUERIES | entities.QUERIES | studio.QUERIES
 
 
 def queries() -> dict:

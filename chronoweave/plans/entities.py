@@ -347,7 +347,7 @@ def _tones(s: SparkSession) -> DataFrame:
 
 
 def wiener_separation(s, d):
-    return sp.per_clip(_tones(s), "clip", "channel", "i", "x", lambda m: sp.wiener(m, m.sum(0)))
+    return sp.per_clip(_tones(s), "clip", "channel", "i", "x", sp.wiener)
 
 
 def stft_roundtrip(s, d):
@@ -371,7 +371,7 @@ def f0_product(s, d):
 
 
 def formant_track(s, d):
-    return sp.per_signal(_tones(s), ["clip", "channel"], "i", "x", lambda x: sp.formants(x[:640], 16000), "hz")
+    return sp.per_signal(_tones(s), ["clip", "channel"], "i", "x", lambda x: np.concatenate([sp.formants(x[k : k + 640], 16000) for k in range(0, len(x) - 639, 640)]), "hz")
 
 
 def cepstral_profile(s, d):

@@ -144,7 +144,7 @@ def test_stft_roundtrip_and_wiener():
     assert np.allclose(spectral.istft(spectral.stft(x), len(x)), x)
     t = np.arange(8000) / 16000
     a, b = np.sin(2 * np.pi * 200 * t), np.sin(2 * np.pi * 3000 * t)
-    out = spectral.wiener(np.stack([a + 0.1 * b, b + 0.1 * a]), a + b)
+    out = spectral.wiener(np.stack([a + 0.1 * b, b + 0.1 * a]), order=0)
     assert np.corrcoef(out[0], a)[0, 1] > 0.99
 
 
@@ -185,3 +185,90 @@ def test_stream_of_frames(spark, tmp_path):
     q.stop()
     got = spark.table("gate").orderBy("start").toPandas()
     assert len(got) >= 20 and got.state.iloc[0] == 0 and got.state.iloc[-1] == 1
+
+
+def _noise(n, seed):
+    return np.random.default_rng(seed).normal(size=n)
+
+
+def test_wiener_is_a_smoothed_share_of_each_stem():
+    x = np.stack([_noise(3000, 1), _noise(3000, 2) * 0.5, _noise(3000, 3)])
+    specs = [spectral.stft(v) for v in x]
+    total = sum(np.abs(s) ** 2 for s in specs) + 1e-12
+    got = spectral.wiener(x)
+    for i, s in enumerate(specs):
+        gain = np.empty(s.shape)
+        for t in range(s.shape[1]):
+            log = np.log(np.maximum(np.abs(s[:, t]) ** 2 / total[:, t], 1e-10))
+            c = np.fft.irfft(log)
+            gain[:, t] = np.clip(np.exp(np.fft.rfft([v if k < 24 or k > len(c) - 24 else 0.0 for k, v in enumerate(c)]).real), 0, 1)
+        assert np.allclose(got[i], spectral.istft(gain * s, 3000))
+    assert np.allclose(spectral.wiener(x[:1]), x[:1])
+
+
+def test_leak_of_three_stems_equals_a_plain_version():
+    x = np.stack([_noise(1500, k) for k in range(3)])
+    x[0] += 0.5 * x[1] - 0.3 * x[2]
+    s = [spectral.stft(v) for v in x]
+    rows, cols = s[0].shape
+
+    def near(z, r, c):  # mirrored at the edges
+        at = lambda k, n: -k - 1 if k < 0 else 2 * n - 1 - k if k >= n else k
+        return np.mean([z[at(r + a, rows), at(c + b, cols)] for a in range(-2, 3) for b in range(-4, 5)])
+
+    got = spectral.cancel_leak(x)
+    for i in range(3):
+        want = s[i].copy()
+        for r in range(rows):
+            for c in range(cols):
+                if not (r % 37 == 0 and c % 5 == 0):
+                    continue
+                for j in {0, 1, 2} - {i}:
+                    pi, pj = near(np.abs(s[i]) ** 2, r, c) + 1e-20, near(np.abs(s[j]) ** 2, r, c) + 1e-20
+                    a = near(s[i] * s[j].conj(), r, c) / pj
+                    want[r, c] -= a / max(abs(a), 1) * s[j][r, c] / (1 + pi / pj)
+        p, copy = spectral.leakage(s, (5, 9))
+        mine = s[i] - sum(copy(i, j) / (1 + p[i] / p[j]) for j in range(3) if j != i)
+        at = np.ix_(range(0, rows, 37), range(0, cols, 5))
+        assert np.allclose(mine[at], want[at]) and np.allclose(got[i], spectral.istft(mine, 1500))
+
+
+def test_yin_falls_back_to_the_least_value():
+    noise = spectral.f0_yin(_noise(4096, 5), 16000)
+    assert len(noise) == 4 and np.isfinite(noise).all()
+    t = np.arange(4096) / 16000
+    assert np.allclose(spectral.f0_yin(np.sin(2 * np.pi * 150 * t) + 5.0, 16000), 150, atol=2)
+
+
+def test_cepstral_profile_of_silence_and_level():
+    assert len(spectral.cepstral_profile(np.zeros(16000), 16000)) == len(spectral.cepstral_profile(np.ones(100), 16000)) == len(spectral.cepstral_profile(_noise(16000, 1) * 1e-5, 16000)) == 0
+    x = _noise(16000, 1)
+    assert np.allclose(spectral.cepstral_profile(x, 16000), spectral.cepstral_profile(x * 0.25, 16000))
+    n, hop = 512, 256
+    frames = [x[k : k + n] * np.hanning(n) for k in range(0, len(x) - n + 1, hop)]
+    level = np.array([np.sqrt(np.mean(f * f)) for f in frames])
+    ceps = []
+    for f in [f for f, v in zip(frames, level, strict=True) if v >= np.percentile(level, 50)]:
+        m = np.abs(np.fft.rfft(f))
+        ceps.append(np.fft.irfft(np.log(m / m.mean() + 1e-12))[1:21])
+    want = np.mean(ceps, 0)
+    assert np.allclose(spectral.cepstral_profile(x, 16000), want / np.linalg.norm(want))
+
+
+def test_rival_max_of_many_channels(spark):
+    from chronoweave.operators import gates
+
+    r = np.random.default_rng(0)
+    rows = [(f, c, float(v)) for f in range(20) for c, v in enumerate(r.integers(0, 9, f))]
+    got = gates.rival_max(spark.createDataFrame(rows, "frame long, channel long, v double"), ["frame"], "channel", "v", "rival").collect()
+    for x in got:
+        assert x.rival == max((v for f, c, v in rows if f == x.frame and c != x.channel), default=None)
+
+
+def test_backfill_gives_free_tracks_no_confidence(spark):
+    from chronoweave.operators import matching
+
+    held = spark.createDataFrame([(1, "a", "x", 0.4)], "clip int, track string, stem string, confidence double")
+    scores = spark.createDataFrame([(1, t, s, v) for t, s, v in [("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.7), ("b", "y", 0.1), ("c", "y", 0.3)]], "clip int, track string, stem string, score double")
+    got = {(r.track, r.stem, r.confidence) for r in matching.backfill(held, scores, ["clip"], "track", "stem", "score").collect()}
+    assert got == {("a", "x", 0.4), ("c", "y", 0.0)}
