@@ -4,8 +4,10 @@ Suffixes that start at an anchor, the least 8-word hash of some 35-word window,
 anchor at the same place, so no repeat is lost. The anchor's 8 words are the suffix's prefix. Prefixes that occur once are
 leaves and are dropped. Those of memory-sized groups make one subtree each: a suffix array with its LCP values, whose
 internal nodes of depth 35 - d, met with the nodes of depth d of the tree of reversed left contexts, are the repeats that
-start d words before the anchor. Prefixes of more suffixes than a group may hold grow to all 35 words, where a node is one
-equal sequence and its count decides.
+start d words before the anchor. Prefixes of more suffixes than a group may hold grow: their windows are parted by d into
+ever narrower ranges, and those of a range share a longer stretch of words around the anchor (22, 29, 32, 34 of the 35),
+which is the prefix of a group of its own. Unique prefixes end at each step. Only a group that is still too large at all 35
+words, where its tree would be one node, is decided by its count.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import Work, table
+from chronoweave.llm.common import Work, lookup, table
 
 WINDOW, PREFIX = 35, 8
 REACH = WINDOW - PREFIX
 #: Suffixes that a subtree may hold, 250 bytes each.
 GROUP = 100_000
+#: Ranges of d that prefixes grow through. The windows of a range share 35 words but for its width less one.
+RANGES = (1, 2, 4, 7, 14, 28)
 #: Words handled at a time by a task.
 BATCH = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -111,43 +115,51 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array(at)], ["h", "kid", "at"])
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, kid, at, words): of usual prefixes the words around the anchor; of hot ones each window's hash."""
+def _hits(b: pa.RecordBatch, codes: _Codes):
+    """Of the texts with hits, a part at a time: word codes, the first word and row id of each hit's text, and the hits."""
+    rows = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
+    keep = b.take(pa.array(rows))
+    for keys, texts, hits in _parts(keep.column(0).to_pylist(), keep.column(1).to_pylist(), keep.column(2).to_pylist()) if len(rows) else ():
+        c, sizes = _coded(texts, codes)
+        doc = np.repeat(np.arange(len(keys)), [len(x) for x in hits])
+        at = np.array([x["at"] for y in hits for x in y], np.int64)
+        key = np.array([x["key"] for y in hits for x in y], np.int64)
+        yield c, (np.cumsum(sizes) - sizes)[doc], np.array(keys, np.int64)[doc], at, key
+
+
+def _grown(ranges: int):
+    """(key, kid, at) of suffixes by their windows' ranges: the key is the hash of the words that a range's windows share."""
+    width = (REACH + 1) // ranges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            for c, start, kid, at, _ in _hits(b, codes):
+                h = _grams(c, WINDOW - width + 1)
+                most = at >> 6 & 63
+                least = most - (at & 63)
+                for q in range(ranges):
+                    hi, lo = np.minimum(most, (q + 1) * width - 1), np.maximum(least, q * width)
+                    some = np.flatnonzero(lo <= hi)
+                    if len(some):
+                        key = h[(start + (at >> 12) - q * width)[some]] * _M + np.uint64(q * 64 + ranges)
+                        own = (at[some] >> 12) << 12 | hi[some] << 6 | (hi - lo)[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kid[some]), pa.array(own)], ["key", "kid", "at"])
+
+    return run
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, kid, at, words): the words that the windows of each suffix hold."""
     codes = _Codes()
     for b in batches:
-        found = b.column(2)
-        rows = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-        if not len(rows):
-            continue
-        keep = b.take(pa.array(rows))
-        for keys, texts, hits in _parts(keep.column(0).to_pylist(), keep.column(1).to_pylist(), keep.column(2).to_pylist()):
-            c, sizes = _coded(texts, codes)
-            short = c.astype(np.uint32)
-            doc = np.repeat(np.arange(len(keys)), [len(x) for x in hits])
-            at = np.array([x["at"] for y in hits for x in y], np.int64)
-            h = np.array([x["h"] for y in hits for x in y], np.int64)
-            hot = np.array([x["hot"] for y in hits for x in y], bool)
-            start = (np.cumsum(sizes) - sizes)[doc]
-            kid = np.array(keys, np.int64)[doc]
-            place = start + (at >> 12)
-            lo = place - (at >> 6 & 63)
-            hi = lo + (at & 63)
-            if (~hot).any():
-                x, y = lo[~hot], hi[~hot] + WINDOW
-                size = y - x
-                offsets = np.concatenate(([0], np.cumsum(size)))
-                flat = short[np.repeat(x - offsets[:-1], size) + np.arange(offsets[-1])]
-                words = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(flat)])
-                yield _row(0, h[~hot], kid[~hot], at[~hot], words)
-            if hot.any():
-                whole = _grams(c, WINDOW).view(np.int64)
-                n = (hi - lo + 1)[hot]
-                p = np.repeat(lo[hot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                yield _row(1, whole[p], np.repeat(kid[hot], n), p - np.repeat(start[hot], n), pa.nulls(len(p), pa.binary()))
-
-
-def _row(kind, key, kid, at, words):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(kid), pa.array(at), words], ["kind", "key", "kid", "at", "words"])
+        for c, start, kid, at, key in _hits(b, codes):
+            lo = start + (at >> 12) - (at >> 6 & 63)
+            size = (at & 63) + WINDOW
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            flat = c.astype(np.uint32)[np.repeat(lo - offsets[:-1], size) + np.arange(offsets[-1])]
+            held = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kid), pa.array(at), held], ["key", "kid", "at", "words"])
 
 
 def _ranked(context: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,24 +265,38 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     """doc_id, n_words, n_removed and the kept words joined by one space, of every row.
 
     A word goes if a 35-word window over it starts anywhere else too, in the same text included. Null and empty texts and
-    those of under 35 words lose nothing. Rows that repeat id and text repeat each other's windows. Rows are followed by a
-    64-bit hash of id and text.
+    those of under 35 words lose nothing. Rows that repeat id and text repeat each other's windows. An empty table gives no
+    rows; columns other than key and text are left out. Rows are followed by a 64-bit hash of id and text. A group over the
+    bound at the full length of a window goes by its 64-bit hash; all others are compared word by word.
     """
     work = Work(docs.sparkSession, "substring")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(key, text).alias("kid"))
-    found = work.write(rows.select("kid", "text").mapInArrow(_first_pass, "h long, kid long, at long"))
-    many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    found = found.join(many, "h").groupBy("kid").agg(F.collect_set(F.struct("h", "at", (F.col("n") > group).alias("hot"))).alias("hits"))
-    second = rows.join(found, "kid", "left").select("kid", "text", "hits").mapInArrow(_second_pass, "kind int, key long, kid long, at long, words binary")
-    second = work.write(second)
-    work.drop(1)
-    cool = second.where("kind = 0").select("key", "kid", "at", "words").repartition("key").sortWithinPartitions("key")
-    bits = cool.mapInArrow(_trees, "kid long, place long, bits long")
-    warm = second.where("kind = 1").select("key", "kid", "at")
-    twice = warm.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bits = bits.unionByName(warm.join(twice, "key").select("kid", F.col("at").alias("place"), F.lit(1).cast("long").alias("bits")))
-    bits = bits.groupBy("kid").agg(F.collect_list(F.struct("place", "bits")).alias("repeats"))
-    return rows.join(bits, "kid", "left").select("doc_id", "text", "repeats").mapInArrow(_last_pass, "doc_id long, n_words long, n_removed long, kept string")
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("kid", F.xxhash64("doc_id", "text"))
+
+    def with_hits(hits: DataFrame) -> DataFrame:
+        packed = hits.groupBy("kid").agg(F.collect_set(F.struct("key", "at")).alias("hits"))
+        return rows.join(packed, "kid").select("kid", "text", "hits")
+
+    level = work.write(rows.select("kid", "text").mapInArrow(_first_pass, "h long, kid long, at long").withColumnRenamed("h", "key"))
+    fits, bits = None, None
+    for ranges in RANGES:
+        many = work.write(level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        total = level.count()
+        own = lookup(level, many.where(F.col("n") <= group), "key", "n", total).select("key", "kid", "at")
+        fits = own if fits is None else fits.unionByName(own)
+        if not many.where(F.col("n") > group).limit(1).count():
+            break
+        hot = lookup(level, many.where(F.col("n") > group), "key", "n", total)
+        if ranges == RANGES[-1]:
+            bits = hot.select("kid", F.shiftright("at", 12).alias("place"), F.expr("shiftleft(1L, int(shiftright(at, 6) & 63))").alias("bits"))
+        else:
+            level = work.write(with_hits(hot).mapInArrow(_grown(RANGES[RANGES.index(ranges) + 1]), "key long, kid long, at long"))
+    held = work.write(with_hits(fits).mapInArrow(_words, "key long, kid long, at long, words binary"))
+    found = held.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "kid long, place long, bits long")
+    found = found if bits is None else found.unionByName(bits)
+    found = found.groupBy("kid").agg(F.collect_set(F.struct("place", "bits")).alias("repeats"))
+    out = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    return rows.join(found, "kid", "left").select("doc_id", "text", "repeats").mapInArrow(_last_pass, out)
 
 
 def op3_suffix_tree_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -299,9 +299,13 @@ def test_bit_sliced_counter():
     assert set(hit[hit < len(fps)]) == {i for i, x in enumerate(fps) if (int(x) ^ q).bit_count() <= 3}
 
 
-@pytest.mark.parametrize("group", [100_000, 1])
+@pytest.mark.parametrize("group", [100_000, 6, 3, 1])
 def test_substring(docs, none, group):
-    table = [(r[0], r[1], words(r[1])) for r in rows()]
+    r = random.Random(21)
+    base = prose(r, 90).split(" ")
+    own = [(900 + k, " ".join(prose(r, k % 5).split(" ") + base[3 * k : 3 * k + 50] + prose(r, 9).split(" "))) for k in range(14)]
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(own, "doc_id long, text string"))
+    table = [(x[0], x[1], words(x[1])) for x in [*rows(), *own]]
     seen = Counter(tuple(w[i : i + 35]) for *_, w in table for i in range(len(w) - 34))
 
     def plain(w):
