@@ -28,7 +28,7 @@ def assignments(scores: DataFrame, keys: list[str], row: str, col: str, score: s
     """Every injective map of rows to columns with its total, as an array of columns in order of rows.
 
     Built row by row: each step joins what is there with the scores of the next row and drops columns already used. With
-    more rows than columns transpose first. At most 4! maps a key.
+    more rows than columns transpose first. For a handful of rows: n columns have n! maps.
     """
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(row)) - 1
     ranked = scores.withColumn("_r", rank).select(*keys, "_r", F.col(col).alias("_c"), F.col(score).alias("_s"))

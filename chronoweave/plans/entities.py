@@ -48,12 +48,12 @@ def weighted_profile(s, d):
 WEIGHTED = f"WITH {E} SELECT k, dim, round(sum(w * x) / sum(w), 6) + 0.0 AS x FROM (SELECT vec_id % 3 AS k, label + 1 AS w, unnest(range(64)) AS dim, unnest(v) AS x FROM e) GROUP BY 1, 2"
 
 
-def _refs(s, d, n: int = 3) -> DataFrame:
-    m = ve.mean_vector(_vectors(s, d).where(F.col("label") < n), ["label"], "v")
+def _refs(s, d) -> DataFrame:
+    m = ve.mean_vector(_vectors(s, d), ["label"], "v")
     return m.select(F.col("label").alias("ref"), nu.unit(F.col("mean")).alias("rv"))
 
 
-REFS = f"""{E}, md AS (SELECT label AS ref, dim, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS dim, unnest(v) AS x FROM e WHERE label < 3) GROUP BY 1, 2),
+REFS = f"""{E}, md AS (SELECT label AS ref, dim, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS dim, unnest(v) AS x FROM e) GROUP BY 1, 2),
 ml AS (SELECT ref, list(x ORDER BY dim) AS m FROM md GROUP BY 1), refs AS (SELECT ref, list_transform(m, lambda y: y / sqrt(list_inner_product(m, m))) AS rv FROM ml),
 sc AS (SELECT vec_id, label, ref, list_inner_product(v, rv) AS s FROM e, refs)"""
 
@@ -66,11 +66,11 @@ NEAREST = f"WITH {REFS}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id
 
 
 def relative_score(s, d):
-    df = ve.relative_score(_vectors(s, d).where("label < 3"), _refs(s, d), ["vec_id"], "label", "v", "ref", "rv")
+    df = ve.relative_score(_vectors(s, d), _refs(s, d), ["vec_id"], "label", "v", "ref", "rv")
     return df.select("vec_id", "label", r6("score").alias("score"))
 
 
-RELATIVE = f"WITH {REFS} SELECT vec_id, label, round(max(CASE WHEN ref = label THEN s END) - max(CASE WHEN ref <> label THEN s END), 6) + 0.0 AS score FROM sc WHERE label < 3 GROUP BY 1, 2"
+RELATIVE = f"WITH {REFS} SELECT vec_id, label, round(max(CASE WHEN ref = label THEN s END) - max(CASE WHEN ref <> label THEN s END), 6) + 0.0 AS score FROM sc GROUP BY 1, 2"
 
 
 def face_match(s, d):
@@ -83,9 +83,9 @@ FACE = f"WITH {REFS}, b AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -1.0 EL
 
 
 def cluster_share_claim(s, d):
-    """Shares of clusters per owner, the best exclusive claim, purity, and the unclaimed."""
-    near = ve.nearest_reference(_vectors(s, d), _refs(s, d), ["vec_id", "label"], "v", "ref", "rv")
-    shares = ve.cluster_shares(near.where("label < 2"), "label", "ref")
+    """Shares of clusters per owner (labels even and odd), the best exclusive claim, purity, and the unclaimed."""
+    near = ve.nearest_reference(_vectors(s, d).withColumn("label", F.col("label") % 2), _refs(s, d), ["vec_id", "label"], "v", "ref", "rv")
+    shares = ve.cluster_shares(near, "label", "ref")
     best = mt.best_and_margin(mt.assignments(shares, [], "label", "ref", "share", 2), [])
     held = best.select(F.posexplode("plan").alias("label", "ref"))
     pure = ve.purity(shares, held.withColumn("label", F.col("label").cast("long")), "label", "ref")
@@ -94,7 +94,7 @@ def cluster_share_claim(s, d):
 
 
 CLAIM = f"""
-WITH {REFS}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref) AS k FROM sc WHERE label < 2), n AS (SELECT label, ref FROM k WHERE k = 1),
+WITH {REFS}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref) AS k FROM sc), n AS (SELECT label % 2 AS label, ref FROM k WHERE k = 1),
 g AS (SELECT l.label, r.ref, (SELECT count(*) FROM n WHERE n.label = l.label AND n.ref = r.ref) / (SELECT count(*) FROM n WHERE n.label = l.label) AS share FROM (SELECT DISTINCT label FROM n) l, (SELECT DISTINCT ref FROM n) r),
 p AS (SELECT a.ref AS ra, b.ref AS rb FROM g a, g b WHERE a.label = 0 AND b.label = 1 AND a.ref <> b.ref ORDER BY a.share + b.share DESC, a.ref, b.ref LIMIT 1)
 SELECT g.label, g.ref, round(share, 6) + 0.0 AS purity FROM g, p WHERE (label = 0 AND ref = ra) OR (label = 1 AND ref = rb)

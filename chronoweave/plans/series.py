@@ -270,13 +270,13 @@ SELECT channel, hour, round(coalesce(v, p + (q - p) * (hour - pa) / (qa - pa), p
 
 
 def stretch_length(s, d):
-    day = hourly(s, d).where("hour < 24").withColumn("v", F.col("n").cast("double"))
-    return rs.match_length(day, K, I, "v", 37).select("channel", F.col("out").cast("long").alias("out"), r6("v").alias("v"))
+    h = hourly(s, d).withColumn("v", F.col("n").cast("double"))
+    return rs.match_length(h, K, I, "v", 1111).select("channel", F.col("out").cast("long").alias("out"), r6("v").alias("v"))
 
 
 STRETCH = f"""
-WITH {H}, o AS (SELECT channel, o, o * 23 / 36.0 AS t FROM (SELECT DISTINCT channel FROM h), (SELECT unnest(range(37)) AS o))
-SELECT o.channel, o AS out, round(a.n + (b.n - a.n) * (t - floor(t)), 6) + 0.0 AS v FROM o JOIN h a ON a.channel = o.channel AND a.hour = floor(t) JOIN h b ON b.channel = o.channel AND b.hour = least(floor(t) + 1, 23)"""
+WITH {H}, o AS (SELECT channel, o, o * 719 / 1110.0 AS t FROM (SELECT DISTINCT channel FROM h), (SELECT unnest(range(1111)) AS o))
+SELECT o.channel, o AS out, round(a.n + (b.n - a.n) * (t - floor(t)), 6) + 0.0 AS v FROM o JOIN h a ON a.channel = o.channel AND a.hour = floor(t) JOIN h b ON b.channel = o.channel AND b.hour = least(floor(t) + 1, 719)"""
 
 
 def fit_length(s, d):
@@ -320,17 +320,14 @@ y AS (SELECT *, CASE WHEN n > 0 THEN round(4.0 * greatest(0.0, least(1.0, rival
 {gate_sql('y', '-6 + shift', '-9 + shift')}
 SELECT channel, hour, round(shift, 6) + 0.0 AS shift, state FROM g"""
 
-THREE = ("click", "signup", "view")
-
-
 def _pair(s, d, b: str = "energy"):
-    h = hourly(s, d).where(F.col("channel").isin(*THREE))
+    h = hourly(s, d)
     z = fr.zscore(fr.zscore(h, K, "n", "za"), K, b, "zb")
     return z.select(F.col("channel").alias("track"), "hour", "za"), z.select(F.col("channel").alias("stem"), "hour", "zb")
 
 
-Z3 = f"""{H}, z AS (SELECT channel, hour, (n - avg(n) OVER w) / stddev_pop(n) OVER w AS za, (energy - avg(energy) OVER w) / stddev_pop(energy) OVER w AS zb,
-  (db - avg(db) OVER w) / stddev_pop(db) OVER w AS zd FROM h WHERE channel IN ('click', 'signup', 'view') WINDOW w AS (PARTITION BY channel))"""
+ZS = f"""{H}, z AS (SELECT channel, hour, (n - avg(n) OVER w) / stddev_pop(n) OVER w AS za, (energy - avg(energy) OVER w) / stddev_pop(energy) OVER w AS zb,
+  (db - avg(db) OVER w) / stddev_pop(db) OVER w AS zd FROM h WINDOW w AS (PARTITION BY channel))"""
 
 
 def score_matrix(s, d):
@@ -338,7 +335,7 @@ def score_matrix(s, d):
     return mt.score_matrix(a, b, [], "hour", "track", "stem", "za", "zb", HOURS).select("track", "stem", r6("score").alias("score"))
 
 
-SCORES = f"WITH {Z3} SELECT a.channel AS track, b.channel AS stem, round(sum(a.za * b.zb) / 720, 6) + 0.0 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2"
+SCORES = f"WITH {ZS} SELECT a.channel AS track, b.channel AS stem, round(sum(a.za * b.zb) / 720, 6) + 0.0 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2"
 
 
 def correlation_matrix(s, d):
@@ -346,32 +343,41 @@ def correlation_matrix(s, d):
     return mt.correlation_matrix(a, b, [], "hour", "track", "stem", "za", "zb").select("track", "stem", r6("score").alias("score"))
 
 
-CORRELATIONS = f"WITH {Z3} SELECT a.channel AS track, b.channel AS stem, round(abs(sum(a.za * b.zd)) / (sqrt(sum(a.za * a.za) * sum(b.zd * b.zd)) + 1e-12), 6) + 0.0 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2"
+CORRELATIONS = f"WITH {ZS} SELECT a.channel AS track, b.channel AS stem, round(abs(sum(a.za * b.zd)) / (sqrt(sum(a.za * a.za) * sum(b.zd * b.zd)) + 1e-12), 6) + 0.0 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2"
+
+
+def _plans(m: DataFrame, keys: list[str], tracks: DataFrame) -> DataFrame:
+    """Best plan and margin of scores of all channels with all: as many rows as there are channels, a handful."""
+    return mt.best_and_margin(mt.assignments(m, keys, "track", "stem", "score", tracks.select("track").distinct().count()), keys)
 
 
 def assign_margin(s, d):
     a, b = _pair(s, d)
-    m = mt.best_and_margin(mt.assignments(mt.score_matrix(a, b, [], "hour", "track", "stem", "za", "zb", HOURS), [], "track", "stem", "score", 3), [])
+    m = _plans(mt.score_matrix(a, b, [], "hour", "track", "stem", "za", "zb", HOURS), [], a)
     return m.select(F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"))
 
 
-PLANS = """p AS (SELECT lag, a.stem || ',' || b.stem || ',' || c.stem AS plan, a.score + b.score + c.score AS total FROM m a JOIN m b USING (lag) JOIN m c USING (lag)
-  WHERE a.track = 'click' AND b.track = 'signup' AND c.track = 'view' AND a.stem <> b.stem AND a.stem <> c.stem AND b.stem <> c.stem),
+#: The five channels of the events table, each in order with a stem of its own.
+_FIVE = "abcde"
+PLANS = f"""mr AS (SELECT *, dense_rank() OVER (ORDER BY track) AS r FROM m),
+p AS (SELECT lag, {" || ',' || ".join(f"{x}.stem" for x in _FIVE)} AS plan, {' + '.join(f'{x}.score' for x in _FIVE)} AS total FROM (SELECT * FROM mr WHERE r = 1) a
+  {' '.join(f'JOIN (SELECT * FROM mr WHERE r = {i + 1}) {x} USING (lag)' for i, x in enumerate(_FIVE) if i)}
+  WHERE {' AND '.join(f'{x}.stem <> {y}.stem' for i, x in enumerate(_FIVE) for y in _FIVE[:i])}),
 q AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY total DESC, plan) AS k FROM p),
 t AS (SELECT a.lag, a.plan, a.total, greatest(0.0, a.total - b.total) AS margin FROM q a JOIN q b USING (lag) WHERE a.k = 1 AND b.k = 2)"""
-ASSIGN = f"""WITH {Z3}, m AS (SELECT 0 AS lag, a.channel AS track, b.channel AS stem, sum(a.za * b.zb) / 720 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2, 3), {PLANS}
+ASSIGN = f"""WITH {ZS}, m AS (SELECT 0 AS lag, a.channel AS track, b.channel AS stem, sum(a.za * b.zb) / 720 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2, 3), {PLANS}
 SELECT plan, round(total, 6) + 0.0 AS total, round(margin, 6) + 0.0 AS margin FROM t"""
 
 
 def shift_significance(s, d, feature: str = "energy"):
     a, b = _pair(s, d, feature)
     m = mt.shift_scores(a, b, "hour", "track", "stem", "za", "zb", HOURS)
-    best = mt.best_and_margin(mt.assignments(m, ["lag"], "track", "stem", "score", 3), ["lag"])
+    best = _plans(m, ["lag"], a)
     out = mt.significance(best, HOURS)
     return out.select(F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"), r6("p").alias("p"), r6("agreement").alias("agreement"), mt.trusted(F.col("p"), F.col("margin")).alias("trusted"))
 
 
-SHIFTS = f"""WITH {Z3}, l AS (SELECT unnest(range(720)) AS lag),
+SHIFTS = f"""WITH {ZS}, l AS (SELECT unnest(range(720)) AS lag),
 m AS (SELECT lag, a.channel AS track, b.channel AS stem, sum(a.za * b.zb) / 720 AS score FROM l, z a JOIN z b ON b.hour = (a.hour + lag) % 720 GROUP BY 1, 2, 3), {PLANS},
 o AS (SELECT * FROM t WHERE lag = 0)
 SELECT o.plan, round(o.total, 6) + 0.0 AS total, round(o.margin, 6) + 0.0 AS margin, round((sum((t.margin >= o.margin)::INT) + 1) / 720.0, 6) + 0.0 AS p,
