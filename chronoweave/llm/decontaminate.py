@@ -1,20 +1,25 @@
 """Benchmark decontamination: a hash set of normalised test n-grams, scanned over every document's word windows.
 
 A window of n words holds a whole gram of q = (n + 1) // 2 words that starts at a multiple of q, whatever its offset. So
-each document looks up only every q-th gram; texts without a hit end there. The others look up every window. Hits carry
-their words, and a join with the benchmark's windows on hash and words settles them.
+each document looks up only every q-th gram, and after a hit the windows that hold it. The set is a table of bits in which
+each hash has two, and travels with the tasks. What passes carries its words, and a join with the benchmark's windows on
+hash and words settles it: a fuller set lets more pass to the join, but never changes the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import Work, ascii_lower, gram_hash, positions, table
+from chronoweave.llm.common import Work, ascii_lower, gram_hash, lookup, positions, table
 
 WINDOW = 13
-#: Greatest number of distinct benchmark windows for which sets travel with the tasks (8 bytes each, and as many seeds).
+#: Greatest number of distinct benchmark windows that are broadcast to the join; more are shuffled with what the set let pass.
 MOST_IN_SET = 200_000
+#: Greatest size of the set. It has 8 to 16 bits a hash until that is reached.
+MOST_BITS = 1 << 25
 SEPARATORS = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 
 
@@ -37,53 +42,82 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     return df.select("len", "hash", "words", "items")
 
 
-def _in(values: list[int]) -> str:
-    return ", ".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values)
+def seeds(marks: DataFrame, lengths: list[int]) -> DataFrame:
+    """(hash): the grams of q words inside windows of each length."""
+    g = F.split("words", " ")
+    every = marks.select("hash")
+    for k in lengths:
+        q = (k + 1) // 2
+        here = F.transform(positions(F.lit(k - q + 1)), lambda i: F.xxhash64(*[F.get(g, i + j) for j in range(q)]))  # noqa: B023
+        every = every.unionByName(marks.where(F.col("len") == k).select(F.explode(here).alias("hash")))
+    return every.distinct()
 
 
-def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, most_in_set: int = MOST_IN_SET) -> DataFrame:
-    """doc_id, text_hash, rows, n_words, n_hit, n_items, items (array) for each distinct (doc_id, text).
+def hash_set(hashes: DataFrame, most_bits: int = MOST_BITS) -> Callable[[Column], Column]:
+    """Whether a hash may be in the set: never false for one that is. The bits are at most most_bits, whatever the input."""
+    size = max(64, min(most_bits, 1 << (8 * hashes.count()).bit_length()))
+    slots = lambda h: (h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)))
+    marked = hashes.select(F.explode(F.array(*slots(F.col("hash")))).alias("slot"))
+    marked = marked.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    dense = hashes.sparkSession.range(size // 64).join(marked, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    dense = dense.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"].cast("string")), ",").alias("bits"))
+    bits = F.split(F.lit(dense.first().bits), ",").cast("array<bigint>")  # folded into one array when the plan is optimised
 
-    rows counts equal rows. Null and empty texts have no words and no hits; an empty benchmark hits nothing.
-    """
-    held = Work(docs.sparkSession, "bench")
-    marks = held.write(windows(items, n))
-    count = marks.count()
+    def held(h: Column) -> Column:
+        one, two = (F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in slots(h))
+        return one & two
+
+    return held
+
+
+def candidates(docs: DataFrame, lengths: list[int], held: Callable[[Column], Column] | None) -> DataFrame:
+    """doc_id, text_hash, n_words, hits (at, len, hash, words) of each row: the windows whose hash the set may hold."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("w"))
     w, size = F.col("w"), F.size("w")
-    none = F.array().cast("array<struct<at:int,len:int,hash:bigint,words:string>>")
+    if not lengths:
+        return base.select("doc_id", "text_hash", size.alias("n_words"), F.array().cast("array<struct<at:int,len:int,hash:bigint,words:string>>").alias("hits"))
 
-    def hits(k: int, starts: Column) -> Column:
-        one = lambda i: F.struct(i.cast("int").alias("at"), F.lit(k).alias("len"), gram_hash(w, i, k).alias("hash"), F.array_join(F.slice(w, i + 1, k), " ").alias("words"))
-        return F.coalesce(F.transform(starts, one), none)
+    def gram(k: int, n: int, at: Column) -> Column:
+        return F.struct(F.lit(k).alias("len"), at.cast("int").alias("at"), gram_hash(w, at, n).alias("hash"))
 
-    def hashes(k: int, q: int, starts: Column) -> Column:
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), gram_hash(w, i * q if q > 1 else i, k).alias("hash")))
+    def grams(k: int) -> Column:
+        q = (k + 1) // 2
+        return F.transform(positions(F.when(size >= k, F.floor(size / q)).otherwise(0)), lambda p: gram(k, q, p * q))
 
+    def around(k: int) -> Column:
+        off = k - (k + 1) // 2
+        starts = lambda x: F.sequence(F.greatest(F.lit(0), x["at"] - off), F.least(x["at"], size - k))
+        return F.flatten(F.transform(F.filter("_s", lambda x: x["len"] == k), lambda x: F.transform(starts(x), lambda j: gram(k, k, j))))
+
+    base = base.withColumn("_s", F.filter(F.concat(*[grams(k) for k in lengths]), lambda x: held(x["hash"])))
+    base = base.withColumn("_h", F.filter(F.concat(*[around(k) for k in lengths]), lambda x: held(x["hash"])))
+    hit = lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["hash"].alias("hash"), F.array_join(F.slice(w, x["at"] + 1, x["len"]), " ").alias("words"))
+    return base.select("doc_id", "text_hash", size.alias("n_words"), F.transform("_h", hit).alias("hits"))
+
+
+def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, most_in_set: int = MOST_IN_SET, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id, text_hash, rows, n_words, n_hit, n_items, items (array) for each distinct (doc_id, text).
+
+    rows counts equal rows. Null and empty texts have no words and no hits; an empty benchmark hits nothing.
+    """
+    work = Work(docs.sparkSession, "bench")
+    marks = work.write(windows(items, n))
     lengths = [r[0] for r in marks.select("len").distinct().orderBy("len").limit(n).collect()]
-    per_length = []
-    for k in lengths:
-        here = marks.where(F.col("len") == k)
-        if count <= most_in_set:
-            q = (k + 1) // 2
-            full = [r[0] for r in here.select("hash").distinct().limit(most_in_set).collect()]
-            g = F.split("words", " ")
-            seeds = here.select(F.explode(F.transform(positions(F.lit(k - q + 1)), lambda i: F.xxhash64(*[F.get(g, i + j) for j in range(q)]))).alias("h"))
-            seeds = [r[0] for r in seeds.distinct().limit(most_in_set * n).collect()]
-            base = base.withColumn(f"_s{k}", hashes(q, q, positions(F.floor((size - k) / q) + 2)))
-            maybe = F.expr(f"exists(_s{k}, x -> x.hash IN ({_in(seeds)}))")
-            base = base.withColumn(f"_h{k}", F.when((size >= k) & maybe, hashes(k, 1, positions(size - (k - 1))))).drop(f"_s{k}")
-            base = base.withColumn(f"_x{k}", F.expr(f"transform(filter(_h{k}, x -> x.hash IN ({_in(full)})), x -> x.i)")).drop(f"_h{k}")
-            per_length.append(hits(k, F.col(f"_x{k}")))
-        else:  # beyond the bound every window goes to the join below, which then shuffles
-            per_length.append(hits(k, positions(size - (k - 1))))
-    base = base.select("doc_id", "text_hash", size.alias("n_words"), F.concat(none, *per_length).alias("hits"))
-    one = base.select("doc_id", "text_hash", "n_words", F.posexplode_outer("hits").alias("no", "hit"))
-    one = one.select("doc_id", "text_hash", "n_words", F.when(F.coalesce(F.col("no"), F.lit(0)) == 0, 1).otherwise(0).alias("first"), "hit.*")
-    marks = F.broadcast(marks) if count <= most_in_set else marks
-    one = one.join(marks, ["len", "hash", "words"], "left")
-    spans = F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "len")))
-    df = one.groupBy("doc_id", "text_hash", "n_words").agg(F.sum("first").alias("rows"), F.sort_array(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    held = hash_set(work.write(seeds(marks, lengths)), most_bits) if lengths else None
+    base = work.write(candidates(docs, lengths, held))
+    maybe = base.select("doc_id", "text_hash", "n_words", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "n_words", "hit.*")
+    if marks.count() <= most_in_set:
+        found = maybe.join(F.broadcast(marks), ["len", "hash", "words"])
+    else:
+        times = maybe.groupBy("hash").agg(F.count("*").alias("times"))
+        same = marks.groupBy("hash").agg(F.collect_list(F.struct(F.col("len").alias("l"), F.col("words").alias("ws"), F.col("items").alias("its"))).alias("same"))
+        same = work.write(same.join(times, "hash"))
+        total = same.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+        found = lookup(maybe, same, "hash", "times", total)
+        found = found.withColumn("m", F.explode(F.filter("same", lambda m: (m["l"] == F.col("len")) & (m["ws"] == F.col("words"))))).withColumn("items", F.col("m.its"))
+    found = found.select("doc_id", "text_hash", "n_words", F.lit(0).alias("first"), "items", F.struct("at", "len").alias("span"))
+    one = base.select("doc_id", "text_hash", "n_words", F.lit(1).alias("first")).unionByName(found, allowMissingColumns=True)
+    df = one.groupBy("doc_id", "text_hash", "n_words").agg(F.sum("first").alias("rows"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(a["end"], s["at"]))).alias("n"))
     covered = F.aggregate("spans", start, step, lambda a: a["n"]).cast("long")

@@ -167,6 +167,18 @@ def test_decontamination(spark, docs, none, most):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
     assert decontaminate.scan(none, bench).count() == 0
     assert decontaminate.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    plain = frame(decontaminate.scan(docs, bench))
+    assert frame(decontaminate.scan(odd(docs), odd(bench), most_in_set=most, most_bits=64)) == plain  # a full set lets every window pass
+
+
+def test_decontamination_hash_set(spark):
+    r = random.Random(3)
+    inside = [r.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    held = decontaminate.hash_set(spark.createDataFrame([(h,) for h in inside], "hash long"))
+    others = [r.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    got = spark.createDataFrame([(h, i) for i, hs in enumerate((others, inside)) for h in hs], "hash long, inside int").select("inside", held(F.col("hash")).alias("held")).groupBy("inside", "held").count().collect()
+    count = {(x.inside, x.held): x["count"] for x in got}
+    assert count[1, True] == 5000 and count.get((0, True), 0) < 400  # at 8 to 16 bits a hash under 5 % pass
 
 
 def plain_fp(t):
