@@ -77,3 +77,15 @@ def identity_gate(scores: DataFrame, keys: list[str], index: str, score: str, on
     """State of window scores. The dwell counts rows, so windows left out as quiet don't count."""
     rows = max(1, round(dwell_s / hop_s))
     return hysteresis(scores, keys, index, score, F.lit(on), F.lit(off), rows, rows)
+
+
+def lift(states: DataFrame, samples: DataFrame, keys: list[str], at: str, state: str, half: float) -> DataFrame:
+    """Window states on a grid of samples: over 0.5 between the windows on either side, and within `half` of one. Without windows all are 0."""
+    df = samples.join(states.select(*keys, at, F.struct(F.col(at).alias("t"), F.col(state).alias("s")).alias("_w")), [*keys, at], "left")
+    w = by(keys, at)
+    df = df.withColumns({"_p": F.last("_w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_w", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    before, after = F.col(at) - F.col("_p.t"), F.col("_n.t") - F.col(at)
+    between = F.col("_p.s") + (F.col("_n.s") - F.col("_p.s")) * before / F.nullif(before + after, F.lit(0))
+    level = F.coalesce(between, F.col("_p.s"), F.col("_n.s"))
+    open_ = F.coalesce((level > 0.5) & (F.least(before, after) <= half), F.lit(False))
+    return df.withColumn(state, open_.cast("int")).drop("_w", "_p", "_n")

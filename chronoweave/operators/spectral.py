@@ -62,9 +62,9 @@ def _box(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return x
 
 
-def leakage(s: list[np.ndarray], size: tuple[int, int]) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+def leakage(s: list[np.ndarray], size: tuple[int, int], floor: float = 1e-20) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
     """Local powers, and for (i, j) the part of spectrum i that is a copy of spectrum j: a local regression, at most of gain one."""
-    p = [_box(np.abs(x) ** 2, size) + 1e-20 for x in s]
+    p = [_box(np.abs(x) ** 2, size) + floor for x in s]
 
     def copy(i: int, j: int) -> np.ndarray:
         cross = s[i] * s[j].conj()
@@ -84,6 +84,14 @@ def cancel_leak(stems: np.ndarray, size: tuple[int, int] = (5, 9), owner: float
     return np.stack([istft(s[i] - others(i), np.shape(stems)[1], n, hop) for i in range(len(s))])
 
 
+def refinement_inputs(mixture: np.ndarray, stems: np.ndarray, shared: float = 0.5, size: tuple[int, int] = (5, 9), n: int = 512, hop: int = 128) -> np.ndarray:
+    """The mixture for each stem without the others; of what they share with it only `shared` is taken out."""
+    s = [stft(x, n, hop) for x in stems]
+    _, copy = leakage(s, size, 1e-12)
+    others = lambda i: sum((s[j] - (1 - shared) * copy(j, i) for j in range(len(s)) if j != i), np.zeros_like(s[i]))
+    return np.stack([mixture - istft(others(i), np.shape(stems)[1], n, hop) for i in range(len(s))])
+
+
 def f0_autocorrelation(x: np.ndarray, rate: int, frame: int = 640, low: float = 70, high: float = 400, voiced: float = 0.35) -> np.ndarray:
     """Pitch of each frame from the peak of its autocorrelation; NaN where it is not periodic enough."""
     out = []

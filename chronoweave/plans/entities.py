@@ -101,6 +101,18 @@ SELECT g.label, g.ref, round(share, 6) + 0.0 AS purity FROM g, p WHERE (label =
 UNION ALL SELECT NULL, ref, NULL FROM (SELECT DISTINCT ref FROM g) x, p WHERE ref NOT IN (ra, rb)"""
 
 
+def enrolment(s, d):
+    """Each owner's claimed cluster, its purity, and its cosine with the nearest of all other clusters, claimed or not."""
+    held = cluster_share_claim(s, d).where(F.col("label").isNotNull()).join(_refs(s, d), "ref")
+    near = ve.relative_score(held.withColumnRenamed("ref", "own"), _refs(s, d), ["label", "purity"], "own", "rv", "ref", "rv")
+    return near.select("label", F.col("own").alias("ref"), "purity", r6(1 - F.col("score")).alias("rival"))
+
+
+ENROLMENT = f"""
+WITH {REFS} SELECT c.label, c.ref, c.purity, round(max(list_inner_product(a.rv, b.rv)), 6) + 0.0 AS rival
+FROM ({CLAIM}) c JOIN refs a ON a.ref = c.ref JOIN refs b ON b.ref <> c.ref WHERE c.label IS NOT NULL GROUP BY 1, 2, 3"""
+
+
 def content_hash(s, d):
     v = _vectors(s, d).select("vec_id", F.posexplode("v").alias("dim", "x"))
     return me.content_hash(v, ["vec_id"], "dim", "x", 4)
@@ -292,6 +304,27 @@ e2 AS (SELECT *, CASE WHEN score > 0.05 THEN 1 WHEN score < -0.05 THEN 0 END AS
 SELECT label, w, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY label ORDER BY w), 0)::BIGINT AS state FROM e2"""
 
 
+def identity_gate_samples(s, d):
+    """The windows' state on the grid of samples (vec_id is the centre), shut where no window is near, with ramps."""
+    q = gt.identity_gate(relative_score(s, d), ["label"], "vec_id", "score", 0.05, -0.05, 0.40, 0.5).withColumnRenamed("vec_id", "pos")
+    last = q.agg(F.max("pos").alias("last"))
+    grid = q.select("label").distinct().join(F.broadcast(last)).select("label", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pos"))
+    df = gt.lift(q, grid, ["label"], "pos", "state", 3.0)
+    return wi.ramps(df, ["label"], "pos", "state", 3, "gain").select("label", "pos", F.col("state").cast("long").alias("state"), r6("gain").alias("gain"))
+
+
+IDENTITY_SAMPLES = f"""
+WITH q AS ({RELATIVE}), e2 AS (SELECT label, vec_id AS pos, CASE WHEN score > 0.05 THEN 1 WHEN score < -0.05 THEN 0 END AS ev FROM q),
+st AS (SELECT label, pos, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY label ORDER BY pos), 0) AS st FROM e2),
+grid AS (SELECT label, pos FROM (SELECT DISTINCT label FROM st) l, (SELECT unnest(range((SELECT max(pos) + 1 FROM st))) AS pos) t),
+n AS (SELECT label, g.pos, last_value(s.st IGNORE NULLS) OVER b AS ps, max(s.pos) OVER b AS pa, first_value(s.st IGNORE NULLS) OVER f AS ns, min(s.pos) OVER f AS na FROM grid g LEFT JOIN st s USING (label, pos)
+      WINDOW b AS (PARTITION BY label ORDER BY g.pos ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY label ORDER BY g.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+a AS (SELECT label, pos, CASE WHEN least(coalesce(pos - pa, na - pos), coalesce(na - pos, pos - pa)) <= 3 AND (CASE WHEN pa IS NULL THEN ns WHEN na IS NULL OR na = pa THEN ps ELSE ps + (ns - ps) * (pos - pa) / (na - pa) END) > 0.5 THEN 1 ELSE 0 END AS s FROM n),
+p AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY label ORDER BY pos), s) AS p FROM a),
+c AS (SELECT *, min(CASE WHEN s = 1 AND p = 0 THEN pos END) OVER (PARTITION BY label ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(CASE WHEN s = 0 AND p = 1 THEN pos END) OVER (PARTITION BY label ORDER BY pos) AS prv FROM p)
+SELECT label, pos, s::BIGINT AS state, round(CASE WHEN s = 1 THEN 1.0 ELSE greatest(coalesce(CASE WHEN nxt - pos < 3 THEN 0.5 + 0.5 * cos(pi() * (nxt - pos) / 3) END, 0.0), coalesce(CASE WHEN pos - prv + 1 < 3 THEN 0.5 + 0.5 * cos(pi() * (pos - prv + 1) / 3) END, 0.0)) END, 6) + 0.0 AS gain FROM c"""
+
+
 # ---- no SQL: iterative, sequential or spectral; their tests hold them against plain versions ----------------------
 
 
@@ -334,9 +367,19 @@ def chunk_orders(s, d):
 
 
 def greedy_pairs(s, d):
-    sc = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("clip"), (F.floor(F.col("vec_id") / 50) % 4).alias("row"), F.posexplode(F.slice("embedding", 1, 4)).alias("col", "score"))
+    sc = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("clip"), (F.floor(F.col("vec_id") / 50) % 4).alias("row"), F.posexplode("embedding").alias("col", "score"))
     sc = sc.groupBy("clip", "row", "col").agg(F.max(F.col("score").cast("double")).alias("score"))
-    return mt.greedy(sc, ["clip"], "row", "col", "score")
+    return mt.greedy(sc.withColumn("col", F.col("col").cast("long")), ["clip"], "row", "col", "score")
+
+
+GREEDY = """
+WITH RECURSIVE x AS (SELECT vec_id % 50 AS clip, vec_id // 50 % 4 AS row, unnest(range(len(embedding))) AS col, unnest(embedding)::DOUBLE AS score FROM embeddings),
+sc AS (SELECT clip::BIGINT AS clip, row::BIGINT AS row, col, max(score) AS score FROM x GROUP BY ALL),
+g AS (SELECT clip, []::BIGINT[] AS rs, []::BIGINT[] AS cs, NULL::DOUBLE AS score FROM sc GROUP BY clip
+UNION ALL SELECT clip, list_append(rs, row), list_append(cs, col), score FROM (
+  SELECT g.clip, rs, cs, sc.row, sc.col, sc.score, row_number() OVER (PARTITION BY g.clip ORDER BY sc.score DESC, sc.row, sc.col) AS k
+  FROM g JOIN sc ON sc.clip = g.clip AND NOT list_contains(rs, sc.row) AND NOT list_contains(cs, sc.col)) WHERE k = 1)
+SELECT clip, rs[-1] AS row, cs[-1] AS col, score FROM g WHERE len(rs) > 0"""
 
 
 def _tones(s: SparkSession) -> DataFrame:
@@ -354,6 +397,11 @@ def stft_roundtrip(s, d):
     return sp.per_signal(_tones(s), ["clip", "channel"], "i", "x", lambda x: sp.istft(sp.stft(x), len(x)) - x, "error")
 
 
+def refinement_inputs(s, d):
+    """the sum of all channels less what is the other channels' own."""
+    return sp.per_clip(_tones(s), "clip", "channel", "i", "x", lambda m: sp.refinement_inputs(m.sum(0), np.stack([m[0] + 0.2 * m[1], m[1] + 0.2 * m[0]])))
+
+
 def leak_cancel(s, d):
     return sp.per_clip(_tones(s), "clip", "channel", "i", "x", lambda m: sp.cancel_leak(np.stack([m[0] + 0.2 * m[1], m[1] + 0.2 * m[0]])))
 
@@ -388,6 +436,8 @@ QUERIES = {
     "nearest_centroid": (nearest_centroid, NEAREST),
     "relative_score": (relative_score, RELATIVE),
     "face_match": (face_match, FACE),
+    "identity_gate_samples": (identity_gate_samples, IDENTITY_SAMPLES),
+    "enrolment": (enrolment, ENROLMENT),
     "cluster_share_claim": (cluster_share_claim, CLAIM),
     "content_hash": (content_hash, HASH),
     "auc_rank": (auc_rank, AUC),
@@ -412,10 +462,11 @@ QUERIES = {
     "entity_track": (entity_track, None),
     "fragment_merge": (fragment_merge, None),
     "chunk_orders": (chunk_orders, None),
-    "greedy_pairs": (greedy_pairs, None),
+    "greedy_pairs": (greedy_pairs, GREEDY),
     "wiener_separation": (wiener_separation, None),
     "stft_roundtrip": (stft_roundtrip, None),
     "leak_cancel": (leak_cancel, None),
+    "refinement_inputs": (refinement_inputs, None),
     "f0_track": (f0_track, None),
     "f0_yin": (f0_yin, None),
     "f0_product": (f0_product, None),

@@ -26,6 +26,21 @@ def durations(s, d):
 DURATIONS = "SELECT event_type AS channel, round(count(*) / 25.0, 6) + 0.0 AS seconds FROM events GROUP BY 1 UNION ALL SELECT 'absent', 0.0"
 
 
+def mono_resampled(s, d):
+    """The mean of the channels at each hour, read at two fifths of the rate between the hours on either side."""
+    m = fr.mono(hourly(s, d), [], "hour", "energy")
+    first = lambda h: F.ceil(h * 2 / 5)
+    out = m.select("hour", "energy", F.explode(F.when(first(F.col("hour") + 1) > first(F.col("hour")), F.sequence(first(F.col("hour")), first(F.col("hour") + 1) - 1))).alias("out"))
+    after = m.select((F.col("hour") - 1).alias("hour"), F.col("energy").alias("after"))
+    between = F.col("energy") + (F.coalesce("after", "energy") - F.col("energy")) * (F.col("out") * 2.5 - F.col("hour"))
+    return out.join(after, "hour", "left").select("out", r6(between).alias("x"))
+
+
+MONO = f"""
+WITH {H}, m AS (SELECT hour, avg(energy) AS x FROM h GROUP BY 1), g AS (SELECT unnest(range(288)) AS out)
+SELECT out, round(a.x + (coalesce(b.x, a.x) - a.x) * (out * 2.5 - a.hour), 6) + 0.0 AS x FROM g JOIN m a ON a.hour = floor(out * 2.5) LEFT JOIN m b ON b.hour = a.hour + 1"""
+
+
 def lip_apertures(s, d):
     """P9, P10 on landmark rows: the first 16 numbers of a vector are 8 points of the inner ring in its crop, the next 4 the eyes, two more the size of the crop."""
     v = F.col("v")
@@ -239,6 +254,7 @@ SELECT a.chunk, a.channel AS track, b.channel AS stem, round(avg(a.za * b.zb), 6
 
 
 QUERIES = {
+    "mono_resampled": (mono_resampled, MONO),
     "durations": (durations, DURATIONS),
     "lip_apertures": (lip_apertures, APERTURES),
     "gain_to_target": (gain_to_target, GAIN_TARGET),

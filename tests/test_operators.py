@@ -272,3 +272,36 @@ def test_backfill_gives_free_tracks_no_confidence(spark):
     scores = spark.createDataFrame([(1, t, s, v) for t, s, v in [("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.7), ("b", "y", 0.1), ("c", "y", 0.3)]], "clip int, track string, stem string, score double")
     got = {(r.track, r.stem, r.confidence) for r in matching.backfill(held, scores, ["clip"], "track", "stem", "score").collect()}
     assert got == {("a", "x", 0.4), ("c", "y", 0.0)}
+
+
+def test_refinement_inputs_equal_a_plain_version():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3, 1500))
+    mix = x.sum(0)
+    got = spectral.refinement_inputs(mix, x, 0.5)
+    s = [spectral.stft(a) for a in x]
+
+    def local(z, b, f):  # mean of 5 bins and 9 frames, mirrored at the edges
+        pick = lambda i, n: -i - 1 if i < 0 else 2 * n - i - 1 if i >= n else i
+        return np.mean([z[pick(b + i, z.shape[0]), pick(f + j, z.shape[1])] for i in range(-2, 3) for j in range(-4, 5)])
+
+    for i in range(3):
+        taken = np.zeros_like(s[i])
+        for j in set(range(3)) - {i}:
+            for b in range(s[i].shape[0]):
+                for f in range(s[i].shape[1]):
+                    a = local(s[j] * s[i].conj(), b, f) / (local(abs(s[i]) ** 2, b, f) + 1e-12)
+                    a = a / max(abs(a), 1)
+                    taken[b, f] += s[j][b, f] - 0.5 * a * s[i][b, f]
+        assert np.allclose(got[i], mix - spectral.istft(taken, 1500), atol=1e-8)
+    assert np.allclose(spectral.refinement_inputs(x[0], x[:1]), x[:1])
+
+
+def test_lift_without_windows(spark):
+    from chronoweave.operators import gates
+
+    grid = spark.range(5).select(F.lit(1).alias("k"), F.col("id").alias("at"))
+    none = spark.createDataFrame([], "k int, at long, state int")
+    assert [r.state for r in gates.lift(none, grid, ["k"], "at", "state", 2.0).collect()] == [0] * 5
+    some = spark.createDataFrame([(1, 0, 1), (1, 4, 0)], "k int, at long, state int")
+    assert [r.state for r in gates.lift(some, grid, ["k"], "at", "state", 2.0).orderBy("at").collect()] == [1, 1, 0, 0, 0]
