@@ -10,28 +10,61 @@ from chronoweave.operators.frames import absolute_step, by
 from chronoweave.operators.windows import boxcar, dilate, look_ahead, ramps
 
 
-def hysteresis(df: DataFrame, keys: list[str], index: str, value: str, open_at: Column, close_at: Column, min_on: int, min_off: int, out: str = "state") -> DataFrame:
+def _carry(df: DataFrame, keys: list[str], sums: dict[str, Column], steps: list[dict[str, Column]]) -> DataFrame:
+    """Rows with what crosses the blocks `_blk` of their series: one summary row a block, then windows over those rows alone."""
+    whole = df.groupBy(*keys, "_blk").agg(*[c.alias(n) for n, c in sums.items()])
+    for step in steps:
+        whole = whole.withColumns(step)
+    whole = whole.drop(*sums)
+    on = [df[k].eqNullSafe(whole[k]) for k in [*keys, "_blk"]]
+    return df.join(whole, on).drop(*[whole[k] for k in [*keys, "_blk"]])
+
+
+def hysteresis(df: DataFrame, keys: list[str], index: str, value: str, open_at: Column, close_at: Column, min_on: int, min_off: int, out: str = "state", block: Column | None = None) -> DataFrame:
     """0/1 state of a two-threshold machine with dwell times.
 
     It opens once min_on rows in a row are over `open_at`, from the first of them; it shuts on the min_off-th row in a row
     under `close_at`. open_at must not lie under close_at in any row. A NULL value crosses neither.
+
+    `block` is for series too long for one task: a number that grows with the index. Each block is sorted by itself; the last
+    and first rows off, the rows before and the last event cross blocks in one summary row each. The states are the same.
     """
-    w = by(keys, index)
+    parts = keys if block is None else [*keys, "_blk"]
+    if block is not None:
+        df = df.withColumn("_blk", block)
+    w = by(parts, index)
+    so_far, on_from = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     v = F.col(value)
-    df = df.withColumns({"_up": F.coalesce(v > open_at, F.lit(False)), "_dn": F.coalesce(v < close_at, F.lit(False)), "_i": F.row_number().over(w)})
-
-    def place(flag: str) -> Column:  # number of rows since the flag was last off
-        last_off = F.max(F.when(~F.col(flag), F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.when(F.col(flag), F.col("_i") - F.coalesce(last_off, F.lit(0)))
-
-    next_off = F.min(F.when(~F.col("_up"), F.col("_i"))).over(w.rowsBetween(0, Window.unboundedFollowing))
-    end = F.coalesce(next_off, F.count("*").over(Window.partitionBy(*keys)) + 1)
-    df = df.withColumns({"_u": place("_up"), "_d": place("_dn"), "_end": end})
+    df = df.withColumns({"_up": F.coalesce(v > open_at, F.lit(False)), "_dn": F.coalesce(v < close_at, F.lit(False)), "_i": F.row_number().over(w).cast("long")})
+    off = {f: F.when(~F.col(f), F.col("_i")) for f in ("_up", "_dn")}
+    local = {"_lu": F.max(off["_up"]).over(so_far), "_ld": F.max(off["_dn"]).over(so_far), "_nu": F.min(off["_up"]).over(on_from)}
+    if block is None:
+        df = df.withColumns(local | {"_end": F.count("*").over(Window.partitionBy(*keys)) + 1})
+    else:
+        order = Window.partitionBy(*keys).orderBy("_blk")
+        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        sums = {"_n": F.count("*"), "_lastu": F.max(off["_up"]), "_lastd": F.max(off["_dn"]), "_firstu": F.min(off["_up"])}
+        start = {"_from": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))}
+        reach = {
+            "_cu": F.max(F.col("_from") + F.col("_lastu")).over(before),
+            "_cd": F.max(F.col("_from") + F.col("_lastd")).over(before),
+            "_end": F.coalesce(F.min(F.col("_from") + F.col("_firstu")).over(after), F.col("_all") + 1),
+        }
+        df = _carry(df, keys, sums, [start, reach]).withColumns(local)
+        df = df.withColumns({"_lu": F.coalesce(F.col("_from") + F.col("_lu"), "_cu"), "_ld": F.coalesce(F.col("_from") + F.col("_ld"), "_cd"), "_nu": F.col("_from") + F.col("_nu"), "_i": F.col("_from") + F.col("_i")})
+        df = df.drop("_from", "_all", "_cu", "_cd")
+    run = lambda flag, last: F.when(F.col(flag), F.col("_i") - F.coalesce(last, F.lit(0)))
+    df = df.withColumns({"_u": run("_up", "_lu"), "_d": run("_dn", "_ld"), "_end": F.coalesce("_nu", "_end")})
     df = df.withColumn("_ev", F.when(F.col("_u") == min_on, 1).when(F.col("_d") == min_off, 0))
-    held = F.last("_ev", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if block is None:
+        held = F.last("_ev", ignorenulls=True).over(so_far)
+    else:
+        last = {"_last": F.max(F.when(F.col("_ev").isNotNull(), F.struct("_i", "_ev")))}
+        df = _carry(df, keys, last, [{"_held": F.last("_last", ignorenulls=True).over(before)["_ev"]}])
+        held = F.coalesce(F.last("_ev", ignorenulls=True).over(so_far), "_held")
     early = F.col("_up") & (F.col("_u") + F.col("_end") - F.col("_i") - 1 >= min_on)
     state = (F.coalesce(held, F.lit(0)) == 1) | early
-    return df.withColumn(out, state.cast("int")).drop("_up", "_dn", "_i", "_u", "_d", "_end", "_ev")
+    return df.withColumn(out, state.cast("int")).drop("_up", "_dn", "_i", "_lu", "_ld", "_nu", "_u", "_d", "_end", "_ev", "_blk", "_held")
 
 
 def veto_shift(mine: Column, mine_ok: Column, rival: Column, rival_ok: Column, db: float = 4.0, symmetric: bool = False) -> Column:

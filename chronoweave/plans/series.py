@@ -81,6 +81,22 @@ def hysteresis_gate(s, d):
     return _gated(s, d).select("channel", F.col("hour").cast("long").alias("hour"), F.col("state").cast("long").alias("state"))
 
 
+#: Rows of a long series that are sorted in one task.
+BLOCK = 8192
+
+
+def gate_long(s, d):
+    """All events as one series in blocks: no task holds the series, however long it is."""
+    e = table(s, d, "events").select(F.lit("all").alias("channel"), F.col("event_id").alias("hour"), F.log10("value").alias("rel"))
+    df = gt.hysteresis(e, K, I, "rel", F.lit(1.6), F.lit(1.2), 2, 3, block=F.floor(F.col("hour") / BLOCK))
+    return df.select(F.col("hour").alias("event_id"), F.col("state").cast("long").alias("state"))
+
+
+GATE_LONG = f"""
+WITH r AS (SELECT 'all' AS channel, event_id AS hour, log10(value) AS rel FROM events), {gate_sql('r', '1.6', '1.2', 2, 3)}
+SELECT hour AS event_id, state FROM g"""
+
+
 def gate_full(s, d):
     df = gt.gate(_rel(s, d), K, I, "rel", -6.0, -9.0, 2, 2, 1, 3)
     return df.select("channel", F.col("hour").cast("long").alias("hour"), F.col("state").cast("long").alias("state"), r6("gain").alias("gain"), r6(F.col("gain") * F.col("energy"), 7).alias("out_energy"))
@@ -606,6 +622,7 @@ QUERIES = {
     "frame_energy": (frame_energy, f"WITH {H} SELECT channel, hour, n, round(db, 4) + 0.0 AS db FROM h"),
     "sample_frames": (sample_frames, SAMPLE_FRAMES),
     "rel_level_p95": (rel_level_p95, f"WITH {H} SELECT channel, hour, round(rel, 4) + 0.0 AS rel FROM r"),
+    "gate_long": (gate_long, GATE_LONG),
     "hysteresis_gate": (hysteresis_gate, f"WITH {H}, {gate_sql('r')} SELECT channel, hour, state FROM g"),
     "gate_full": (gate_full, GATE_FULL),
     "gate_runs": (gate_runs, GATE_RUNS),

@@ -36,6 +36,18 @@ def test_hysteresis(spark, series, on, off):
         assert got[got.k == k].state.tolist() == machine(s, 1.0, -1.0, on, off)
 
 
+@pytest.mark.parametrize("on,off,size", [(1, 1, 1), (2, 3, 4), (5, 4, 3), (3, 2, 1000)])
+def test_hysteresis_by_blocks(spark, on, off, size):
+    rng = np.random.default_rng(on)
+    long = [[None if rng.random() < 0.05 else float(x) for x in np.repeat(rng.normal(0, 2, 40), rng.integers(1, 7, 40))], [3.0] * 30, [-3.0] * 9, [0.0], [None] * 5]
+    rows = [(k or None, i, v) for k, s in enumerate(long) for i, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = gates.hysteresis(df, ["k"], "i", "v", F.lit(1.0), F.lit(-1.0), on, off, block=F.floor(F.col("i") / size)).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"k", "i", "v", "state"}
+    for k, s in enumerate(long):
+        assert [r.state for r in sorted((r for r in got if r.k == (k or None)), key=lambda r: r.i)] == machine(s, 1.0, -1.0, on, off)
+
+
 def series(spark, values):
     return spark.createDataFrame([(0, i, None if v is None else float(v)) for i, v in enumerate(values)], "k int, i int, v double")
 
