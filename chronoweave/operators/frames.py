@@ -12,6 +12,14 @@ def by(keys: list[str], index: str):
     return Window.partitionBy(*keys).orderBy(index)
 
 
+def onward(keys: list[str], *index: str, start: int = 0):
+    """The rows from `start` after a row to the last, met from the far end, so `last` gives the nearest.
+
+    Spark works a frame that ends at the last row out anew for each row, which is quadratic in a series; this one grows by a row.
+    """
+    return Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in index]).rowsBetween(Window.unboundedPreceding, -start)
+
+
 def mono(samples: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
     """Mean of channels per sample."""
     return samples.groupBy(*keys, index).agg(F.avg(value).alias(value))

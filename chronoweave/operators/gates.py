@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.numeric import clip
-from chronoweave.operators.frames import absolute_step, by
+from chronoweave.operators.frames import absolute_step, by, onward
 from chronoweave.operators.windows import boxcar, dilate, look_ahead, ramps
 
 
@@ -33,7 +33,7 @@ def hysteresis(df: DataFrame, keys: list[str], index: str, value: str, open_at:
     if block is not None:
         df = df.withColumn("_blk", block)
     w = by(parts, index)
-    so_far, on_from = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    so_far, on_from = w.rowsBetween(Window.unboundedPreceding, 0), onward(parts, index)
     v = F.col(value)
     df = df.withColumns({"_up": F.coalesce(v > open_at, F.lit(False)), "_dn": F.coalesce(v < close_at, F.lit(False)), "_i": F.row_number().over(w).cast("long")})
     off = {f: F.when(~F.col(f), F.col("_i")) for f in ("_up", "_dn")}
@@ -42,7 +42,7 @@ def hysteresis(df: DataFrame, keys: list[str], index: str, value: str, open_at:
         df = df.withColumns(local | {"_end": F.count("*").over(Window.partitionBy(*keys)) + 1})
     else:
         order = Window.partitionBy(*keys).orderBy("_blk")
-        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        before, after = order.rowsBetween(Window.unboundedPreceding, -1), onward(keys, "_blk", start=1)
         sums = {"_n": F.count("*"), "_lastu": F.max(off["_up"]), "_lastd": F.max(off["_dn"]), "_firstu": F.min(off["_up"])}
         start = {"_from": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))}
         reach = {
@@ -116,7 +116,7 @@ def lift(states: DataFrame, samples: DataFrame, keys: list[str], at: str, state:
     """Window states on a grid of samples: over 0.5 between the windows on either side, and within `half` of one. Without windows all are 0."""
     df = samples.join(states.select(*keys, at, F.struct(F.col(at).alias("t"), F.col(state).alias("s")).alias("_w")), [*keys, at], "left")
     w = by(keys, at)
-    df = df.withColumns({"_p": F.last("_w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_w", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    df = df.withColumns({"_p": F.last("_w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.last("_w", ignorenulls=True).over(onward(keys, at))})
     before, after = F.col(at) - F.col("_p.t"), F.col("_n.t") - F.col(at)
     between = F.col("_p.s") + (F.col("_n.s") - F.col("_p.s")) * before / F.nullif(before + after, F.lit(0))
     level = F.coalesce(between, F.col("_p.s"), F.col("_n.s"))

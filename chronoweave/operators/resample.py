@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators.frames import by
+from chronoweave.operators.frames import by, onward
 
 
 def last_and_next(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
     """Adds prev_at, prev, next_at, next: the nearest values present at or before, and after, each row."""
     w = by(keys, index)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    back, on = w.rowsBetween(Window.unboundedPreceding, 0), onward(keys, index, start=1)
     at = F.when(F.col(value).isNotNull(), F.col(index))
     return df.withColumns({
         "prev_at": F.last(at, ignorenulls=True).over(back), "prev": F.last(value, ignorenulls=True).over(back),
-        "next_at": F.first(at, ignorenulls=True).over(on), "next": F.first(value, ignorenulls=True).over(on),
+        "next_at": F.last(at, ignorenulls=True).over(on), "next": F.last(value, ignorenulls=True).over(on),
     })
 
 
@@ -71,9 +71,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
             add = add.withColumn(c, none.cast(left.schema[c].dataType))
     rows = rows.unionByName(add)
     back = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(1, Window.unboundedFollowing)
+    on = onward(keys, at, "_side", start=1)
     pick = F.when(F.col("_side") == 0, F.struct("_at", "_v"))
-    rows = rows.withColumns({"_p": F.last(pick, ignorenulls=True).over(back), "_n": F.first(pick, ignorenulls=True).over(on)}).where("_side = 1")
+    rows = rows.withColumns({"_p": F.last(pick, ignorenulls=True).over(back), "_n": F.last(pick, ignorenulls=True).over(on)}).where("_side = 1")
     a, b = F.col(at) - F.col("_p._at"), F.col("_n._at") - F.col(at)
     chosen = F.when(b.isNull() | (a <= b), F.col("_p")).otherwise(F.coalesce(F.col("_n"), F.col("_p")))
     return rows.select(*left.columns, chosen["_at"].alias(f"{out}_at"), chosen["_v"].alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators.frames import by
+from chronoweave.operators.frames import by, onward
 
 
 def _around(keys, index, k: int):
@@ -75,8 +75,8 @@ def hold(df: DataFrame, keys: list[str], index: str, values: list[str]) -> DataF
     """The last value present; before the first, that one."""
     w = by(keys, index)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    on = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({v: F.coalesce(F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(on)) for v in values})
+    on = onward(keys, index)
+    return df.withColumns({v: F.coalesce(F.last(v, ignorenulls=True).over(back), F.last(v, ignorenulls=True).over(on)) for v in values})
 
 
 def runs(df: DataFrame, keys: list[str], index: str, flag: str) -> DataFrame:
@@ -106,7 +106,7 @@ def ramps(df: DataFrame, keys: list[str], index: str, state: str, ramp: int, out
     on = F.when((s == 1) & (before == 0), i)
     off = F.when((s == 0) & (before == 1), i)
     df = df.withColumns({"_on": on, "_off": off})
-    rise = F.first("_on", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) - i
+    rise = F.last("_on", ignorenulls=True).over(onward(keys, index, start=1)) - i
     fall = i - F.last("_off", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     curve = lambda left: F.when(left < ramp, 0.5 + 0.5 * F.cos(F.lit(3.141592653589793) * left / ramp)).otherwise(0.0)
     gain = F.when(s == 1, 1.0).otherwise(F.greatest(F.coalesce(curve(rise), F.lit(0.0)), F.coalesce(curve(fall + 1), F.lit(0.0))))
