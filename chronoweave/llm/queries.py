@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from chronoweave.llm.decontaminate import op9_benchmark_decontamination
-from chronoweave.llm import conversations, decontaminate, linededup, quality, substring
+from chronoweave.llm import collocations, conversations, decontaminate, linededup, quality, substring
+from chronoweave.llm.collocations import op11_spam_collocations
 from chronoweave.llm.conversations import op13_earley_conversation_repair
 from chronoweave.llm.html import op5_site_style_tree_html
 from chronoweave.llm.linededup import op10_winnowed_line_dedup
@@ -23,7 +24,7 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op5_site_style_tree_html, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup, op13_earley_conversation_repair)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op5_site_style_tree_html, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup, op11_spam_collocations, op13_earley_conversation_repair)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality.ORACLE_SQL,
         "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_winnowed_line_dedup": linededup.ORACLE_SQL,
+        "op11_spam_collocations": collocations.ORACLE_SQL,
         "op13_earley_conversation_repair": conversations.ORACLE_SQL,
     }

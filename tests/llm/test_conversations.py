@@ -146,5 +146,5 @@ def test_edits_rebuild_the_conversation(spark):
     df = spark.createDataFrame(rows, "`a.b` string, turn int, role string, text string")
     got = [tuple(x) for x in C.repair_conversations(df, key="a.b").orderBy("step").collect()]
     kept = [(x[7], x[8]) for x in got if x[2] != "D"]
-    assert [x[2] for x in got].count("D") == 1 and got[1][5] == "duplicate"
+    assert [x[2] for x in got].count("D") == 1 and got[2][5] == "duplicate"
     assert re.fullmatch("s?(ua)+", "".join(x[0][0] for x in kept))

@@ -757,7 +757,7 @@ def test_oracles(spark):
     if not os.path.exists(data):
         pytest.skip("the tables are not here")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, data).toPandas(), con.sql(sql).df()
