@@ -11,6 +11,7 @@ from chronoweave.llm.linededup import op10_winnowed_line_dedup
 from chronoweave.llm.mixing import op4_systematic_mixing
 from chronoweave.llm.pii import op6_information_theoretic_pii
 from chronoweave.llm.quality import op7_quality_rules
+from chronoweave.llm.rules import op12_rule_ensemble_quality
 from chronoweave.llm.sharding import op2_rendezvous_sharding
 from chronoweave.llm.simhash import op8_simhash_near_dedup
 from chronoweave.llm.substring import op3_suffix_tree_substring_dedup
@@ -24,7 +25,7 @@ def pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op5_site_style_tree_html, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup, op11_spam_collocations, op13_earley_conversation_repair)
+    found = (op1_kneser_ney_toxicity, op2_rendezvous_sharding, op3_suffix_tree_substring_dedup, op4_systematic_mixing, op5_site_style_tree_html, op6_information_theoretic_pii, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_winnowed_line_dedup, op11_spam_collocations, op12_rule_ensemble_quality, op13_earley_conversation_repair)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
