@@ -29,13 +29,13 @@ class Sizes(NamedTuple):
     """What a task holds at a time; none of it changes a result."""
 
     #: Places of a shard at least; a text is never parted but between pieces.
-    shard: int = 1 << 20
-    #: Words that a task knows before it starts anew.
-    vocabulary: int = 400_000
+    shard: int = 1 << 18
+    #: Words of all languages that a task knows before it starts anew.
+    vocabulary: int = 150_000
     #: Bits of a table at most: 16 MB.
     bits: int = 1 << 27
     #: Entries that are joined at a time.
-    group: int = 1 << 19
+    group: int = 1 << 18
 
 
 _FOLD = bytearray(range(256))
@@ -98,6 +98,12 @@ def _shards(sizes: Sizes):
                 p = slice(i, i + 100_000)
                 yield batch(1, lang, words.codes[p], names[p], n[p], [None] * len(names[p]), [None] * len(names[p]))
 
+        def ended() -> Iterator[pa.RecordBatch]:
+            for lang in list(known):
+                if known[lang][1]:
+                    yield from shard(lang)
+                yield from words_of(lang)
+
         for b in batches:
             for lang, text in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
@@ -113,14 +119,9 @@ def _shards(sizes: Sizes):
                         places.append(-1)
                         if len(places) >= sizes.shard:
                             yield from shard(lang)
-                if len(words) > sizes.vocabulary:
-                    if places:
-                        yield from shard(lang)
-                    yield from words_of(lang)
-        for lang in list(known):
-            if known[lang][1]:
-                yield from shard(lang)
-            yield from words_of(lang)
+                if sum(len(k[0]) for k in known.values()) > sizes.vocabulary:
+                    yield from ended()
+        yield from ended()
 
     return run
 
@@ -225,9 +226,9 @@ def _grown(marks: Marks, words: Index, group: int) -> tuple[Marks, np.ndarray, n
     return Marks(number, block, mask), key[first] >> 32, key[first] & 0xFFFFFFFF, n
 
 
-def _shard(places: bytes, codes: bytes, word_bits: Bits) -> tuple[np.ndarray, Index, Marks]:
-    code = np.frombuffer(codes, np.int64)
-    words = index(np.frombuffer(places, np.int32), word_bits.has(code))
+def _shard(places: pa.BinaryScalar, codes: pa.BinaryScalar, word_bits: Bits) -> tuple[np.ndarray, Index, Marks]:
+    code = np.frombuffer(codes.as_buffer(), np.int64)
+    words = index(np.frombuffer(places.as_buffer(), np.int32), word_bits.has(code))
     return code, words, Marks(words.word, words.block, words.mask)
 
 
@@ -244,7 +245,7 @@ def _rows(code: np.ndarray, phrases: list[np.ndarray], n: np.ndarray) -> Iterato
 def _pairs(word_bits, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for places, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for places, codes in zip(*b.columns, strict=True):
                 code, words, marks = _shard(places, codes, word_bits.value)
                 _, v, w, n = _grown(marks, words, sizes.group)
                 yield from _rows(code, [v, w], n)
@@ -280,7 +281,7 @@ def _longer(word_bits, pair_bits, sizes: Sizes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for places, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for places, codes in zip(*b.columns, strict=True):
                 code, words, marks = _shard(places, codes, word_bits.value)
                 marks, v, w, _ = _grown(marks, words, sizes.group)
                 good = pair_bits.value.has(_pair_code(code[v], code[w])) if len(v) else np.zeros(0, bool)
