@@ -46,11 +46,14 @@ DEEP = 48
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
+#: Elements that go with what they hold, if their end tag is there. Of the first two a tag may also close itself.
+_HOLLOW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("svg", "iframe", "noscript", "template", "select", "button")}
+_SELF = ("svg", "iframe")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -130,7 +133,8 @@ def blocks(html: str | None) -> tuple[list[Block], dict[int, tuple[int, int, int
 
     at = 0
     html = html or ""
-    for m in _TOKEN.finditer(html):
+    open_ended: set[str] = set()  # no end tag is left
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             put(html[at : m.start()])
         at = m.end()
@@ -143,6 +147,12 @@ def blocks(html: str | None) -> tuple[list[Block], dict[int, tuple[int, int, int
                 text.append(" ")
             elif tag == "a":
                 in_link = not m[2]
+            elif tag in _HOLLOW and not m[2] and tag not in open_ended and not (tag in _SELF and m[4].endswith("/")):
+                end = _HOLLOW[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    open_ended.add(tag)
             continue
         flush()
         in_link = False
@@ -305,7 +315,7 @@ def _text(html: str | None, known: dict[int, int]) -> tuple[str, int, int]:
     return "\n\n".join(out), *cut
 
 
-_OUT = "page_id long, url string, text string, cut_by_tree int, cut_by_name int"
+_OUT = "url string, text string, cut_by_tree int, cut_by_name int"
 
 
 def _batch(b: pa.RecordBatch, known: list[dict[int, int]]) -> pa.RecordBatch:
@@ -320,11 +330,13 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     A null html is empty; a null url is a host of its own. On hosts of fewer than s.pages distinct pages, and at nodes of
     fewer, tags and class names decide: an article is the main text; without one all of the body is, less what is named
     noise. Copies count as one page, and repeated rows get the same text. Ties of importance with a threshold stay. An
-    empty table gives no rows. Columns other than page_id, url and html are left out.
+    empty table gives no rows. Columns other than page_id (of any type), url and html are left out. Elements without an end tag
+    lose their tag alone, but for script, style, textarea and title, which go on to the end of the page as in a browser.
     """
     work = Work(pages.sparkSession, "pages")
     known = verdicts(style_tree(pages, work, s), work, s)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = pages.select("page_id", "url", "html")
+    out = f"page_id {rows.schema['page_id'].dataType.simpleString()}, {_OUT}"
     if known.count() <= s.most_sent:
         held: dict[str, dict[int, int]] = {}
         for h, node, verdict in known.limit(s.most_sent).collect():
@@ -335,7 +347,7 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
             for b in batches:
                 yield _batch(b, [sent.value.get(host(url), {}) for url in b.column(1).to_pylist()])
 
-        return rows.mapInArrow(run, _OUT)
+        return rows.mapInArrow(run, out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,7 +357,7 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     per_host = known.groupBy("host").agg(F.collect_list(F.struct("node", "verdict")).alias("known"))
     per_host = per_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
     rows = rows.withColumns({"host": F.coalesce(of, F.lit("")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int")})
-    return rows.join(per_host, ["host", "salt"], "left").select("page_id", "url", "html", "known").mapInArrow(joined, _OUT)
+    return rows.join(per_host, ["host", "salt"], "left").select("page_id", "url", "html", "known").mapInArrow(joined, out)
 
 
 def op5_site_style_tree_html(spark, sf_dir: str) -> DataFrame:

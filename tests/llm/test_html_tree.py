@@ -90,3 +90,34 @@ def test_clashing_columns_and_empty_table(spark):
     for c in ("host", "node", "verdict", "known", "salt", "text", "copy", "entries", "n_chars"):
         df = df.withColumn(c, F.lit("x"))
     assert html.extract(df).count() == 6 and html.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>x</title><body><article><p>one two</p></article></body></html>", "one two"),
+        ("<html><head><meta charset=utf-8><style>p{}</style><body><p>one<p>two", "one\n\ntwo"),
+        ("<p>a b</p><svg class='i'/><p>c d</p>", "a b\n\nc d"),
+        ("<p>a b</p><iframe src='x'/><p>c d</p>", "a b\n\nc d"),
+        ("<p>a b</p><iframe src='x'><p>c d</p>", "a b\n\nc d"),
+        ("<p>a <svg viewBox='0 0 1 1'><text>icon</text></svg>b</p><p>c<svg>d</p>", "a b\n\ncd"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><object data='m'><p>fallback text</p></object></article>", "let x=2 be\n\nfallback text"),
+        ("<p>pick <select><option>no</select>one</p><button>go</button><p>end</p>", "pick one\n\nend"),
+        ("<p>one</p><template><p>no</p></template><noscript>no</noscript><p>two</p><template>left open", "one\n\ntwo\n\nleft open"),
+        ("<p>one</p><script>if (a < b) document.write('<p>no')</script ><p>two</p><script>no end", "one\n\ntwo"),
+    ],
+)
+def test_no_text_is_lost_to_open_tags(page, want):
+    assert html._text(page, {})[0] == want
+
+
+def test_many_open_tags_are_linear():
+    start = time.time()
+    assert html._text("<button>" * 200_000 + "<p>end", {})[0] == "end"
+    assert time.time() - start < 20
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("p-1", "http://a.example/", "<p>one"), (None, None, None)], "page_id string, url string, html string")
+    for s in (html.Settings(), html.Settings(most_sent=-1)):
+        assert sorted((r.page_id or "", r.text) for r in html.extract(df, s).collect()) == [("", ""), ("p-1", "one")]
