@@ -1,12 +1,15 @@
 """Pairing of two sets of series: score matrices, one-to-one assignments with margins, and their significance.
 
-Score tables are (keys, row, col, score) and small in every key: at most a handful of rows and columns.
+Score tables are (keys, row, col, score); the matrix of a key is held by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,33 +27,131 @@ def correlation_matrix(left: DataFrame, right: DataFrame, keys: list[str], index
     return both.groupBy(*keys, row, col).agg((F.abs(s(a, b)) / (F.sqrt(s(a, a) * s(b, b)) + 1e-12)).alias("score"))
 
 
-def assignments(scores: DataFrame, keys: list[str], row: str, col: str, score: str, rows: int) -> DataFrame:
-    """Every injective map of rows to columns with its total, as an array of columns in order of rows.
+class _Solver:
+    """Best one-to-one plan of a matrix by shortest augmenting paths.
 
-    Built row by row: each step joins what is there with the scores of the next row and drops columns already used. With
-    more rows than columns transpose first. For a handful of rows: n columns have n! maps.
+    The matrix is made square with pairs of score 0, which stand for "not paired". Absent pairs (NaN) can't be taken.
     """
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(row)) - 1
-    ranked = scores.withColumn("_r", rank).select(*keys, "_r", F.col(col).alias("_c"), F.col(score).alias("_s"))
-    every = ranked.where("_r = 0").select(*keys, F.array("_c").alias("plan"), F.col("_s").alias("total"))
-    for r in range(1, rows):
-        step = ranked.where(F.col("_r") == r).drop("_r")
-        every = every.join(step, keys) if keys else every.crossJoin(step)
-        every = every.where(~F.array_contains("plan", F.col("_c")))
-        every = every.select(*keys, F.concat("plan", F.array("_c")).alias("plan"), (F.col("total") + F.col("_s")).alias("total"))
-    return every
-
-
-def best_and_margin(plans: DataFrame, keys: list[str]) -> DataFrame:
-    """The plan of the greatest total, of ties the lexicographically first, and its margin over the next feasible plan.
 
-    A plan without an alternative has its total as its margin. Margins are never negative.
+    def __init__(self, score: np.ndarray):
+        self.shape = score.shape
+        n = max(self.shape)
+        self.cost = np.zeros((n, n))
+        self.cost[: self.shape[0], : self.shape[1]] = np.where(np.isnan(score), np.inf, -score)
+        self.u, self.v = np.zeros(n), np.zeros(n)
+        self.of_row, self.of_col = np.full(n, -1), np.full(n, -1)
+        self.complete = all(self.augment(i) for i in range(n))
+
+    def augment(self, row: int) -> bool:
+        """Pairs one more row along the shortest path of alternating pairs; False if there is none."""
+        n = len(self.u)
+        dist, back, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+        low, at, seen = 0.0, row, []
+        while True:
+            seen.append(at)
+            reach = low + self.cost[at] - self.u[at] - self.v
+            nearer = ~done & (reach < dist)
+            dist[nearer], back[nearer] = reach[nearer], at
+            col = int(np.argmin(np.where(done, np.inf, dist)))
+            low = dist[col]
+            if done[col] or np.isinf(low):
+                return False
+            done[col] = True
+            if self.of_col[col] < 0:
+                break
+            at = self.of_col[col]
+        for r in seen:
+            self.u[r] += low - (dist[self.of_row[r]] if r != row else 0.0)
+        self.v[done] -= low - dist[done]
+        while True:
+            r = back[col]
+            self.of_col[col] = r
+            self.of_row[r], col = col, self.of_row[r]
+            if r == row:
+                return True
+
+    def first_of_ties(self) -> None:
+        """Moves to the lexicographically first of the best plans: row by row the least column whose pair costs nothing more."""
+        rows, cols = self.shape
+        slack = self.cost - self.u[:, None] - self.v
+        tight = slack <= 1e-12 * max(1.0, float(np.abs(self.cost[np.isfinite(self.cost)]).max(initial=0.0)))
+        for r in range(rows):
+            for c in np.flatnonzero(tight[r]):
+                if c == self.of_row[r] or c >= cols and self.of_row[r] >= cols:
+                    break
+                other, mine = self.of_col[c], self.of_row[r]
+                if other > r and self._reroute(other, mine, tight, {int(c)}, r):
+                    self.of_row[r], self.of_col[c] = c, r
+                    break
+
+    def _reroute(self, row: int, free: int, tight: np.ndarray, tried: set[int], fixed: int) -> bool:
+        for c in np.flatnonzero(tight[row]):
+            if c not in tried:
+                tried.add(int(c))
+                if c == free or self.of_col[c] > fixed and self._reroute(self.of_col[c], free, tight, tried, fixed):
+                    self.of_row[row], self.of_col[c] = c, row
+                    return True
+        return False
+
+    def total(self) -> float:
+        return float(sum(-self.cost[r, c] for r, c in self.pairs()))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(r, int(self.of_row[r])) for r in range(self.shape[0]) if self.of_row[r] < self.shape[1]]
+
+    def runner_up(self) -> float | None:
+        """Greatest total of a plan that lacks one of these pairs: each is forbidden in turn and its row paired anew."""
+        best, state = None, (self.cost, self.u, self.v, self.of_row, self.of_col)
+        for r, c in self.pairs():
+            self.cost, self.u, self.v, self.of_row, self.of_col = (x.copy() for x in state)
+            self.cost[r, c] = np.inf
+            self.of_row[r] = self.of_col[c] = -1
+            if self.augment(r):
+                best = self.total() if best is None else max(best, self.total())
+        self.cost, self.u, self.v, self.of_row, self.of_col = state
+        return best
+
+
+def solve(score: np.ndarray) -> tuple[list[int | None], float, float] | None:
+    """Column of each row (None: not paired), total and margin; None without a plan of as many pairs as the smaller side has."""
+    s = _Solver(score)
+    if not s.complete or len(s.pairs()) < min(score.shape):
+        return None
+    s.first_of_ties()
+    total, second = s.total(), s.runner_up()
+    plan = dict(s.pairs())
+    return [plan.get(r) for r in range(score.shape[0])], total, total if second is None else max(0.0, total - second)
+
+
+def assign(scores: DataFrame, keys: list[str], row: str, col: str, score: str) -> DataFrame:
+    """(keys, plan, total, margin): the one-to-one plan of the greatest total of each key, an array of columns in order of rows.
+
+    Any shape: as many pairs as the smaller side has; a row without a column is NULL in the plan. Of ties the lexicographically
+    first plan, a column before none. The margin is what the total has over that of the next plan, and the total itself where
+    there is no other; it is never negative. Pairs that are absent, NULL or NaN can't be taken, and a key that has no whole plan
+    without them has no row. A key's matrix is one row of an array; keys are spread over the tasks.
     """
-    order = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("neg"), F.col("plan"))))
-    top = plans.groupBy(*keys).agg(order.alias("_all"))
-    first, second = F.get("_all", F.lit(0)), F.get("_all", F.lit(1))
-    margin = F.when(second.isNull(), -first["neg"]).otherwise(F.greatest(F.lit(0.0), second["neg"] - first["neg"]))
-    return top.select(*keys, first["plan"].alias("plan"), (-first["neg"]).alias("total"), margin.alias("margin"))
+    packed = scores.groupBy(*keys).agg(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col(score).cast("double").alias("s"))).alias("_m"))
+    kind = scores.schema[col].dataType.simpleString()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, plans, totals, margins = [], [], [], []
+            for i, cells in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                rows, cols = sorted({x["r"] for x in cells}), sorted({x["c"] for x in cells})
+                row_at, col_at = {r: k for k, r in enumerate(rows)}, {c: k for k, c in enumerate(cols)}
+                m = np.full((len(rows), len(cols)), np.nan)
+                for x in cells:
+                    m[row_at[x["r"]], col_at[x["c"]]] = np.nan if x["s"] is None else x["s"]
+                if cells and (found := solve(m)):
+                    at.append(i), totals.append(found[1]), margins.append(found[2])
+                    plans.append([None if c is None else cols[c] for c in found[0]])
+            of_keys = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            of_cols = pa.list_(b.schema.field(b.num_columns - 1).type.value_type.field("c").type)
+            yield pa.RecordBatch.from_arrays([*of_keys, pa.array(plans, of_cols), pa.array(totals, pa.float64()), pa.array(margins, pa.float64())], [*b.schema.names[:-1], "plan", "total", "margin"])
+
+    return packed.mapInArrow(run, f"{fields}{', ' if keys else ''}plan array<{kind}>, total double, margin double")
 
 
 def shift_scores(left: DataFrame, right: DataFrame, index: str, row: str, col: str, a: str, b: str, n: int) -> DataFrame:
@@ -127,9 +228,21 @@ def by_stem(stems: DataFrame, held: DataFrame, values: DataFrame, keys: list[str
 
 
 def backfill(pairs: DataFrame, scores: DataFrame, keys: list[str], track: str, stem: str, score: str) -> DataFrame:
-    """Unclaimed stems go to the best free track, with confidence 0."""
+    """Unclaimed stems, in their order, each go to the best track that is still free, with confidence 0; of ties to the first track."""
     free = scores.join(pairs, [*keys, stem], "left_anti").join(pairs.select(*keys, track), [*keys, track], "left_anti")
-    return pairs.unionByName(greedy(free, keys, track, stem, score).select(*keys, track, stem, F.lit(0.0).alias("confidence")))
+    fields = free.select(*keys, track, stem).schema
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        taken: set = set()
+        kept = []
+        for _, of_stem in df.groupby(stem, sort=True):
+            left = of_stem[~of_stem[track].isin(taken)].sort_values([score, track], ascending=[False, True]).head(1)
+            taken.update(left[track])
+            kept.append(left)
+        return pd.concat(kept)[[f.name for f in fields]]
+
+    filled = free.select(*keys, track, stem, score).groupBy(*keys).applyInPandas(run, fields)
+    return pairs.unionByName(filled.withColumn("confidence", F.lit(0.0)))
 
 
 def best_lag(left: DataFrame, right: DataFrame, keys: list[str], index: str, a: str, b: str, most: int) -> DataFrame:

@@ -86,7 +86,7 @@ def cluster_share_claim(s, d):
     """Shares of clusters per owner (labels even and odd), the best exclusive claim, purity, and the unclaimed."""
     near = ve.nearest_reference(_vectors(s, d).withColumn("label", F.col("label") % 2), _refs(s, d), ["vec_id", "label"], "v", "ref", "rv")
     shares = ve.cluster_shares(near, "label", "ref")
-    best = mt.best_and_margin(mt.assignments(shares, [], "label", "ref", "share", 2), [])
+    best = mt.assign(shares, [], "label", "ref", "share")
     held = best.select(F.posexplode("plan").alias("label", "ref"))
     pure = ve.purity(shares, held.withColumn("label", F.col("label").cast("long")), "label", "ref")
     free = shares.select("ref").distinct().join(held.select("ref"), "ref", "left_anti")
@@ -121,6 +121,32 @@ def content_hash(s, d):
 HASH = f"WITH {E} SELECT vec_id, sha256(string_agg(printf('%.4f', x), ',' ORDER BY dim)) AS hash FROM (SELECT vec_id, unnest(range(64)) AS dim, unnest(v) AS x FROM e) GROUP BY 1"
 
 
+def assign_unequal(s, d):
+    """T4-T6 with more rows than columns: of each nation the segments that fit three classes of balance best; counts tie often."""
+    c = table(s, d, "customer").select("c_nationkey", "c_mktsegment", F.floor((F.col("c_acctbal") + 1000) / 4000).cast("int").alias("class"))
+    every = c.select("c_mktsegment").distinct().join(c.select("class").distinct().where(F.col("class").between(0, 2)), how="cross").join(F.broadcast(table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"))), how="cross")
+    n = every.join(c.groupBy("c_nationkey", "c_mktsegment", "class").agg(F.count("*").alias("n")), ["c_nationkey", "c_mktsegment", "class"], "left").fillna({"n": 0})
+    m = mt.assign(n, ["c_nationkey"], "c_mktsegment", "class", "n")
+    plan = F.array_join(F.transform("plan", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    return m.select("c_nationkey", plan.alias("plan"), "total", "margin")
+
+
+UNEQUAL = """
+WITH c AS (SELECT c_nationkey, c_mktsegment, floor((c_acctbal + 1000) / 4000)::INT AS k FROM customer),
+r AS (SELECT seg, row_number() OVER (ORDER BY seg) AS r FROM (SELECT DISTINCT c_mktsegment AS seg FROM c)), m AS (SELECT count(*) AS m FROM r),
+n AS (SELECT n_nationkey AS nation, r.r, k.k, (SELECT count(*) FROM c WHERE c.c_nationkey = n_nationkey AND c.c_mktsegment = r.seg AND c.k = k.k) AS n FROM nation, r, (SELECT unnest([0, 1, 2]) AS k) AS k),
+p AS (SELECT x.nation, x.r AS a, y.r AS b, z.r AS c, x.n + y.n + z.n AS total FROM n x JOIN n y USING (nation) JOIN n z USING (nation) WHERE x.k = 0 AND y.k = 1 AND z.k = 2 AND x.r <> y.r AND x.r <> z.r AND y.r <> z.r),
+t AS (SELECT nation, total, array_to_string(list_transform(range(1, m + 1), lambda i: CASE i WHEN a THEN '0' WHEN b THEN '1' WHEN c THEN '2' ELSE '~' END), ',') AS plan FROM p, m),
+o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY total DESC, plan) AS k FROM t)
+SELECT x.nation AS c_nationkey, replace(x.plan, '~', '-') AS plan, x.total::DOUBLE AS total, (x.total - y.total)::DOUBLE AS margin FROM o x JOIN o y USING (nation) WHERE x.k = 1 AND y.k = 2"""
+
+
+def assign_vectors(s, d):
+    """T4-T6 on larger matrices: the vectors of a batch, by id modulo 50, each claim a dimension of its own."""
+    v = _vectors(s, d).select((F.col("vec_id") % 50).alias("batch"), "vec_id", F.posexplode("v").alias("dim", "x"))
+    return mt.assign(v, ["batch"], "vec_id", "dim", "x").select("batch", F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"))
+
+
 def auc_rank(s, d):
     df = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
     df = df.select("n_chars", F.explode(F.array(F.struct(F.lit("quality").alias("label"), F.col("quality").alias("y")), F.struct(F.lit("toxic").alias("label"), F.col("toxic").alias("y")))).alias("z"))
@@ -445,6 +471,8 @@ QUERIES = {
     "label_accuracy": (label_accuracy, "SELECT round(avg((quality = toxic)::INT), 6) + 0.0 AS accuracy, count(*) AS n FROM labels"),
     "si_sdr": (si_sdr, SI_SDR),
     "shared_gain": (shared_gain, GAIN),
+    "assign_unequal": (assign_unequal, UNEQUAL),
+    "assign_vectors": (assign_vectors, None),
     "rank_norm": (rank_norm, RANK),
     "bootstrap_ci": (bootstrap_ci, BOOTSTRAP),
     "json_null_safe": (json_null_safe, JSON),

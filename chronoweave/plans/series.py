@@ -362,14 +362,9 @@ def correlation_matrix(s, d):
 CORRELATIONS = f"WITH {ZS} SELECT a.channel AS track, b.channel AS stem, round(abs(sum(a.za * b.zd)) / (sqrt(sum(a.za * a.za) * sum(b.zd * b.zd)) + 1e-12), 6) + 0.0 AS score FROM z a JOIN z b USING (hour) GROUP BY 1, 2"
 
 
-def _plans(m: DataFrame, keys: list[str], tracks: DataFrame) -> DataFrame:
-    """Best plan and margin of scores of all channels with all: as many rows as there are channels, a handful."""
-    return mt.best_and_margin(mt.assignments(m, keys, "track", "stem", "score", tracks.select("track").distinct().count()), keys)
-
-
 def assign_margin(s, d):
     a, b = _pair(s, d)
-    m = _plans(mt.score_matrix(a, b, [], "hour", "track", "stem", "za", "zb", HOURS), [], a)
+    m = mt.assign(mt.score_matrix(a, b, [], "hour", "track", "stem", "za", "zb", HOURS), [], "track", "stem", "score")
     return m.select(F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"))
 
 
@@ -388,7 +383,7 @@ SELECT plan, round(total, 6) + 0.0 AS total, round(margin, 6) + 0.0 AS margin FR
 def shift_significance(s, d, feature: str = "energy"):
     a, b = _pair(s, d, feature)
     m = mt.shift_scores(a, b, "hour", "track", "stem", "za", "zb", HOURS)
-    best = _plans(m, ["lag"], a)
+    best = mt.assign(m, ["lag"], "track", "stem", "score")
     out = mt.significance(best, HOURS)
     return out.select(F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"), r6("p").alias("p"), r6("agreement").alias("agreement"), mt.trusted(F.col("p"), F.col("margin")).alias("trusted"))
 

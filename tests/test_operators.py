@@ -1,5 +1,7 @@
 """Operators against plain loops and known answers."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -93,13 +95,13 @@ def test_overlap_add_returns_the_series(spark):
 
 def test_assignment_ties_are_lexicographic_with_margin_zero(spark):
     df = spark.createDataFrame([(r, c, 1.0) for r in range(2) for c in range(2)], "r int, c int, s double")
-    got = matching.best_and_margin(matching.assignments(df, [], "r", "c", "s", 2), []).first()
+    got = matching.assign(df, [], "r", "c", "s").first()
     assert got.plan == [0, 1] and got.margin == 0 and got.total == 2
 
 
 def test_single_plan_has_its_total_as_margin(spark):
     df = spark.createDataFrame([(0, 0, 0.7)], "r int, c int, s double")
-    assert matching.best_and_margin(matching.assignments(df, [], "r", "c", "s", 1), []).first().margin == 0.7
+    assert matching.assign(df, [], "r", "c", "s").first().margin == 0.7
 
 
 def test_greedy(spark):
@@ -277,6 +279,56 @@ def test_rival_max_of_many_channels(spark):
         assert x.rival == max((v for f, c, v in rows if f == x.frame and c != x.channel), default=None)
 
 
+def every_plan(m):
+    """(total, plan) of every plan with as many pairs as the smaller side has, best first; a column before none."""
+    rows, cols = m.shape
+    found = {tuple(p) for p in itertools.permutations([*range(cols), *[None] * max(0, rows - cols)], rows)}
+    plans = [(sum(m[r, c] for r, c in enumerate(p) if c is not None), p) for p in found]
+    return sorted((x for x in plans if not np.isnan(x[0])), key=lambda x: (-x[0], [cols if c is None else c for c in x[1]]))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 4), (4, 1), (3, 3), (2, 5), (5, 3), (4, 5), (6, 6)])
+def test_assignment_equals_every_plan(shape):
+    """Small whole numbers tie often; a few pairs are absent; negative scores don't make a plan shorter."""
+    r = np.random.default_rng(sum(shape))
+    for trial in range(30):
+        m = r.integers(-2, 4, shape).astype(float) if trial % 3 else r.normal(size=shape)
+        if trial % 5 == 4:
+            m[r.random(shape) < 0.25] = np.nan
+        want, got = every_plan(m), matching.solve(m)
+        if not want:
+            assert got is None
+            continue
+        plan, total, margin = got
+        assert tuple(plan) == want[0][1] and np.isclose(total, want[0][0])
+        assert np.isclose(margin, max(0.0, want[0][0] - want[1][0]) if len(want) > 1 else total)
+
+
+def test_assignment_of_large_matrices(spark):
+    """Complementary slackness proves the optimum of 40 x 64 and 64 x 40; the runner-up equals a solve with each pair forbidden."""
+    r = np.random.default_rng(3)
+    for shape in ((40, 64), (64, 40)):
+        m = r.normal(size=shape)
+        s = matching._Solver(m)
+        slack = s.cost - s.u[:, None] - s.v
+        assert slack.min() > -1e-9 and max(slack[i, s.of_row[i]] for i in range(64)) < 1e-9
+        totals = []
+        for i, c in s.pairs():
+            x = m.copy()
+            x[i, c] = np.nan
+            totals.append(matching._Solver(x).total())
+        assert np.isclose(s.runner_up(), max(totals))
+    none = spark.createDataFrame([], "k int, r string, c string, s double")
+    assert matching.assign(none, ["k"], "r", "c", "s").collect() == [] and matching.assign(none, [], "r", "c", "s").collect() == []
+
+
+def test_backfill_goes_stem_by_stem(spark):
+    held = spark.createDataFrame([(1, 0, 9, 0.4)], "clip int, track int, stem int, confidence double")
+    scores = spark.createDataFrame([(1, t, s, v) for t, s, v in [(1, 0, 0.5), (2, 0, 0.4), (1, 1, 0.9), (2, 1, 0.8)]], "clip int, track int, stem int, score double")
+    got = {(r.track, r.stem) for r in matching.backfill(held, scores, ["clip"], "track", "stem", "score").collect()}
+    assert got == {(0, 9), (1, 0), (2, 1)}
+
+
 def test_backfill_gives_free_tracks_no_confidence(spark):
     from chronoweave.operators import matching
 
