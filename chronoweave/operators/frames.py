@@ -70,8 +70,15 @@ def absolute_step(df: DataFrame, keys: list[str], index: str, value: str, out: s
     return df.withColumn(out, F.abs(F.col(value) - F.lag(value, 1).over(by(keys, index)))).fillna({out: 0.0})
 
 
-def relative_level(df: DataFrame, keys: list[str], db: str, q: float = 0.95, out: str = "rel") -> DataFrame:
-    """Level less the exact q-quantile of its series. The quantile is aggregated first, then joined: no series is gathered."""
+def relative_level(df: DataFrame, keys: list[str], db: str, q: float = 0.95, out: str = "rel", long: bool = False) -> DataFrame:
+    """Level less the exact q-quantile of its series. The quantile is aggregated first, then joined: no series is gathered.
+
+    `long` is for series of more distinct levels than a task can hold: the same quantile, by counting.
+    """
+    if long:
+        from chronoweave.operators.order import _same, quantile
+
+        return _same(df, quantile(df, keys, db, q, "_ref"), keys).withColumn(out, F.col(db) - F.col("_ref")).drop("_ref")
     ref = df.groupBy(*keys).agg(F.percentile(db, F.lit(q)).alias("_ref"))
     return df.join(ref, keys).withColumn(out, F.col(db) - F.col("_ref")).drop("_ref")
 

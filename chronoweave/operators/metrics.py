@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.order import _same, before, ranges
 from chronoweave.functions.numeric import ratio
 
 
@@ -60,15 +61,21 @@ def si_sdr(df: DataFrame, keys: list[str], reference: str, estimate: str, floor:
     return s.select(*keys, "n", (10 * F.log10((target + floor) / (F.greatest(yy - target, F.lit(0.0)) + floor))).alias("si_sdr"))
 
 
-def auc(df: DataFrame, keys: list[str], positive: str, value: str) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], positive: str, value: str, parts: int = 1) -> DataFrame:
     """Exact area under the ROC curve, ties at half; NULL if a side is empty.
 
-    Equal values are added up first, so the running sums are over distinct values and no rank is needed.
+    Equal values are added up first, so the running sums are over distinct values and no rank is needed. With `parts` the
+    distinct values of a key are dealt into as many ranges, each of which starts from the sums of those before.
     """
     p = F.col(positive).cast("int")
     tied = df.groupBy(*keys, value).agg(F.sum(p).alias("_p"), F.sum(1 - p).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    tied = tied.withColumn("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    if parts > 1:
+        tied = ranges(tied, keys, value, parts)
+        tied = _same(tied, before(tied, keys, "_part", F.sum("_n"), "_start"), [*keys, "_part"])
+    else:
+        tied = tied.withColumns({"_part": F.lit(0), "_start": F.lit(0)})
+    below = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumn("_b", F.col("_start") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
     total = F.sum("_p").cast("double") * F.sum("_n")
     return tied.groupBy(*keys).agg(ratio(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2.0)), total).alias("auc"))
 

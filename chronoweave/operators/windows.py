@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.order import _same, ranks
 from chronoweave.operators.frames import by, onward
 
 
@@ -113,8 +114,15 @@ def ramps(df: DataFrame, keys: list[str], index: str, state: str, ramp: int, out
     return df.withColumn(out, gain).drop("_on", "_off")
 
 
-def rank_norm(df: DataFrame, keys: list[str], value: str, ties: str, out: str) -> DataFrame:
-    """Rank among the values present over their number less one; ties by another column."""
+def rank_norm(df: DataFrame, keys: list[str], value: str, ties: str, out: str, parts: int = 1) -> DataFrame:
+    """Rank among the values present over their number less one; ties by another column.
+
+    With `parts` a key's values are dealt into as many ranges, so that no task sorts a whole key.
+    """
+    if parts > 1:
+        n = F.col("_n")
+        df = _same(ranks(df, keys, value, ties, parts, "_rank"), df.groupBy(*keys).agg(F.count(value).alias("_n")), keys)
+        return df.withColumn(out, F.when(F.col(value).isNotNull() & (n > 1), F.col("_rank") / (n - 1))).drop("_rank", "_n")
     w = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value, ties)
     n = F.count(value).over(Window.partitionBy(*keys))
     return df.withColumn(out, F.when(F.col(value).isNotNull() & (n > 1), (F.row_number().over(w) - 1) / (n - 1)))

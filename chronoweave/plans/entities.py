@@ -159,6 +159,47 @@ k AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY n_chars) + (count(*) OV
 SELECT label, round((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) + 0.0 AS auc FROM k GROUP BY 1"""
 
 
+#: Ranges that a large group is dealt into.
+PARTS = 32
+
+
+def auc_long(s, d):
+    """A8 over one large group: how well the price of a line tells returned lines."""
+    df = table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_extendedprice")
+    return me.auc(df, [], "y", "l_extendedprice", PARTS).select(r6("auc").alias("auc"))
+
+
+AUC_LONG = """
+WITH z AS (SELECT l_returnflag = 'R' AS y, l_extendedprice AS v FROM lineitem),
+k AS (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk FROM z)
+SELECT round((sum(CASE WHEN y THEN rk END) - sum(y::INT) * (sum(y::INT) + 1) / 2) / (sum(y::INT) * (count(*) - sum(y::INT))), 6) + 0.0 AS auc FROM k"""
+
+
+def rank_long(s, d):
+    """W18 over one large group, NULLs among it."""
+    o = table(s, d, "orders").withColumn("v", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")))
+    return wi.rank_norm(o, [], "v", "o_orderkey", "r", PARTS).select("o_orderkey", r6("r", 9).alias("r"))
+
+
+RANK_LONG = """
+WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS v FROM orders)
+SELECT o_orderkey, CASE WHEN v IS NOT NULL THEN round((row_number() OVER (PARTITION BY v IS NULL ORDER BY v, o_orderkey) - 1) / (count(v) OVER () - 1), 9) + 0.0 END AS r FROM x"""
+
+
+def quantile_long(s, d):
+    """A1 by counting: of all lines as one group, and of those of each flag, levels less their quantiles."""
+    x = table(s, d, "lineitem").select("l_returnflag", F.log10("l_extendedprice").alias("db"))
+    one = fr.relative_level(x, [], "db", 0.95, "rel", long=True).agg(F.lit("all").alias("l_returnflag"), F.sum((F.col("rel") >= 0).cast("long")).alias("loud"), r6(F.max("rel"), 9).alias("most"))
+    each = fr.relative_level(x, ["l_returnflag"], "db", 0.9, "rel", long=True)
+    return one.unionByName(each.groupBy("l_returnflag").agg(F.sum((F.col("rel") >= 0).cast("long")).alias("loud"), r6(F.max("rel"), 9).alias("most")))
+
+
+QUANTILE_LONG = """
+WITH x AS (SELECT l_returnflag, log10(l_extendedprice) AS db FROM lineitem)
+SELECT 'all' AS l_returnflag, count(*) FILTER (db >= q) AS loud, round(max(db - q), 9) + 0.0 AS most FROM x, (SELECT quantile_cont(db, 0.95) AS q FROM x)
+UNION ALL SELECT x.l_returnflag, count(*) FILTER (db >= q), round(max(db - q), 9) + 0.0 FROM x JOIN (SELECT l_returnflag, quantile_cont(db, 0.9) AS q FROM x GROUP BY 1) USING (l_returnflag) GROUP BY 1"""
+
+
 def quality_precision_recall(s, d):
     df = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     out = me.precision_recall(df, ["lang"], F.col("quality") == 1, F.col("n_chars") > 400)
@@ -471,6 +512,9 @@ QUERIES = {
     "label_accuracy": (label_accuracy, "SELECT round(avg((quality = toxic)::INT), 6) + 0.0 AS accuracy, count(*) AS n FROM labels"),
     "si_sdr": (si_sdr, SI_SDR),
     "shared_gain": (shared_gain, GAIN),
+    "auc_long": (auc_long, AUC_LONG),
+    "rank_long": (rank_long, RANK_LONG),
+    "quantile_long": (quantile_long, QUANTILE_LONG),
     "assign_unequal": (assign_unequal, UNEQUAL),
     "assign_vectors": (assign_vectors, None),
     "rank_norm": (rank_norm, RANK),

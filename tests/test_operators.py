@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoweave.operators import entity, frames, gates, matching, metrics, report, resample, spectral, vectors, windows
+from chronoweave.operators import entity, frames, gates, matching, metrics, order, report, resample, spectral, vectors, windows
 
 
 def machine(v, hi, lo, on, off):
@@ -369,3 +369,52 @@ def test_lift_without_windows(spark):
     assert [r.state for r in gates.lift(none, grid, ["k"], "at", "state", 2.0).collect()] == [0] * 5
     some = spark.createDataFrame([(1, 0, 1), (1, 4, 0)], "k int, at long, state int")
     assert [r.state for r in gates.lift(some, grid, ["k"], "at", "state", 2.0).orderBy("at").collect()] == [1, 1, 0, 0, 0]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_quantile_by_counting(spark, q):
+    """Small and large keys, heavy ties, NULL keys, NULL and NaN values, keys without any."""
+    r = np.random.default_rng(5)
+    data = {"a": r.normal(size=30_000), "b": r.integers(0, 5, 25_000).astype(float), "c": r.normal(size=7), "d": np.array([2.5]), None: r.lognormal(size=12_000)}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("c", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {x.k: x["quantile"] for x in order.quantile(df, ["k"], "v", q).collect()}
+    assert got.keys() == {*data, "e"} and got["e"] is None
+    for k, v in data.items():
+        assert np.isclose(got[k], np.percentile(v, 100 * q), rtol=1e-12)
+
+
+def test_quantile_of_one_large_key(spark):
+    df = spark.range(5_000_000).select(((F.col("id") * 7919) % 4_999_999 / 3).alias("v"))
+    want = df.agg(F.percentile("v", F.lit(0.95))).first()[0]
+    assert np.isclose(order.quantile(df, [], "v", 0.95).first()[0], want, rtol=1e-12)
+    assert order.quantile(df.where("v < 0"), [], "v", 0.95).first()[0] is None
+
+
+def test_ranks_by_ranges(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, ["x", "y", None][i % 3], None if i % 17 == 0 else float(r.integers(0, 300))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "i int, k string, v double").repartition(4)
+    for keys in ([], ["k"]):
+        got = {x.i: x["rank"] for x in order.ranks(df, keys, "v", "i", 16).collect()}
+        want = {}
+        for k in {x[1] for x in rows} if keys else {0}:
+            group = sorted((x[2], x[0]) for x in rows if x[2] is not None and (not keys or x[1] == k))
+            want |= {i: n for n, (_, i) in enumerate(group)}
+        assert got == {x[0]: want.get(x[0]) for x in rows}
+        norm = windows.rank_norm(df, keys, "v", "i", "r", 16).exceptAll(windows.rank_norm(df, keys, "v", "i", "r"))
+        assert norm.count() == 0
+
+
+def test_ranges_are_even(spark):
+    df = spark.range(200_000).select((F.pow(F.col("id") % 65_536, F.lit(3.0))).alias("v"))
+    sizes = [x["count"] for x in order.ranges(df, [], "v", 20).groupBy("_part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2 * sum(sizes) / 20
+
+
+def test_auc_by_ranges(spark):
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(i % 2), int(r.random() < 0.4), float(r.integers(0, 40))) for i in range(3000)], "k int, p int, v double")
+    for keys in ([], ["k"]):
+        same = lambda parts: sorted(round(x.auc, 12) for x in metrics.auc(df, keys, "p", "v", parts).collect())
+        assert same(7) == same(1)
