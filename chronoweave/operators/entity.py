@@ -113,36 +113,3 @@ def merge_fragments(tracks: DataFrame, clip: str, settings: Tracking = Tracking(
         return pd.DataFrame({clip: df[clip].iloc[0], "track": list(into), "into": list(into.values())})
 
     return tracks.groupBy(clip).applyInPandas(run, f"{clip} {kind[clip]}, track {kind['track']}, into {kind['track']}")
-
-
-def chunk_orders(scores: DataFrame, clip: str, margin: float = 0.15, id_margin: float = 0.15, id_cosine: float = 0.45, quiet: float = 1e-3) -> DataFrame:
-    """Order of each chunk's channels from boundary scores, as a running composition of permutations.
-
-    Rows: clip, boundary, wave (matrix), wave_rms, voice (matrix or null). A waveform margin decides; else the voices, if
-    both their margin and least cosine suffice; else the order is held.
-    """
-    from itertools import permutations
-
-    def best(m: np.ndarray) -> tuple[tuple[int, ...], float]:
-        plans = sorted(((-sum(m[i, p] for i, p in enumerate(plan)), plan) for plan in permutations(range(len(m)))))
-        return plans[0][1], (plans[1][0] - plans[0][0]) if len(plans) > 1 else -plans[0][0]
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        order, out = None, []
-        for r in df.sort_values("boundary").itertuples():
-            m = np.array([list(x) for x in r.wave])
-            step, gap = best(m)
-            basis = "waveform" if gap >= margin and r.wave_rms >= quiet else "held"
-            if basis == "held" and r.voice is not None:
-                v = np.array([list(x) for x in r.voice])
-                s, g = best(v)
-                if g >= id_margin and min(v[i, p] for i, p in enumerate(s)) >= id_cosine:
-                    step, basis = s, "identity"
-            if basis == "held":
-                step = tuple(range(len(m)))
-            order = list(step) if order is None else [step[i] for i in order]
-            out.append((getattr(r, clip), r.boundary, order, float(gap), basis))
-        return pd.DataFrame(out, columns=[clip, "boundary", "channels", "margin", "basis"])
-
-    kind = dict(scores.dtypes)
-    return scores.groupBy(clip).applyInPandas(run, f"{clip} {kind[clip]}, boundary {kind['boundary']}, channels array<int>, margin double, basis string")

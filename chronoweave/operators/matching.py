@@ -245,6 +245,52 @@ def backfill(pairs: DataFrame, scores: DataFrame, keys: list[str], track: str, s
     return pairs.unionByName(filled.withColumn("confidence", F.lit(0.0)))
 
 
+def decide(wave: DataFrame, voice: DataFrame, keys: list[str], margin: float = 0.15, id_margin: float = 0.15, id_cosine: float = 0.45) -> DataFrame:
+    """(keys, step, fixed, basis) of each boundary: how its channels stand to those before it.
+
+    wave and voice: keys, plan (positions from 1), margin, and for the voices `least`, the least cosine of the plan. A waveform
+    of enough margin decides, relative to the order before; else the voices, if both their margin and their least cosine
+    suffice, by themselves; else the channels keep the order in which they came. Boundaries that only voices have don't count.
+    """
+    both = wave.select(*keys, F.col("plan").alias("_w"), F.col("margin").alias("_m")).join(voice.select(*keys, F.col("plan").alias("_v"), F.col("margin").alias("_vm"), "least"), keys, "left")
+    sure = F.col("_m") >= margin
+    known = F.coalesce((F.col("_vm") >= id_margin) & (F.col("least") >= id_cosine), F.lit(False))
+    came = F.sequence(F.lit(1), F.size("_w"))
+    step = F.when(sure, F.col("_w")).when(known, F.col("_v")).otherwise(came)
+    return both.select(*keys, step.alias("step"), (~sure).alias("fixed"), F.when(sure, "waveform").when(known, "identity").otherwise("hold").alias("basis"))
+
+
+def running_orders(steps: DataFrame, keys: list[str], index: str, block: int, out: str = "order") -> DataFrame:
+    """(keys, index, out): the order of a series after each of its steps, which are applied one after another from 1, 2, 3, ..
+
+    steps: keys, index (whole numbers), step (positions from 1), fixed. A fixed step is the order itself; any other takes the
+    order before as it says. Applying steps is associative, so each block of indexes is first made one step, the blocks of a
+    key are gone through in order, and then each block by itself from where the one before has left off. A task holds a
+    block, or one row a block: with a block of the root of a series' length neither is more than that root.
+    """
+    kind = "array<int>"
+    s = steps.select(*keys, F.col(index).alias("_i"), F.floor(F.col(index) / block).alias("_b"), F.col("step").cast(kind).alias("step"), "fixed")
+    packed = s.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_i", "fixed", "step"))).alias("_s"))
+    start = F.struct(F.lit(False).alias("fixed"), F.sequence(F.lit(1), F.size(F.col("_s")[0]["step"])).alias("step"))
+
+    def then(a: Column, b: Column) -> Column:
+        after = F.transform(a["step"], lambda i: F.get(b["step"], i - 1))
+        return F.struct((a["fixed"] | b["fixed"]).alias("fixed"), F.when(b["fixed"], b["step"]).otherwise(after).alias("step"))
+
+    def scan(array: Column, first: Column, name: str) -> Column:
+        """Of each element its number (as `name`) and the step before it and after it."""
+        none = F.array().cast(f"array<struct<{name}:bigint,before:struct<fixed:boolean,step:{kind}>,after:struct<fixed:boolean,step:{kind}>>>")
+        one = lambda acc, x: F.struct(x[name].cast("bigint").alias(name), acc["now"].alias("before"), then(acc["now"], x).alias("after"))
+        step = lambda acc, x: F.struct(then(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(one(acc, x))).alias("out"))
+        return F.aggregate(array, F.struct(first.alias("now"), none.alias("out")), step, lambda acc: acc["out"])
+
+    whole = packed.select(*keys, "_b", F.aggregate("_s", start, then).alias("_w"), start["step"].alias("_id"))
+    line = whole.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", F.col("_w.fixed").alias("fixed"), F.col("_w.step").alias("step")))).alias("_l"), F.max("_id").alias("_id"))
+    begun = line.select(*keys, F.explode(scan(F.col("_l"), F.struct(F.lit(False).alias("fixed"), F.col("_id").alias("step")), "_b")).alias("_x")).select(*keys, F.col("_x._b").alias("_b"), F.col("_x.before").alias("_from"))
+    met = packed.join(begun, [*keys, "_b"])
+    return met.select(*keys, F.explode(scan(F.col("_s"), F.col("_from"), "_i")).alias("_x")).select(*keys, F.col("_x._i").alias(index), F.col("_x.after.step").alias(out))
+
+
 def best_lag(left: DataFrame, right: DataFrame, keys: list[str], index: str, a: str, b: str, most: int) -> DataFrame:
     """The lag of the right side with the greatest sum of products over the overlap; of ties the least lag.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import numeric as nu
@@ -16,8 +16,9 @@ from chronoweave.operators import report as rp
 from chronoweave.operators import spectral as sp
 from chronoweave.operators import vectors as ve
 from chronoweave.operators import windows as wi
+from chronoweave.plans import series as se
 from chronoweave.plans.series import r6
-from chronoweave.sources.tables import table
+from chronoweave.sources.tables import hourly, table
 
 E = "e AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings)"
 
@@ -425,12 +426,47 @@ def fragment_merge(s, d):
     return en.merge_fragments(rows, "clip")
 
 
+#: Scores as whole numbers, so that plans of equal totals are equal in both engines.
+_WHOLE = 10**9
+#: Days of events have no voices of their own, so what is enough is less here than the operator's defaults.
+MARGIN, ID_MARGIN, ID_COSINE = 0.1, 0.05, 0.2
+
+
 def chunk_orders(s, d):
-    i = F.col("boundary")
-    wave = F.when(i % 3 == 0, F.array(F.array(F.lit(0.1), F.lit(0.9)), F.array(F.lit(0.9), F.lit(0.1)))).otherwise(F.array(F.array(F.lit(0.9), F.lit(0.2)), F.array(F.lit(0.1), F.lit(0.8))))
-    rows = s.range(20).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("boundary"))
-    rows = rows.select("clip", "boundary", wave.alias("wave"), F.lit(0.1).alias("wave_rms"), F.lit(None).cast("array<array<double>>").alias("voice"))
-    return en.chunk_orders(rows, "clip")
+    """M11 over the days as chunks: the channels of a day against those of the day before, else against the mean day of each."""
+    n = hourly(s, d).withColumns({"day": F.floor(F.col("hour") / 24).cast("int"), "h": F.col("hour") % 24})
+    x = n.withColumn("x", F.col("n") - F.avg("n").over(Window.partitionBy("channel", "day")))
+    now = x.select("day", "h", F.col("channel").alias("stem"), F.col("x").alias("b"))
+    wave = mt.correlation_matrix(x.select((F.col("day") + 1).alias("day"), "h", F.col("channel").alias("track"), F.col("x").alias("a")), now, ["day"], "h", "track", "stem", "a", "b")
+    mean = x.groupBy("channel", "h").agg(F.avg("x").alias("a")).join(F.broadcast(x.select("day").distinct()), how="cross")
+    voice = mt.correlation_matrix(mean.select("day", "h", F.col("channel").alias("track"), "a"), now, ["day"], "h", "track", "stem", "a", "b")
+    both = wave.withColumn("kind", F.lit("w")).unionByName(voice.withColumn("kind", F.lit("v"))).withColumn("score", F.round(F.col("score") * _WHOLE))
+    names = F.broadcast(n.agg(F.sort_array(F.collect_set("channel")).alias("names")))
+    plans = mt.assign(both, ["day", "kind"], "track", "stem", "score").join(names, how="cross")
+    pairs = plans.select("day", "kind", "plan", "margin", "names", F.posexplode("plan").alias("i", "stem")).withColumn("track", F.get("names", "i"))
+    planned = pairs.join(both, ["day", "kind", "track", "stem"]).groupBy("day", "kind", "plan", "margin", "names").agg(F.min("score").alias("least"))
+    places = planned.withColumn("plan", F.transform("plan", lambda c: F.array_position("names", c).cast("int"))).drop("names")
+    of = lambda kind: places.where(F.col("kind") == kind)
+    steps = mt.decide(of("w"), of("v"), ["day"], MARGIN * _WHOLE, ID_MARGIN * _WHOLE, ID_COSINE * _WHOLE)
+    orders = mt.running_orders(steps, [], "day", 6).join(names, how="cross")
+    return orders.join(steps.select("day", "basis"), "day").select("day", "basis", F.array_join(F.transform("order", lambda i: F.get("names", i - 1)), ",").alias("channels"))
+
+
+CHUNK_ORDERS = f"""
+WITH RECURSIVE {se.H}, x AS (SELECT channel, hour // 24 AS day, hour % 24 AS h, n - avg(n) OVER (PARTITION BY channel, hour // 24) AS x FROM h),
+mean AS (SELECT channel, h, avg(x) AS x FROM x GROUP BY 1, 2),
+m AS (SELECT b.day AS lag, a.channel AS track, b.channel AS stem, round(abs(sum(a.x * b.x)) / (sqrt(sum(a.x * a.x) * sum(b.x * b.x)) + 1e-12) * {_WHOLE})::BIGINT AS score
+      FROM x a JOIN x b ON b.day = a.day + 1 AND b.h = a.h GROUP BY 1, 2, 3
+      UNION ALL SELECT 1000 + b.day, a.channel, b.channel, round(abs(sum(a.x * b.x)) / (sqrt(sum(a.x * a.x) * sum(b.x * b.x)) + 1e-12) * {_WHOLE})::BIGINT FROM mean a JOIN x b USING (h) GROUP BY 1, 2, 3),
+{se.PLANS},
+c AS (SELECT list(channel ORDER BY channel) AS names FROM (SELECT DISTINCT channel FROM h)),
+k AS (SELECT lag, margin, list_transform(string_split(plan, ','), lambda y: list_position(names, y)) AS step FROM t, c),
+l AS (SELECT lag, min(score) AS least FROM (SELECT lag, unnest(names) AS track, unnest(string_split(plan, ',')) AS stem FROM t, c) JOIN m USING (lag, track, stem) GROUP BY 1),
+s AS (SELECT w.lag AS day, CASE WHEN w.margin >= {MARGIN} * {_WHOLE} THEN w.step WHEN v.margin >= {ID_MARGIN} * {_WHOLE} AND least >= {ID_COSINE} * {_WHOLE} THEN v.step ELSE range(1, len(w.step) + 1) END AS step,
+      w.margin < {MARGIN} * {_WHOLE} AS fixed, CASE WHEN w.margin >= {MARGIN} * {_WHOLE} THEN 'waveform' WHEN v.margin >= {ID_MARGIN} * {_WHOLE} AND least >= {ID_COSINE} * {_WHOLE} THEN 'identity' ELSE 'hold' END AS basis
+      FROM k w JOIN k v ON v.lag = 1000 + w.lag JOIN l ON l.lag = v.lag WHERE w.lag < 1000),
+o AS (SELECT day, basis, step FROM s WHERE day = 1 UNION ALL SELECT s.day, s.basis, CASE WHEN fixed THEN s.step ELSE list_transform(o.step, lambda i: s.step[i]) END FROM o JOIN s ON s.day = o.day + 1)
+SELECT day::INT AS day, basis, array_to_string(list_transform(step, lambda i: names[i]), ',') AS channels FROM o, c"""
 
 
 def greedy_pairs(s, d):
@@ -533,7 +569,7 @@ QUERIES = {
     "choose_k": (choose_k, None),
     "entity_track": (entity_track, None),
     "fragment_merge": (fragment_merge, None),
-    "chunk_orders": (chunk_orders, None),
+    "chunk_orders": (chunk_orders, CHUNK_ORDERS),
     "greedy_pairs": (greedy_pairs, GREEDY),
     "wiener_separation": (wiener_separation, None),
     "stft_roundtrip": (stft_roundtrip, None),

@@ -418,3 +418,26 @@ def test_auc_by_ranges(spark):
     for keys in ([], ["k"]):
         same = lambda parts: sorted(round(x.auc, 12) for x in metrics.auc(df, keys, "p", "v", parts).collect())
         assert same(7) == same(1)
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_running_orders_equal_a_loop(spark, block):
+    """Series of several lengths and sizes, with steps that stand by themselves."""
+    r = np.random.default_rng(9)
+    rows = [(k, i, (r.permutation(2 + k) + 1).tolist(), bool(r.random() < 0.2)) for k in range(4) for i in range(5 * k, 5 * k + 40 // (k + 1))]
+    df = spark.createDataFrame(rows, "k int, i long, step array<int>, fixed boolean").repartition(3)
+    got = {(x.k, x.i): x.order for x in matching.running_orders(df, ["k"], "i", block).collect()}
+    want = {}
+    for k in range(4):
+        order = list(range(1, 3 + k))
+        for _, i, step, fixed in (x for x in rows if x[0] == k):
+            order = step if fixed else [step[j - 1] for j in order]
+            want[k, i] = order
+    assert got == want
+
+
+def test_cascade_takes_the_first_sure_basis(spark):
+    wave = spark.createDataFrame([(0, [2, 1], 0.2), (1, [2, 1], 0.1), (2, [2, 1], 0.1), (3, [2, 1], 0.1)], "day int, plan array<int>, margin double")
+    voice = spark.createDataFrame([(0, [1, 2], 0.9, 0.9), (1, [2, 1], 0.2, 0.5), (2, [2, 1], 0.2, 0.4)], "day int, plan array<int>, margin double, least double")
+    got = {x.day: (x.step, x.fixed, x.basis) for x in matching.decide(wave, voice, ["day"]).collect()}
+    assert got == {0: ([2, 1], False, "waveform"), 1: ([2, 1], True, "identity"), 2: ([1, 2], True, "hold"), 3: ([1, 2], True, "hold")}
