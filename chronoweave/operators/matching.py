@@ -291,6 +291,26 @@ def running_orders(steps: DataFrame, keys: list[str], index: str, block: int, ou
     return met.select(*keys, F.explode(scan(F.col("_s"), F.col("_from"), "_i")).alias("_x")).select(*keys, F.col("_x._i").alias(index), F.col("_x.after.step").alias(out))
 
 
+def match_stems(lips: DataFrame, envs: DataFrame, index: str, track: str, stem: str, a: str, b: str, n: int, p_most: float = 0.05, least: float = 0.05) -> DataFrame:
+    """(track, stem, confidence, p, agreement, trusted) of every track: the best one-to-one pairing, and how much to believe it.
+
+    lips (index, track, a) and envs (index, stem, b) are standardised features on one grid of n rows. The confidence of a pair
+    is the margin of the whole plan. Stems that it leaves over go, in their order, to the best free track, with confidence 0;
+    a track without a stem has NULL and 0. p is the share of circular shifts whose margin is as large.
+    """
+    scores = shift_scores(lips, envs, index, track, stem, a, b, n)
+    found = significance(assign(scores, ["lag"], track, stem, "score"), n)
+    names = lips.groupBy().agg(F.sort_array(F.collect_set(track)).alias("_names"))
+    planned = found.join(F.broadcast(names), how="cross").select(F.posexplode("_names").alias("_i", track), "plan", "margin", "p", "agreement")
+    planned = planned.withColumn(stem, F.get("plan", "_i"))
+    one = [F.lit(1).alias("_one")]
+    pairs = planned.where(F.col(stem).isNotNull()).select(*one, track, stem, F.col("margin").alias("confidence"))
+    filled = backfill(pairs, scores.where("lag = 0").select(*one, track, stem, "score"), ["_one"], track, stem, "score").drop("_one")
+    out = planned.select(track, "margin", "p", "agreement").join(filled, track, "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    sure = trusted(F.col("p"), F.max("confidence").over(Window.partitionBy("p")), p_most, least)
+    return out.select(track, stem, "confidence", "p", "agreement", sure.alias("trusted"))
+
+
 def best_lag(left: DataFrame, right: DataFrame, keys: list[str], index: str, a: str, b: str, most: int) -> DataFrame:
     """The lag of the right side with the greatest sum of products over the overlap; of ties the least lag.
 

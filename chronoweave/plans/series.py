@@ -396,6 +396,35 @@ SELECT o.plan, round(o.total, 6) + 0.0 AS total, round(o.margin, 6) + 0.0 AS mar
 FROM t, o WHERE t.lag > 0 GROUP BY o.plan, o.total, o.margin"""
 
 
+def match_stems(s, d):
+    """M1 from end to end: counts of two hours, held over gaps, on the hourly grid, and their steps, against smoothed hourly levels."""
+    h = hourly(s, d)
+    env = fr.zscore(wi.boxcar(h, K, I, "db", 3, "env"), K, "env", "zb").select(F.col("channel").alias("stem"), "hour", "zb")
+    seen = h.groupBy("channel", F.floor(F.col("hour") / 2).alias("frame")).agg(F.sum("n").cast("double").alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
+    lip = rs.resample_hold(seen, K, "frame", "v", 0.5, [], HOURS, 1.0, 4.0).select("channel", F.col("out").alias("hour"), "v")
+    lip = fr.zscore(fr.absolute_step(lip, K, I, "v"), K, "step", "za").select(F.col("channel").alias("track"), "hour", "za")
+    out = mt.match_stems(lip, env, I, "track", "stem", "za", "zb", HOURS)
+    return out.select("track", "stem", *[r6(c).alias(c) for c in ("confidence", "p", "agreement")], "trusted")
+
+
+MATCH_STEMS = f"""
+WITH {H}, b AS (SELECT channel, hour, (coalesce(lag(db) OVER w, 0) + db + coalesce(lead(db) OVER w, 0)) / 3 AS env FROM h WINDOW w AS (PARTITION BY channel ORDER BY hour)),
+x AS (SELECT channel, hour // 2 AS f, nullif(sum(n), 0)::DOUBLE AS v FROM h GROUP BY 1, 2),
+y AS (SELECT channel, f, last_value(v IGNORE NULLS) OVER w AS lv, last_value(CASE WHEN v IS NOT NULL THEN f END IGNORE NULLS) OVER w AS la FROM x WINDOW w AS (PARTITION BY channel ORDER BY f)),
+u AS (SELECT channel, f, CASE WHEN coalesce(f - la <= 2, false) THEN lv ELSE 0.0 END AS v FROM y),
+g AS (SELECT h.channel, h.hour, CASE WHEN h.hour / 2 <= 359 THEN a.v + (c.v - a.v) * (h.hour / 2 - h.hour // 2) ELSE 0.0 END AS v
+      FROM h JOIN u a ON a.channel = h.channel AND a.f = h.hour // 2 JOIN u c ON c.channel = h.channel AND c.f = least(h.hour // 2 + 1, 359)),
+e AS (SELECT channel, hour, coalesce(abs(v - lag(v) OVER (PARTITION BY channel ORDER BY hour)), 0.0) AS step FROM g),
+z AS (SELECT channel, hour, CASE WHEN stddev_pop(step) OVER w > 1e-9 THEN (step - avg(step) OVER w) / stddev_pop(step) OVER w ELSE 0 END AS za,
+      CASE WHEN stddev_pop(env) OVER w > 1e-9 THEN (env - avg(env) OVER w) / stddev_pop(env) OVER w ELSE 0 END AS zb FROM e JOIN b USING (channel, hour) WINDOW w AS (PARTITION BY channel)),
+l AS (SELECT unnest(range(720)) AS lag),
+m AS (SELECT lag, a.channel AS track, b.channel AS stem, sum(a.za * b.zb) / 720 AS score FROM l, z a JOIN z b ON b.hour = (a.hour + lag) % 720 GROUP BY 1, 2, 3), {PLANS},
+o AS (SELECT * FROM t WHERE lag = 0),
+s AS (SELECT o.plan, o.margin, (sum((t.margin >= o.margin)::INT) + 1) / 720.0 AS p, avg((t.plan = o.plan)::INT) AS agreement FROM t, o WHERE t.lag > 0 GROUP BY 1, 2)
+SELECT r.track, string_split(plan, ',')[r.i] AS stem, round(margin, 6) + 0.0 AS confidence, round(p, 6) + 0.0 AS p, round(agreement, 6) + 0.0 AS agreement, p <= 0.05 AND margin >= 0.05 AS trusted
+FROM s, (SELECT channel AS track, row_number() OVER (ORDER BY channel) AS i FROM (SELECT DISTINCT channel FROM h)) r"""
+
+
 def channel_plan(s, d):
     pairs = s.createDataFrame([(1, 0, 1), (1, 1, 1), (1, 2, -1), (1, 3, 7), (2, 0, 2), (2, 1, None), (2, 2, 0)], "clip long, track long, stem long")
     stems = s.range(2).select((F.col("id") + 1).alias("clip"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("stem"))
@@ -644,6 +673,7 @@ QUERIES = {
     "assign_margin": (assign_margin, ASSIGN),
     "shift_significance": (shift_significance, SHIFTS),
     "shift_significance_db": (lambda s, d: shift_significance(s, d, "db"), SHIFTS.replace("a.za * b.zb", "a.za * b.zd")),
+    "match_stems": (match_stems, MATCH_STEMS),
     "channel_plan": (channel_plan, CHANNEL_PLAN),
     "best_lag": (best_lag, BEST_LAG),
     "overlap_add": (overlap_add, OVERLAP_ADD),

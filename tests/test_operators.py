@@ -441,3 +441,23 @@ def test_cascade_takes_the_first_sure_basis(spark):
     voice = spark.createDataFrame([(0, [1, 2], 0.9, 0.9), (1, [2, 1], 0.2, 0.5), (2, [2, 1], 0.2, 0.4)], "day int, plan array<int>, margin double, least double")
     got = {x.day: (x.step, x.fixed, x.basis) for x in matching.decide(wave, voice, ["day"]).collect()}
     assert got == {0: ([2, 1], False, "waveform"), 1: ([2, 1], True, "identity"), 2: ([1, 2], True, "hold"), 3: ([1, 2], True, "hold")}
+
+
+@pytest.mark.parametrize("tracks, stems", [(3, 3), (2, 4), (4, 2)])
+def test_match_stems_of_any_numbers(spark, tracks, stems):
+    """Stems are noisy copies of tracks in reverse order; what has no partner is left over."""
+    r = np.random.default_rng(11)
+    n, both = 64, min(tracks, stems)
+    x = r.normal(size=(tracks, n))
+    y = r.normal(size=(stems, n))
+    y[:both] = x[:both][::-1] + 0.05 * r.normal(size=(both, n))
+    z = lambda m: (m - m.mean(1, keepdims=True)) / m.std(1, keepdims=True)
+    lips = spark.createDataFrame([(t, i, float(v)) for t, row in enumerate(z(x)) for i, v in enumerate(row)], "t int, i int, a double")
+    envs = spark.createDataFrame([(t, i, float(v)) for t, row in enumerate(z(y)) for i, v in enumerate(row)], "s int, i int, b double")
+    got = {q.t: q for q in matching.match_stems(lips, envs, "i", "t", "s", "a", "b", n).collect()}
+    assert {t: q.s for t, q in got.items()} == {t: both - 1 - t if t < both else None for t in range(tracks)}
+    score = z(x) @ z(y).T / n
+    _, total, margin = matching.solve(score)
+    assert all(np.isclose(q.confidence, margin if q.s is not None else 0.0) and q.trusted for q in got.values())
+    null = [matching.solve(np.stack([np.roll(row, lag) for row in z(x)]) @ z(y).T / n)[2] for lag in range(1, n)]
+    assert np.isclose(got[0].p, (sum(m >= margin for m in null) + 1) / n)
