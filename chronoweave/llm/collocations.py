@@ -2,10 +2,10 @@
 
 The words of many texts of a language lie one after the other in a shard, with a place of no word between pieces, so that no
 phrase crosses one. Each word has a bitmap of its places, kept as its bytes that aren't zero. A phrase is extended by a shift
-of its bitmap by one place and an AND with the bitmaps of the words, and depth-first up to LONGEST; the popcounts of what is
-left are its occurrences, and are summed over all shards by a shuffle. No phrase is more frequent than a part of it, so words
-and pairs that are too rare are left out beforehand, by tables of bits of a bounded size that travel with the tasks: a table
-that is too full lets more partial counts through, which the sums drop, and never changes a result.
+of its bitmap by one place and an AND with the bitmaps of the words, depth-first; the popcounts of what is left are its
+occurrences, and are summed over all shards by a shuffle. No phrase is more frequent than a part of it, so words, pairs and
+triples that are too rare are left out of the next pass, by tables of bits of a bounded size that travel with the tasks: a
+table that is too full lets more partial counts through, which the sums drop, and never changes a result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ class Sizes(NamedTuple):
     #: Places of a shard at least; a text is never parted but between pieces.
     shard: int = 1 << 18
     #: Words of all languages that a task knows before it starts anew.
-    vocabulary: int = 150_000
+    vocabulary: int = 200_000
     #: Bits of a table at most: 16 MB.
     bits: int = 1 << 27
     #: Entries that are joined at a time.
@@ -48,22 +48,25 @@ _FOLD = bytes(_FOLD)
 
 
 class _Vocabulary(dict):
-    """Words of a language by the order in which a task meets them, with their 64-bit codes; the language is part of a code."""
+    """Words of a language by the order in which a task meets them, with the codes that Spark's xxhash64(lang, word) gives."""
 
     def __init__(self, lang: bytes):
+        from xxhash import xxh64_intdigest
+
         super().__init__()
-        self.lang, self.codes = lang + b"\x00", []
+        self.seed, self.codes = xxh64_intdigest(lang, 42), []
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
         self[word] = n = len(self)
-        self.codes.append(xxh64_intdigest(self.lang + word) - (1 << 63))
+        code = xxh64_intdigest(word, self.seed)
+        self.codes.append(code - (1 << 64) if code >> 63 else code)
         return n
 
 
-_SHARDS = "kind int, lang string, code long, word string, n long, places binary, codes binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("code", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("places", pa.binary()), ("codes", pa.binary())])
+_SHARDS = "kind int, lang string, word string, n long, places binary, codes binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("places", pa.binary()), ("codes", pa.binary())])
 
 
 def _shards(sizes: Sizes):
@@ -72,9 +75,9 @@ def _shards(sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[_Vocabulary, list[int], list[np.ndarray]]] = {}
 
-        def batch(kind, lang, code, word, n, places, codes):
+        def batch(kind, lang, word, n, places, codes):
             size = len(n)
-            parts = [np.full(size, kind, np.int32), [lang.decode()] * size, code, word, n, places, codes]
+            parts = [np.full(size, kind, np.int32), [lang.decode()] * size, word, n, places, codes]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(parts, _ARROW, strict=True)], schema=_ARROW)
 
         def shard(lang: bytes) -> Iterator[pa.RecordBatch]:
@@ -86,7 +89,7 @@ def _shards(sizes: Sizes):
             counts.append(np.bincount(at[at >= 0], minlength=len(words)))
             codes = np.array(words.codes, np.int64)[own]
             places.clear()
-            yield batch(0, lang, [None], [None], [len(local)], [out.tobytes()], [codes.tobytes()])
+            yield batch(0, lang, [None], [len(local)], [out.tobytes()], [codes.tobytes()])
 
         def words_of(lang: bytes) -> Iterator[pa.RecordBatch]:
             words, places, counts = known.pop(lang)
@@ -96,7 +99,7 @@ def _shards(sizes: Sizes):
             names = [w.decode() for w in words]
             for i in range(0, len(names), 100_000):
                 p = slice(i, i + 100_000)
-                yield batch(1, lang, words.codes[p], names[p], n[p], [None] * len(names[p]), [None] * len(names[p]))
+                yield batch(1, lang, names[p], n[p], [None] * len(names[p]), [None] * len(names[p]))
 
         def ended() -> Iterator[pa.RecordBatch]:
             for lang in list(known):
@@ -248,16 +251,34 @@ def _pairs(word_bits, sizes: Sizes):
             for places, codes in zip(*b.columns, strict=True):
                 code, words, marks = _shard(places, codes, word_bits.value)
                 _, v, w, n = _grown(marks, words, sizes.group)
-                yield from _rows(code, [v, w], n)
+                yield pa.RecordBatch.from_arrays([pa.array(_pair_code(code[v], code[w])), pa.array(n)], ["code", "n"])
 
     return run
 
 
-def _longer(word_bits, pair_bits, sizes: Sizes):
-    """Depth-first: the phrases of a group of prefixes are grown to the end before the next group."""
+def _known(word_bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(word_bits.value.has(b.column(0).to_numpy())))
+
+    return run
+
+
+def _triple_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        v, w, x = (np.ascontiguousarray(c.to_numpy()) for c in b.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_code(_pair_code(v, w), x))], ["code"])
+
+
+def _longer(word_bits, pair_bits, triple_bits, sizes: Sizes):
+    """Phrases of frequent pairs: pairs and triples; with triple_bits the phrases of LONGEST words whose triples are frequent.
+
+    Depth-first: the phrases of a group of prefixes are grown to the end before the next group.
+    """
+    deepest = 3 if triple_bits is None else LONGEST
 
     def grow(code, words, marks, phrases, pairs) -> Iterator[pa.RecordBatch]:
-        if len(phrases) == LONGEST or not len(marks.phrase):
+        if len(phrases) == deepest or not len(marks.phrase):
             return
         ends = np.append(np.flatnonzero(np.diff(marks.phrase)) + 1, len(marks.phrase))  # of each phrase's bitmap
         cuts = np.unique(np.searchsorted(ends, np.arange(sizes.group, len(marks.phrase) + sizes.group, sizes.group)))
@@ -269,56 +290,71 @@ def _longer(word_bits, pair_bits, sizes: Sizes):
             own = Marks(*(x[lo:hi] for x in marks))
             lo = hi
             longer, old, word, n = _grown(own, words, sizes.group)
+            if not len(n):
+                continue
             key = phrases[-1][old] << 32 | word
-            at = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-            good = pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
-            number = np.cumsum(good) - 1
-            keep = good[longer.phrase] if len(good) else np.zeros(0, bool)
-            longer = Marks(number[longer.phrase[keep]], longer.block[keep], longer.mask[keep])
-            grown = [c[old[good]] for c in phrases] + [word[good]]
-            yield from _rows(code, grown, n[good])
+            good = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+            if triple_bits is not None:
+                good &= triple_bits.value.has(_pair_code(_pair_code(code[phrases[-2][old]], code[phrases[-1][old]]), code[word]))
+            longer, grown = _chosen(longer, good), [c[old[good]] for c in phrases] + [word[good]]
+            if len(grown) == deepest:
+                yield from _rows(code, grown, n[good])
             yield from grow(code, words, longer, grown, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for places, codes in zip(*b.columns, strict=True):
                 code, words, marks = _shard(places, codes, word_bits.value)
-                marks, v, w, _ = _grown(marks, words, sizes.group)
-                good = pair_bits.value.has(_pair_code(code[v], code[w])) if len(v) else np.zeros(0, bool)
-                number, keep = np.cumsum(good) - 1, good[marks.phrase] if len(good) else np.zeros(0, bool)
-                marks = Marks(number[marks.phrase[keep]], marks.block[keep], marks.mask[keep])
-                yield from grow(code, words, marks, [v[good], w[good]], v[good] << 32 | w[good])
+                marks, v, w, n = _grown(marks, words, sizes.group)
+                if not len(v):
+                    continue
+                good = pair_bits.value.has(_pair_code(code[v], code[w]))
+                marks, v, w = _chosen(marks, good), v[good], w[good]
+                if triple_bits is None:
+                    yield from _rows(code, [v, w], n[good])
+                yield from grow(code, words, marks, [v, w], v << 32 | w)
 
     return run
 
 
+def _chosen(marks: Marks, good: np.ndarray) -> Marks:
+    """The bitmaps of some phrases, numbered anew."""
+    number, keep = np.cumsum(good) - 1, good[marks.phrase]
+    return Marks(number[marks.phrase[keep]], marks.block[keep], marks.mask[keep])
+
+
 def _big(c: Column) -> Column:
     return c.cast("decimal(20,0)")
 
 
-def count_phrases(docs: DataFrame, work: Work, least: int = 30, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (lang, code, word, f), phrases (p: codes of 2 to 4 words, f) that occur `least` times or more, and words of each lang (lang, n)."""
+def count_phrases(docs: DataFrame, work: Work, least: int = 30, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> tuple[DataFrame, ...]:
+    """Words (lang, code, f), phrases (p: codes of 2 to 4 words, f) that occur `least` times or more, words of each lang (lang, n), spellings (code, word)."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     c = lambda name: F.col(f"`{name}`").cast("string")
     shards = work.write(docs.select(F.coalesce(c(lang), F.lit("und")), F.coalesce(c(text), F.lit(""))).mapInArrow(_shards(sizes), _SHARDS))
     totals = work.write(shards.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    words = shards.where("kind = 1").groupBy("code").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("f"))
-    words = work.write(words.where(F.col("f") >= least))
-    word_bits = share(bits(words.select("code"), words.count(), sizes.bits))
-    blobs = shards.where("kind = 0").select("places", "codes")
-    counted = lambda run, keys: blobs.mapInArrow(run, _PHRASES).groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    pairs = work.write(counted(_pairs(word_bits, sizes), "vw"))
 
-    def pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_code(*(np.ascontiguousarray(b.column(i).to_numpy()) for i in (0, 1))))], ["code"])
+    def frequent(df: DataFrame, *keys: str) -> DataFrame:
+        return work.write(df.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
-    pair_bits = share(bits(pairs.select("v", "w").mapInArrow(pair_codes, "code long"), pairs.count(), sizes.bits))
-    longer = work.write(counted(_longer(word_bits, pair_bits, sizes), "vwxy"))
-    work.drop(1)  # the shards
-    phrases = pairs.select(F.array("v", "w").alias("p"), "f").unionByName(longer.select(F.array_compact(F.array(*"vwxy")).alias("p"), "f"))
-    return words, phrases, totals
+    def table_of(codes: DataFrame):
+        return share(bits(codes, codes.count(), sizes.bits))
+
+    each = shards.where("kind = 1").withColumn("code", F.xxhash64("lang", "word"))
+    words = frequent(each, "code", "lang")
+    word_bits = table_of(words.select("code"))
+    blobs = shards.where("kind = 0").select("places", "codes")
+    # Pairs are counted by a hash first, which is half as long; the next pass has them by their words, with triples of frequent ones.
+    hashed = frequent(blobs.mapInArrow(_pairs(word_bits, sizes), "code long, n long"), "code")
+    pair_bits = table_of(hashed.select("code"))
+    short = frequent(blobs.mapInArrow(_longer(word_bits, pair_bits, None, sizes), _PHRASES), *"vwx")
+    triples = short.where(F.col("x").isNotNull())
+    triple_bits = table_of(triples.select("v", "w", "x").mapInArrow(_triple_codes, "code long"))
+    long = frequent(blobs.mapInArrow(_longer(word_bits, pair_bits, triple_bits, sizes), _PHRASES), *"vwxy")
+    every = short.withColumn("y", F.lit(None).cast("long")).unionByName(long)
+    phrases = every.select(F.array_compact(F.array(*"vwxy")).alias("p"), "f")
+    return words, phrases, totals, each.select("code", "word")
 
 
 def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, scale: int = 2_000_000, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
@@ -335,7 +371,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2
     gives no rows. Words go by 64-bit codes of lang and word.
     """
     work = Work(docs.sparkSession, "phrases")
-    words, phrases, totals = count_phrases(docs, work, least, text, lang, sizes)
+    words, phrases, totals, spellings = count_phrases(docs, work, least, text, lang, sizes)
     parts = words.select(F.array("code").alias("p"), "f").unionByName(phrases)
     k = F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k")
     cuts = phrases.select("p", F.col("f").alias("a"), k).select("p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("first"), F.slice("p", F.col("k") + 1, F.size("p") - F.col("k")).alias("rest"))
@@ -350,7 +386,11 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2
     rows = left.withColumn("first", F.col("p")[0]).join(tongue, "first").select("lang", "p", "a", "cut.l", "cut.r", "cut.score")
     # Spark keeps the first ranks of each task only, before and after the words are put in.
     near = work.write(rows.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("rank") <= top).drop("rank"))
-    spelt = near.select("p", F.posexplode("p").alias("i", "code")).join(words.select("code", "word"), "code").groupBy("p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    codes = near.select(F.explode("p").alias("code")).distinct()
+    used = docs.sparkSession.sparkContext.broadcast(bits(codes, codes.count(), sizes.bits))
+    names = work.write(spellings.mapInArrow(_known(used), "code long, word string").groupBy("code").agg(F.min("word").alias("word")))
+    work.drop(1)  # the shards
+    spelt = near.select("p", F.posexplode("p").alias("i", "code")).join(names, "code").groupBy("p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = near.join(spelt, "p").withColumn("rank", first).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
