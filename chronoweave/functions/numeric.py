@@ -63,6 +63,35 @@ def polygon_area(ring: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
 
 
+def planar_fit(a: Column, b: Column) -> Column:
+    """The scaling, turn and shift that bring points a closest to b in the mean square: (re, im, ax, ay, bx, by).
+
+    a and b are arrays of (x, y) structs of one length. As complex numbers about their centres the best factor is
+    sum(b * conj(a)) / sum(|a|^2). Points a that all lie on one place are only shifted. NULL if a coordinate is missing.
+    """
+    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[c]) / F.size(p)
+    ends = F.struct(mean(a, "x").alias("ax"), mean(a, "y").alias("ay"), mean(b, "x").alias("bx"), mean(b, "y").alias("by"))
+    zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"), F.lit(0.0).alias("n"))
+
+    def add(m: Column, s: Column, p: Column) -> Column:
+        x, y, u, v = p["a"]["x"] - m["ax"], p["a"]["y"] - m["ay"], p["b"]["x"] - m["bx"], p["b"]["y"] - m["by"]
+        return F.struct((s["re"] + u * x + v * y).alias("re"), (s["im"] + v * x - u * y).alias("im"), (s["n"] + x * x + y * y).alias("n"))
+
+    def fit(m: Column) -> Column:
+        s = F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), zero, lambda s, p: add(m, s, p))
+        some = s["n"] > 1e-12 * F.size(a)
+        re, im = F.when(some, s["re"] / s["n"]).when(~some, 1.0), F.when(some, s["im"] / s["n"]).when(~some, 0.0)
+        return F.struct(re.alias("re"), im.alias("im"), *[m[c].alias(c) for c in ("ax", "ay", "bx", "by")])
+
+    return F.transform(F.array(ends), fit)[0]
+
+
+def moved(fit: Column, p: Column) -> Column:
+    """A point taken along with a fit."""
+    x, y = p["x"] - fit["ax"], p["y"] - fit["ay"]
+    return F.struct((fit["re"] * x - fit["im"] * y + fit["bx"]).alias("x"), (fit["im"] * x + fit["re"] * y + fit["by"]).alias("y"))
+
+
 def ownership(mine: Column, other: Column, sharpness: float = 2.0) -> Column:
     return 1 / (1 + F.pow(mine / other, F.lit(sharpness)))
 

@@ -144,18 +144,6 @@ def formants(x: np.ndarray, rate: int, order: int = 12) -> np.ndarray:
     return np.sort(hz[(hz > 90) & (width < 400)])
 
 
-def similarity_fit(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Scale, rotation and shift that bring points a closest to b."""
-    ma, mb = a.mean(0), b.mean(0)
-    u, d, vt = np.linalg.svd((b - mb).T @ (a - ma) / len(a))
-    sign = np.ones(len(d))
-    if np.linalg.det(u) * np.linalg.det(vt) < 0:
-        sign[-1] = -1
-    rot = u @ np.diag(sign) @ vt
-    scale = float((d * sign).sum() / ((a - ma) ** 2).sum(1).mean())
-    return scale, rot, mb - scale * rot @ ma
-
-
 #: Root mean square under which a frame is silence, whatever the other frames are.
 SILENCE = 1e-3
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronoweave.functions import numeric as nu
 from chronoweave.operators import frames as fr
 from chronoweave.operators import matching as mt
 from chronoweave.operators import resample as rs
@@ -65,6 +66,32 @@ SELECT vec_id, CASE WHEN ok THEN round(area / (eyes * eyes), 6) + 0.0 END AS ape
   CASE WHEN ok THEN round(gap / eyes, 6) + 0.0 END AS gap, CASE WHEN ok AND span > 1e-6 THEN round(gap / span, 6) + 0.0 END AS gap_v FROM o"""
 
 
+#: Landmarks of a row: seven that the mouth doesn't move, then the upper and the lower lip.
+_RIGID = 7
+
+
+def lip_gap_fitted(s, d):
+    """The opening after a row's rigid landmarks are brought to the median ones of its track (label)."""
+    v = _vectors(s, d)
+    point = lambda k: F.struct(F.get("v", F.lit(2 * k)).alias("x"), F.get("v", F.lit(2 * k + 1)).alias("y"))
+    rows = v.select("vec_id", "label", F.array(*[point(k) for k in range(_RIGID)]).alias("p"), point(_RIGID).alias("up"), point(_RIGID + 1).alias("low"))
+    each = rows.select("label", F.posexplode("p").alias("k", "p")).groupBy("label", "k").agg(F.percentile("p.x", F.lit(0.5)).alias("x"), F.percentile("p.y", F.lit(0.5)).alias("y"))
+    usual = each.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("q"))
+    fitted = rows.join(usual, "label").withColumn("fit", nu.planar_fit(F.col("p"), F.col("q")))
+    gap = F.abs(nu.moved(F.col("fit"), F.col("low"))["y"] - nu.moved(F.col("fit"), F.col("up"))["y"])
+    scale = F.sqrt(F.col("fit.re") ** 2 + F.col("fit.im") ** 2)
+    return fitted.select("vec_id", r6(scale).alias("scale"), r6(F.atan2("fit.im", "fit.re")).alias("turn"), r6(gap).alias("gap"))
+
+
+LIP_GAP = f"""
+WITH {E}, x AS (SELECT vec_id, label, v, k, v[2 * k + 1] AS x, v[2 * k + 2] AS y FROM e, (SELECT unnest(range({_RIGID})) AS k)),
+q AS (SELECT label, k, quantile_cont(x, 0.5) AS u, quantile_cont(y, 0.5) AS w FROM x GROUP BY 1, 2),
+c AS (SELECT vec_id, x.label, k, v, x - avg(x) OVER m AS x, y - avg(y) OVER m AS y, u - avg(u) OVER m AS u, w - avg(w) OVER m AS w FROM x JOIN q USING (label, k) WINDOW m AS (PARTITION BY vec_id)),
+f AS (SELECT vec_id, any_value(v) AS v, sum(u * x + w * y) / sum(x * x + y * y) AS re, sum(w * x - u * y) / sum(x * x + y * y) AS im FROM c GROUP BY 1)
+SELECT vec_id, round(sqrt(re * re + im * im), 6) + 0.0 AS scale, round(atan2(im, re), 6) + 0.0 AS turn,
+  round(abs(im * (v[{2 * _RIGID + 3}] - v[{2 * _RIGID + 1}]) + re * (v[{2 * _RIGID + 4}] - v[{2 * _RIGID + 2}])), 6) + 0.0 AS gap FROM f"""
+
+
 def gain_to_target(s, d):
     """Gain that brings a channel to a target level, and its mean under another 6 dB down."""
     h = hourly(s, d).groupBy("channel").agg(F.sqrt(F.avg(F.col("energy"))).alias("rms"), F.avg("n").alias("mean"))
@@ -257,6 +284,7 @@ QUERIES = {
     "mono_resampled": (mono_resampled, MONO),
     "durations": (durations, DURATIONS),
     "lip_apertures": (lip_apertures, APERTURES),
+    "lip_gap_fitted": (lip_gap_fitted, LIP_GAP),
     "gain_to_target": (gain_to_target, GAIN_TARGET),
     "frame_map": (frame_map, FRAME_MAP),
     "drift_correction": (drift_correction, DRIFT_CORRECTION),

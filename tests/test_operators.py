@@ -169,11 +169,32 @@ def test_pitch(fn):
     assert abs(np.nanmedian(f) - 160) < 4
 
 
-def test_similarity_fit():
-    a = np.random.default_rng(0).normal(size=(9, 2))
-    r = np.array([[0.0, -1.0], [1.0, 0.0]])
-    scale, rot, shift = spectral.similarity_fit(a, 2 * a @ r.T + [3, 4])
-    assert np.isclose(scale, 2) and np.allclose(rot, r) and np.allclose(shift, [3, 4])
+def test_planar_fit(spark):
+    """Known moves come back; a mirror image can't be reached by a turn; points on one place are only shifted; a gap gives NULL."""
+    from chronoweave.functions import numeric
+
+    r = np.random.default_rng(0)
+    a = r.normal(size=(6, 9, 2))
+    turn = np.array([[np.cos(2.0), -np.sin(2.0)], [np.sin(2.0), np.cos(2.0)]])
+    b = 2 * a @ turn.T + [3, 4]
+    b[1] = a[1] * [1, -1]
+    a[2] = 5.0
+    b[3] += 0.1 * r.normal(size=(9, 2))
+    point = lambda p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [(i, point(a[i]), point(b[i])) for i in range(6)]
+    rows[4][1][0]["x"] = None
+    df = spark.createDataFrame(rows, "i int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    df = df.withColumn("fit", numeric.planar_fit(F.col("a"), F.col("b"))).withColumn("first", numeric.moved(F.col("fit"), F.col("a")[0]))
+    got = {x.i: x for x in df.collect()}
+    for i in (0, 5):
+        assert np.allclose([got[i].fit.re, got[i].fit.im], [2 * np.cos(2.0), 2 * np.sin(2.0)]) and np.allclose([got[i].first.x, got[i].first.y], b[i, 0])
+    assert (got[2].fit.re, got[2].fit.im) == (1.0, 0.0) and np.allclose([got[2].first.x, got[2].first.y], b[2].mean(0))
+    assert got[4].fit.re is None
+    for i in (1, 3):  # no scale and turn near by does better
+        x, y = a[i] - a[i].mean(0), b[i] - b[i].mean(0)
+        off = lambda re, im: ((x @ np.array([[re, im], [-im, re]]) - y) ** 2).sum()
+        best = off(got[i].fit.re, got[i].fit.im)
+        assert all(best <= off(got[i].fit.re + d, got[i].fit.im + e) for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
 
 
 def test_leak_and_cepstrum():
