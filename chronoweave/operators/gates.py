@@ -73,15 +73,13 @@ def veto_shift(mine: Column, mine_ok: Column, rival: Column, rival_ok: Column, d
 
 
 def rival_max(df: DataFrame, frame: list[str], channel: str, value: str, out: str) -> DataFrame:
-    """Greatest value of the other channels of a frame, NULL without any: the greatest and the next, each an aggregate.
+    """Greatest value of the other channels of a frame, NULL without any. A channel has one row a frame.
 
-    Two passes of constant size per frame, however many channels it has; of equal values the channel last in order is the greatest.
+    In order of value the first row's rival is the next row, and all others' is the first: one shuffle by frame, and frames that
+    Spark reads row by row. Of equal values the channel last in order is the first.
     """
-    top = df.groupBy(*frame).agg(F.max(F.struct(F.col(value).alias("v"), F.col(channel).alias("c"))).alias("_top"))
-    both = df.join(top, frame)
-    second = both.where(F.col("_top.c") != F.col(channel)).groupBy(*frame).agg(F.max(value).alias("_next"))
-    both = both.join(second, frame, "left")
-    return both.withColumn(out, F.when(F.col("_top.c") == F.col(channel), F.col("_next")).otherwise(F.col("_top.v"))).drop("_top", "_next")
+    w = Window.partitionBy(*frame).orderBy(F.desc(value), F.desc(channel))
+    return df.withColumn(out, F.when(F.row_number().over(w) == 1, F.lead(value).over(w)).otherwise(F.first(value).over(w)))
 
 
 def visual_activity(df: DataFrame, keys: list[str], index: str, value: str, valid: str, smooth: int, spread: int, least: float = 1e-4, q: float = 0.9, out: str = "activity") -> DataFrame:
