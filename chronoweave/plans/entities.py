@@ -13,6 +13,7 @@ from chronoweave.operators import gates as gt
 from chronoweave.operators import matching as mt
 from chronoweave.operators import metrics as me
 from chronoweave.operators import report as rp
+from chronoweave.operators import sampling as sa
 from chronoweave.operators import spectral as sp
 from chronoweave.operators import vectors as ve
 from chronoweave.operators import windows as wi
@@ -201,6 +202,20 @@ SELECT 'all' AS l_returnflag, count(*) FILTER (db >= q) AS loud, round(max(db -
 UNION ALL SELECT x.l_returnflag, count(*) FILTER (db >= q), round(max(db - q), 9) + 0.0 FROM x JOIN (SELECT l_returnflag, quantile_cont(db, 0.9) AS q FROM x GROUP BY 1) USING (l_returnflag) GROUP BY 1"""
 
 
+def weighted_draws(s, d):
+    """orders drawn by their number of lines, with replacement, as often as there are customers."""
+    o = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("w"))
+    drawn = table(s, d, "customer").select(F.col("c_custkey").alias("draw"), sa.seeded(F.col("c_custkey"), 17).alias("u"))
+    return sa.weighted_draws(o, "o_orderkey", "w", drawn, PARTS)
+
+
+DRAWS = """
+WITH w AS (SELECT l_orderkey AS o_orderkey, count(*) AS w FROM lineitem GROUP BY 1), s AS (SELECT o_orderkey, sum(w) OVER (ORDER BY o_orderkey) AS stop, w FROM w),
+x AS (SELECT c_custkey AS draw, (c_custkey * 1103515245 + 12362) % 2147483648 AS x FROM customer),
+u AS (SELECT draw, floor((x * (x % 65536 + 1) + 17) % 2147483647 / 2147483647.0::DOUBLE * (SELECT sum(w) FROM w)::DOUBLE)::BIGINT AS pos FROM x)
+SELECT draw, o_orderkey FROM u JOIN s ON pos >= stop - w AND pos < stop"""
+
+
 def quality_precision_recall(s, d):
     df = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     out = me.precision_recall(df, ["lang"], F.col("quality") == 1, F.col("n_chars") > 400)
@@ -548,6 +563,7 @@ QUERIES = {
     "label_accuracy": (label_accuracy, "SELECT round(avg((quality = toxic)::INT), 6) + 0.0 AS accuracy, count(*) AS n FROM labels"),
     "si_sdr": (si_sdr, SI_SDR),
     "shared_gain": (shared_gain, GAIN),
+    "weighted_draws": (weighted_draws, DRAWS),
     "auc_long": (auc_long, AUC_LONG),
     "rank_long": (rank_long, RANK_LONG),
     "quantile_long": (quantile_long, QUANTILE_LONG),

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoweave.operators import entity, frames, gates, matching, metrics, order, report, resample, spectral, vectors, windows
+from chronoweave.operators import entity, frames, gates, matching, metrics, order, report, resample, sampling, spectral, vectors, windows
 
 
 def machine(v, hi, lo, on, off):
@@ -482,3 +482,21 @@ def test_match_stems_of_any_numbers(spark, tracks, stems):
     assert all(np.isclose(q.confidence, margin if q.s is not None else 0.0) and q.trusted for q in got.values())
     null = [matching.solve(np.stack([np.roll(row, lag) for row in z(x)]) @ z(y).T / n)[2] for lag in range(1, n)]
     assert np.isclose(got[0].p, (sum(m >= margin for m in null) + 1) / n)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_weighted_draws(spark, parts):
+    """Points fall on the rows that a running sum gives them; shares are within three deviations; a row may hold most of the weight."""
+    weights = [(i, w) for i, w in enumerate([3, 0, 1, 5000, None, 7, 200, -4, 90, *[2] * 300])]
+    df = spark.createDataFrame(weights, "k long, w int").repartition(3)
+    n = 20_000
+    got = dict(map(tuple, sampling.weighted_draws(df, "k", "w", sampling.points(spark, n, 5), parts).collect()))
+    live = [(k, w) for k, w in weights if w and w > 0]
+    stops, total = np.cumsum([w for _, w in live]), sum(w for _, w in live)
+    u = [r.u for r in sampling.points(spark, n, 5).orderBy("draw").collect()]
+    assert 0 <= min(u) and max(u) < 1
+    assert got == {i: live[int(np.searchsorted(stops, int(x * total), side="right"))][0] for i, x in enumerate(u)}
+    for k, w in live[:6]:
+        p = w / total
+        assert abs(sum(v == k for v in got.values()) - n * p) <= 3 * np.sqrt(n * p * (1 - p)) + 1
+    assert sampling.weighted_draws(df.where("k = 1"), "k", "w", sampling.points(spark, 5, 1)).count() == 0
