@@ -290,62 +290,66 @@ def json_null_safe(s, d):
 JSON = """SELECT event_id, '{"id":' || event_id || ',"k":' || CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'null' ELSE printf('%.1f', (props->>'$.k')::DOUBLE) END || '}' AS json FROM events"""
 
 
-def _boxes(s):
-    i = F.col("id")
-    return s.range(60).select(i.alias("i"), F.struct((i % 7 / 10.0).alias("x"), (i % 5 / 10.0).alias("y"), (0.1 + i % 3 / 10.0).alias("w"), (0.1 + i % 4 / 10.0).alias("h")).alias("b"))
-
-
 def box_iou_pairs(s, d):
-    a = _boxes(s)
-    pairs = a.alias("a").join(a.alias("b"), F.col("a.i") < F.col("b.i"))
-    out = pairs.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), nu.iou(F.col("a.b"), F.col("b.b")).alias("iou"))
-    return out.where("iou > 0.3").select("i", "j", r6("iou").alias("iou"))
+    """The boxes that the first numbers of a vector make, each against the next of its label."""
+    at = lambda i: F.get("v", F.lit(i))
+    box = F.struct(at(0).alias("x"), at(1).alias("y"), (F.abs(at(2)) + 0.1).alias("w"), (F.abs(at(3)) + 0.1).alias("h"))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    boxes = _vectors(s, d).withColumn("b", box).withColumns({"j": F.lead("vec_id").over(w), "c": F.lead("b").over(w)})
+    return boxes.where("j is not null").select(F.col("vec_id").alias("i"), "j", r6(nu.iou(F.col("b"), F.col("c"))).alias("iou"))
 
 
-IOU = """
-WITH b AS (SELECT i, (i % 7) / 10.0::DOUBLE AS x, (i % 5) / 10.0::DOUBLE AS y, 0.1::DOUBLE + (i % 3) / 10.0::DOUBLE AS w, 0.1::DOUBLE + (i % 4) / 10.0::DOUBLE AS h FROM (SELECT unnest(range(60)) AS i)),
-p AS (SELECT a.i, b.i AS j, a.w * a.h + b.w * b.h AS s, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS dx, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS dy FROM b a JOIN b ON a.i < b.i)
-SELECT i, j, round(dx * dy / (s - dx * dy + 1e-12), 6) + 0.0 AS iou FROM p WHERE dx > 0 AND dy > 0 AND dx * dy / (s - dx * dy + 1e-12) > 0.3"""
+IOU = f"""
+WITH {E}, b AS (SELECT vec_id, label, v[1] AS x, v[2] AS y, abs(v[3]) + 0.1 AS w, abs(v[4]) + 0.1 AS h FROM e),
+n AS (SELECT *, lead(vec_id) OVER k AS j, lead(x) OVER k AS x2, lead(y) OVER k AS y2, lead(w) OVER k AS w2, lead(h) OVER k AS h2 FROM b WINDOW k AS (PARTITION BY label ORDER BY vec_id)),
+p AS (SELECT vec_id, j, w * h + w2 * h2 AS s, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) AS dx, greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS dy FROM n WHERE j IS NOT NULL)
+SELECT vec_id AS i, j, round(dx * dy / (s - dx * dy + 1e-12), 6) + 0.0 AS iou FROM p"""
 
 
 def shoelace_area(s, d):
-    corner = lambda k: F.struct((F.col("id") % 5 + k * (k - 2)).cast("double").alias("x"), (F.col("id") % 3 * k + k * k % 5).cast("double").alias("y"))
-    p = s.range(20).select(F.col("id").alias("i"), F.array(*[corner(k) for k in range(5)]).alias("ring"))
-    return p.select("i", r6(nu.polygon_area(F.col("ring"))).alias("area"))
+    """The polygon of the first eight points of a vector."""
+    ring = F.array(*[F.struct(F.get("v", F.lit(2 * k)).alias("x"), F.get("v", F.lit(2 * k + 1)).alias("y")) for k in range(8)])
+    return _vectors(s, d).select("vec_id", r6(nu.polygon_area(ring)).alias("area"))
 
 
-SHOELACE = """
-WITH p AS (SELECT i, k, (i % 5 + k * (k - 2))::DOUBLE AS x, (i % 3 * k + (k * k) % 5)::DOUBLE AS y FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(5)) AS k))
-SELECT a.i, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) + 0.0 AS area FROM p a JOIN p b ON b.i = a.i AND b.k = (a.k + 1) % 5 GROUP BY 1"""
+SHOELACE = f"WITH {E} SELECT vec_id, round(abs({' + '.join(f'v[{2 * k + 1}] * v[{2 * ((k + 1) % 8) + 2}] - v[{2 * ((k + 1) % 8) + 1}] * v[{2 * k + 2}]' for k in range(8))}) / 2, 6) + 0.0 AS area FROM e"
 
 
 def drift_deadband(s, d):
-    x = (F.col("id") - 50) / 100.0
-    return s.range(101).select("id", r6(nu.deadband(x, 0.5, 0.1, 0.05)).alias("fix"))
+    """Of each event the correction against its distance from 50."""
+    x = (F.col("value") - 50) / 100.0
+    return table(s, d, "events").select("event_id", r6(nu.deadband(x, 0.5, 0.1, 0.05)).alias("fix"))
 
 
-DRIFT = "SELECT i AS id, CASE WHEN abs(x) <= 0.05 THEN 0.0 ELSE round(greatest(-0.1, least(0.1, -0.5 * (x - sign(x) * 0.05))), 6) + 0.0 END AS fix FROM (SELECT unnest(range(101)) AS i), LATERAL (SELECT (i - 50) / 100.0::DOUBLE AS x)"
+DRIFT = """
+SELECT event_id, CASE WHEN abs(x) <= 0.05 THEN 0.0 ELSE round(greatest(-0.1, least(0.1, -0.5 * (x - sign(x) * 0.05))), 6) + 0.0 END AS fix
+FROM (SELECT event_id, (value - 50) / 100.0 AS x FROM events)"""
 
 
 def spans_mask(s, d):
-    t = s.createDataFrame([(1, "0:1-2.5,4-6;1:3-9"), (2, "2:0-1")], "clip long, text string")
+    """The spans of a customer's orders, written as text by face and read from it again."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("clip"), (F.col("o_orderkey") % 3).alias("face"), (F.floor(F.col("o_orderkey") / 3) % 100).alias("start"))
+    span = F.concat(F.col("start").cast("string"), F.lit("-"), (F.col("start") + 1.5).cast("string"))
+    each = o.groupBy("clip", "face").agg(F.concat(F.col("face").cast("string"), F.lit(":"), F.array_join(F.sort_array(F.collect_list(span)), ",")).alias("t"))
+    t = each.groupBy("clip").agg(F.array_join(F.sort_array(F.collect_list("t")), ";").alias("text"))
     return rp.spans(t, ["clip"], "text").select("clip", F.col("face").cast("long").alias("face"), "start", "stop")
 
 
-SPANS = "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1.0::DOUBLE, 2.5::DOUBLE), (1, 0, 4.0, 6.0), (1, 1, 3.0, 9.0), (2, 2, 0.0, 1.0)) t(clip, face, start, stop)"
+SPANS = "SELECT o_custkey AS clip, o_orderkey % 3 AS face, (o_orderkey // 3 % 100)::DOUBLE AS start, (o_orderkey // 3 % 100) + 1.5::DOUBLE AS stop FROM orders"
 
 
 def next_permutation(s, d):
-    base = s.range(1).select(F.array(*[F.lit(i) for i in range(1, 5)]).alias("p"))
-    every = base
-    for k in range(1, 6):
-        base = base.select(mt.next_permutation(F.col("p")).alias("p"))
-        every = every.unionAll(base)
-    last = s.range(1).select(mt.next_permutation(F.array(*[F.lit(i) for i in (4, 3, 2, 1)])).alias("p"))
-    return every.unionAll(last).select(F.array_join("p", "").alias("p"))
+    """The order of the first five numbers of a vector, and the next order."""
+    five = F.sort_array(F.array(*[F.struct(F.get("v", F.lit(i)).alias("x"), F.lit(i + 1).alias("i")) for i in range(5)]))
+    p = _vectors(s, d).select("vec_id", F.transform(five, lambda x: x["i"]).alias("order"))
+    return p.select("vec_id", F.array_join("order", "").alias("p"), F.array_join(mt.next_permutation(F.col("order")), "").alias("next"))
 
 
-PERMUTE = "SELECT * FROM (VALUES ('1234'), ('1243'), ('1324'), ('1342'), ('1423'), ('1432'), ('1234')) t(p)"
+PERMUTE = f"""
+WITH {E}, i AS (SELECT unnest(range(1, 6)) AS i), a AS (SELECT concat(a.i, b.i, c.i, d.i, f.i) AS q FROM i a, i b, i c, i d, i f WHERE len(list_distinct([a.i, b.i, c.i, d.i, f.i])) = 5),
+n AS (SELECT q, coalesce(lead(q) OVER (ORDER BY q), '12345') AS next FROM a),
+p AS (SELECT vec_id, (SELECT string_agg(k, '' ORDER BY v[k], k) FROM (SELECT unnest(range(1, 6)) AS k)) AS p FROM e)
+SELECT vec_id, p, next FROM p JOIN n ON q = p"""
 
 
 def alignment_summary(s, d):
@@ -361,11 +365,15 @@ SELECT user_id, count(*) AS boundaries, sum((event_id % 4 = 0)::BIGINT)::BIGINT
 
 
 def box_json(s, d):
-    t = s.createDataFrame([(1, "[[0.1,0.2,0.3,0.4],null,[1,2]]"), (2, "[[0,0,1,1]]")], "clip long, j string")
-    return rp.boxes(t, ["clip"], "j").select("clip", F.col("frame").cast("long").alias("frame"), "x", "y", "w", "h")
+    """Boxes of a vector written as JSON, with one that is missing and one of two numbers, and read from it again."""
+    j = F.to_json(F.array(F.slice("v", 1, 4), F.lit(None).cast("array<double>"), F.slice("v", 5, 2), F.slice("v", 7, 4)))
+    t = _vectors(s, d).select("vec_id", j.alias("j"))
+    return rp.boxes(t, ["vec_id"], "j").select("vec_id", F.col("frame").cast("long").alias("frame"), *[r6(c).alias(c) for c in "xywh"])
 
 
-BOX_JSON = "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE), (1, 1, NULL, NULL, NULL, NULL), (1, 2, NULL, NULL, NULL, NULL), (2, 0, 0, 0, 1, 1)) t(clip, frame, x, y, w, h)"
+BOX_JSON = f"""
+WITH {E}, f AS (SELECT vec_id, v, frame, CASE frame WHEN 0 THEN 1 WHEN 3 THEN 7 END AS k FROM e, (SELECT unnest(range(4)) AS frame))
+SELECT vec_id, frame, round(v[k], 6) + 0.0 AS x, round(v[k + 1], 6) + 0.0 AS y, round(v[k + 2], 6) + 0.0 AS w, round(v[k + 3], 6) + 0.0 AS h FROM f"""
 
 
 def adopt_runs(s, d):

@@ -426,17 +426,19 @@ FROM s, (SELECT channel AS track, row_number() OVER (ORDER BY channel) AS i FROM
 
 
 def channel_plan(s, d):
-    pairs = s.createDataFrame([(1, 0, 1), (1, 1, 1), (1, 2, -1), (1, 3, 7), (2, 0, 2), (2, 1, None), (2, 2, 0)], "clip long, track long, stem long")
-    stems = s.range(2).select((F.col("id") + 1).alias("clip"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("stem"))
+    """Vectors as tracks of twenty clips, whose claims on three stems double, miss, or lie out of range."""
+    stem = F.when(F.col("vec_id") % 7 != 0, F.floor(F.get("embedding", F.lit(0)).cast("double") * 20))
+    pairs = table(s, d, "embeddings").select((F.col("vec_id") % 20).alias("clip"), F.col("vec_id").alias("track"), stem.alias("stem"))
+    stems = pairs.select("clip").distinct().withColumn("stem", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     held = mt.claims(pairs, ["clip"], "track", "stem", F.lit(3))
     return mt.channel_plan(pairs.select("clip", "track"), stems, held, ["clip"], "track", "stem").select("clip", F.col("channel").cast("long").alias("channel"), "track", "stem")
 
 
 CHANNEL_PLAN = """
-WITH p(clip, track, stem) AS (VALUES (1, 0, 1), (1, 1, 1), (1, 2, -1), (1, 3, 7), (2, 0, 2), (2, 1, NULL), (2, 2, 0)),
+WITH p AS (SELECT vec_id % 20 AS clip, vec_id AS track, CASE WHEN vec_id % 7 <> 0 THEN floor(embedding[1]::DOUBLE * 20)::BIGINT END AS stem FROM embeddings),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip, stem ORDER BY track) AS k FROM p WHERE stem BETWEEN 0 AND 2) WHERE k = 1),
-s AS (SELECT clip, stem FROM (VALUES (1), (2)) a(clip), (VALUES (0), (1), (2)) b(stem))
-SELECT s.clip::BIGINT AS clip, row_number() OVER (PARTITION BY s.clip ORDER BY c.track IS NULL, c.track, s.stem) - 1 AS channel, c.track::BIGINT AS track, s.stem::BIGINT AS stem FROM s LEFT JOIN c USING (clip, stem)
+s AS (SELECT clip, stem FROM (SELECT DISTINCT clip FROM p), (VALUES (0), (1), (2)) b(stem))
+SELECT s.clip, row_number() OVER (PARTITION BY s.clip ORDER BY c.track IS NULL, c.track, s.stem) - 1 AS channel, c.track, s.stem::BIGINT AS stem FROM s LEFT JOIN c USING (clip, stem)
 UNION ALL SELECT p.clip, NULL, p.track, NULL FROM p ANTI JOIN c ON c.clip = p.clip AND c.track = p.track"""
 
 

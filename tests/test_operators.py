@@ -500,3 +500,16 @@ def test_weighted_draws(spark, parts):
         p = w / total
         assert abs(sum(v == k for v in got.values()) - n * p) <= 3 * np.sqrt(n * p * (1 - p)) + 1
     assert sampling.weighted_draws(df.where("k = 1"), "k", "w", sampling.points(spark, 5, 1)).count() == 0
+
+
+def test_written_spans_boxes_and_permutations(spark):
+    """Texts as they are typed: several faces, boxes that are missing or too short, the last permutation and one alone."""
+    t = spark.createDataFrame([(1, "0:1-2.5,4-6;1:3-9"), (2, "2:0-1")], "clip long, text string")
+    spans = sorted((r.clip, r.face, r.start, r.stop) for r in report.spans(t, ["clip"], "text").collect())
+    assert spans == [(1, 0, 1.0, 2.5), (1, 0, 4.0, 6.0), (1, 1, 3.0, 9.0), (2, 2, 0.0, 1.0)]
+    j = spark.createDataFrame([(1, "[[0.1,0.2,0.3,0.4],null,[1,2]]"), (2, "[[0,0,1,1]]")], "clip long, j string")
+    boxes = sorted((r.clip, r.frame, r.x, r.y, r.w, r.h) for r in report.boxes(j, ["clip"], "j").collect())
+    assert boxes == [(1, 0, 0.1, 0.2, 0.3, 0.4), (1, 1, None, None, None, None), (1, 2, None, None, None, None), (2, 0, 0.0, 0.0, 1.0, 1.0)]
+    p = spark.createDataFrame([([1, 2, 3, 4],), ([1, 2, 4, 3],), ([1, 4, 3, 2],), ([4, 3, 2, 1],), ([7],)], "p array<int>")
+    got = {tuple(r.p): r.q for r in p.withColumn("q", matching.next_permutation(F.col("p"))).collect()}
+    assert got == {(1, 2, 3, 4): [1, 2, 4, 3], (1, 2, 4, 3): [1, 3, 2, 4], (1, 4, 3, 2): [2, 1, 3, 4], (4, 3, 2, 1): [1, 2, 3, 4], (7,): [7]}
