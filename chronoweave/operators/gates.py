@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.numeric import clip
+from chronoweave.operators.blocks import near
 from chronoweave.operators.frames import absolute_step, by, onward
 from chronoweave.operators.windows import boxcar, dilate, look_ahead, ramps
 
@@ -110,11 +111,10 @@ def identity_gate(scores: DataFrame, keys: list[str], index: str, score: str, on
     return hysteresis(scores, keys, index, score, F.lit(on), F.lit(off), rows, rows)
 
 
-def lift(states: DataFrame, samples: DataFrame, keys: list[str], at: str, state: str, half: float) -> DataFrame:
+def lift(states: DataFrame, samples: DataFrame, keys: list[str], at: str, state: str, half: float, block: Column | None = None) -> DataFrame:
     """Window states on a grid of samples: over 0.5 between the windows on either side, and within `half` of one. Without windows all are 0."""
     df = samples.join(states.select(*keys, at, F.struct(F.col(at).alias("t"), F.col(state).alias("s")).alias("_w")), [*keys, at], "left")
-    w = by(keys, at)
-    df = df.withColumns({"_p": F.last("_w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.last("_w", ignorenulls=True).over(onward(keys, at))})
+    df = near(df, keys, at, last={"_p": F.col("_w")}, first={"_n": F.col("_w")}, block=block)
     before, after = F.col(at) - F.col("_p.t"), F.col("_n.t") - F.col(at)
     between = F.col("_p.s") + (F.col("_n.s") - F.col("_p.s")) * before / F.nullif(before + after, F.lit(0))
     level = F.coalesce(between, F.col("_p.s"), F.col("_n.s"))

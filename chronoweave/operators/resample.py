@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators.frames import by, onward
+from chronoweave.operators.blocks import near
+from chronoweave.operators.frames import onward
 
 
-def last_and_next(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+def last_and_next(df: DataFrame, keys: list[str], index: str, value: str, block: Column | None = None) -> DataFrame:
     """Adds prev_at, prev, next_at, next: the nearest values present at or before, and after, each row."""
-    w = by(keys, index)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), onward(keys, index, start=1)
-    at = F.when(F.col(value).isNotNull(), F.col(index))
-    return df.withColumns({
-        "prev_at": F.last(at, ignorenulls=True).over(back), "prev": F.last(value, ignorenulls=True).over(back),
-        "next_at": F.last(at, ignorenulls=True).over(on), "next": F.last(value, ignorenulls=True).over(on),
-    })
+    at, v = F.when(F.col(value).isNotNull(), F.col(index)), F.col(value)
+    return near(df, keys, index, last={"prev_at": at, "prev": v}, after={"next_at": at, "next": v}, block=block)
 
 
-def resample_hold(track: DataFrame, keys: list[str], index: str, value: str, fps: float, grid: list, n_out: int, rate: float, hold_s: float = 0.2) -> DataFrame:
+def resample_hold(track: DataFrame, keys: list[str], index: str, value: str, fps: float, grid: list, n_out: int, rate: float, hold_s: float = 0.2, block: Column | None = None) -> DataFrame:
     """A track with gaps on a new grid: (keys, out, value, valid).
 
     A value is held for int(hold_s * fps) frames; beyond, and before the first, the track is invalid and 0. Between frames
@@ -27,10 +23,10 @@ def resample_hold(track: DataFrame, keys: list[str], index: str, value: str, fps
     invalid. A track of nulls alone is invalid throughout. `rate` is the grid's rows per second.
     """
     held_for = int(hold_s * fps)
-    w = by(keys, index).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col(value).isNotNull(), F.col(index)), ignorenulls=True).over(w)
-    ok = F.coalesce(F.col(index) - at <= held_for, F.lit(False))
-    frames = track.select(*keys, F.col(index).alias("_i"), F.when(ok, F.last(value, ignorenulls=True).over(w)).otherwise(0.0).alias("_v"), ok.alias("_ok"))
+    seen = F.struct(F.col(index).alias("i"), F.col(value).alias("v"))
+    held = near(track, keys, index, last={"_seen": F.when(F.col(value).isNotNull(), seen)}, block=block)
+    ok = F.coalesce(F.col(index) - F.col("_seen.i") <= held_for, F.lit(False))
+    frames = held.select(*keys, F.col(index).alias("_i"), F.when(ok, F.col("_seen.v")).otherwise(0.0).alias("_v"), ok.alias("_ok"))
     ends = frames.groupBy(*keys).agg(F.max("_i").alias("_last"))
     out = ends.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(n_out - 1))))
     t = F.col("out") / F.lit(float(rate)) * F.lit(float(fps))
@@ -43,9 +39,9 @@ def resample_hold(track: DataFrame, keys: list[str], index: str, value: str, fps
     return out.select(*keys, "out", F.when(inside, F.coalesce(blend, F.lit(0.0))).otherwise(0.0).alias(value), valid.alias("valid"))
 
 
-def interpolate(df: DataFrame, keys: list[str], index: str, value: str, out: str) -> DataFrame:
+def interpolate(df: DataFrame, keys: list[str], index: str, value: str, out: str, block: Column | None = None) -> DataFrame:
     """Gaps filled along a line, flat beyond the ends; 0 for a series without values."""
-    both = last_and_next(df, keys, index, value)
+    both = last_and_next(df, keys, index, value, block)
     line = F.col("prev") + (F.col("next") - F.col("prev")) * (F.col(index) - F.col("prev_at")) / (F.col("next_at") - F.col("prev_at"))
     return both.withColumn(out, F.coalesce(F.col(value), line, F.col("prev"), F.col("next"), F.lit(0.0))).drop("prev", "prev_at", "next", "next_at")
 

@@ -97,6 +97,63 @@ WITH r AS (SELECT 'all' AS channel, event_id AS hour, log10(value) AS rel FROM e
 SELECT hour AS event_id, state FROM g"""
 
 
+def _all_events(s, d):
+    """All events as one series and its blocks: `v` on every third event if over 30, `state` where the value is over 50."""
+    e = table(s, d, "events").select(F.lit("all").alias("channel"), F.col("event_id").alias("hour"), "value")
+    return e.withColumns({"v": F.when((F.col("value") > 30) & (F.col("hour") % 3 == 0), F.col("value")), "state": (F.col("value") > 50).cast("int")}), F.floor(F.col("hour") / BLOCK)
+
+
+def holds_long(s, d):
+    """Last value, interpolation and ramps over one series in blocks."""
+    df, block = _all_events(s, d)
+    df = rs.interpolate(df, K, I, "v", "line", block)
+    df = wi.ramps(df, K, I, "state", 5, "gain", block)
+    df = wi.hold(df, K, I, ["v"], block)
+    return df.select(F.col("hour").alias("event_id"), "v", r6("line").alias("line"), r6("gain").alias("gain"))
+
+
+HOLDS_LONG = """
+WITH e AS (SELECT event_id AS i, CASE WHEN value > 30 AND event_id % 3 = 0 THEN value END AS v, (value > 50)::INT AS s FROM events),
+a AS (SELECT *, coalesce(lag(s) OVER w, s) AS was, last_value(v IGNORE NULLS) OVER w AS p, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS pa,
+      first_value(v IGNORE NULLS) OVER f AS n, min(CASE WHEN v IS NOT NULL THEN i END) OVER f AS na
+      FROM e WINDOW w AS (ORDER BY i), f AS (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+b AS (SELECT *, min(CASE WHEN s = 1 AND was = 0 THEN i END) OVER (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - i AS rise,
+      i - max(CASE WHEN s = 0 AND was = 1 THEN i END) OVER (ORDER BY i) + 1 AS fall FROM a)
+SELECT i AS event_id, coalesce(p, n) AS v, round(coalesce(v, p + (n - p) * (i - pa) / (na - pa), p, n, 0.0), 6) + 0.0 AS line,
+  round(CASE WHEN s = 1 THEN 1.0 ELSE greatest(CASE WHEN rise < 5 THEN 0.5 + 0.5 * cos(pi() * rise / 5) ELSE 0.0 END, CASE WHEN fall < 5 THEN 0.5 + 0.5 * cos(pi() * fall / 5) ELSE 0.0 END) END, 6) + 0.0 AS gain
+FROM b"""
+
+
+def islands_long(s, d):
+    """Runs of over three events of at least 20 in one series, in blocks."""
+    df, block = _all_events(s, d)
+    df = wi.long_run_mask(df.withColumn("high", F.col("value") >= 20), K, I, "high", 3, "long", block)
+    return wi.runs(df, K, I, "long", block).select("start", "stop")
+
+
+ISLANDS_LONG = """
+WITH z AS (SELECT event_id AS i, event_id - row_number() OVER (ORDER BY event_id) AS k FROM events WHERE value >= 20)
+SELECT min(i) AS start, max(i) + 1 AS stop FROM z GROUP BY k HAVING count(*) > 3"""
+
+
+def smooth_long(s, d):
+    """Boxcar, boxcar of what is present, dilation and look-ahead over one series in blocks with halos."""
+    df, _ = _all_events(s, d)
+    df = wi.boxcar(df, K, I, "value", 9, "mean", BLOCK)
+    df = wi.present_boxcar(df, K, I, "v", 3, "present", BLOCK)
+    df = wi.dilate(df, K, I, "value", 6, "wide", BLOCK)
+    df = wi.look_ahead(df, K, I, "state", 4, "soon", BLOCK)
+    return df.select(F.col("hour").alias("event_id"), r6("mean").alias("mean"), r6("present").alias("present"), "wide", F.col("soon").cast("long").alias("soon"))
+
+
+SMOOTH_LONG = """
+WITH e AS (SELECT event_id AS i, value, CASE WHEN value > 30 AND event_id % 3 = 0 THEN value END AS v, (value > 50)::INT AS s FROM events)
+SELECT i AS event_id, round(sum(value) OVER (ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9, 6) + 0.0 AS mean,
+  round(CASE WHEN count(v) OVER p > 1.5 THEN avg(v) OVER p END, 6) + 0.0 AS present,
+  max(value) OVER (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS wide, max(s) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)::BIGINT AS soon
+FROM e WINDOW p AS (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
+
+
 def gate_full(s, d):
     df = gt.gate(_rel(s, d), K, I, "rel", -6.0, -9.0, 2, 2, 1, 3)
     return df.select("channel", F.col("hour").cast("long").alias("hour"), F.col("state").cast("long").alias("state"), r6("gain").alias("gain"), r6(F.col("gain") * F.col("energy"), 7).alias("out_energy"))
@@ -649,6 +706,9 @@ QUERIES = {
     "sample_frames": (sample_frames, SAMPLE_FRAMES),
     "rel_level_p95": (rel_level_p95, f"WITH {H} SELECT channel, hour, round(rel, 4) + 0.0 AS rel FROM r"),
     "gate_long": (gate_long, GATE_LONG),
+    "holds_long": (holds_long, HOLDS_LONG),
+    "islands_long": (islands_long, ISLANDS_LONG),
+    "smooth_long": (smooth_long, SMOOTH_LONG),
     "hysteresis_gate": (hysteresis_gate, f"WITH {H}, {gate_sql('r')} SELECT channel, hour, state FROM g"),
     "gate_full": (gate_full, GATE_FULL),
     "gate_runs": (gate_runs, GATE_RUNS),
