@@ -78,38 +78,3 @@ def track(detections: DataFrame, clip: str, settings: Tracking = Tracking()) ->
         return pd.DataFrame(out, columns=[clip, "frame", "det", "track"])
 
     return detections.groupBy(clip).applyInPandas(run, f"{clip} {kind[clip]}, frame int, det int, track int")
-
-
-def merge_fragments(tracks: DataFrame, clip: str, settings: Tracking = Tracking()) -> DataFrame:
-    """(clip, track, into): fragments of one person joined to the largest, again and again until none is left.
-
-    Two tracks merge if their unit embeddings are as alike as one person's and they share at most a twentieth of the
-    shorter one's frames. Rows: clip, track, frames (sorted array), emb.
-    """
-    kind = dict(tracks.dtypes)
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        frames = {r.track: set(r.frames) for r in df.itertuples()}
-        embs = {r.track: np.asarray(r.emb, float) for r in df.itertuples() if r.emb is not None}
-        into = {t: t for t in frames}
-        merged = True
-        while merged:
-            merged = False
-            live = sorted(frames, key=lambda t: (-len(frames[t]), t))
-            for i, a in enumerate(live):
-                for b in live[i + 1 :]:
-                    if a not in embs or b not in embs:
-                        continue
-                    x, y = embs[a], embs[b]
-                    like = x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-12)
-                    if like >= settings.same and len(frames[a] & frames[b]) <= settings.overlap * min(len(frames[a]), len(frames[b])):
-                        frames[a] |= frames.pop(b)
-                        embs[a] = x + embs.pop(b)
-                        into = {t: a if u == b else u for t, u in into.items()}
-                        merged = True
-                        break
-                if merged:
-                    break
-        return pd.DataFrame({clip: df[clip].iloc[0], "track": list(into), "into": list(into.values())})
-
-    return tracks.groupBy(clip).applyInPandas(run, f"{clip} {kind[clip]}, track {kind['track']}, into {kind['track']}")

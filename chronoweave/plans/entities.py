@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoweave.config import Tracking
 from chronoweave.functions import numeric as nu
 from chronoweave.operators import entity as en
+from chronoweave.operators import fragments as fg
 from chronoweave.operators import frames as fr
 from chronoweave.operators import gates as gt
 from chronoweave.operators import matching as mt
 from chronoweave.operators import metrics as me
+from chronoweave.operators import reid as ri
 from chronoweave.operators import report as rp
 from chronoweave.operators import sampling as sa
 from chronoweave.operators import spectral as sp
@@ -442,11 +447,26 @@ def entity_track(s, d):
     return en.track(_detections(s), "clip")
 
 
+#: Likeness that the tables' vectors reach by chance, so that tracks and fragments of them do meet.
+ALIKE = 0.3
+
+
+def _fragments(s, d):
+    """Vectors as fragments of three clips, each seen in the hours of the user of its number."""
+    e = table(s, d, "embeddings").select((F.col("vec_id") % 3).alias("clip"), F.col("vec_id").alias("track"), F.col("embedding").alias("emb"))
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    seen = table(s, d, "events").select((F.col("user_id") % 3).alias("clip"), F.col("user_id").alias("track"), at.alias("frame"))
+    return e, seen
+
+
 def fragment_merge(s, d):
-    t = en.track(_detections(s).withColumn("emb", F.when(F.col("frame") < 30, F.col("emb"))), "clip")
-    det = _detections(s)
-    rows = t.join(det, ["clip", "frame", "det"]).groupBy("clip", "track").agg(F.sort_array(F.collect_list("frame")).alias("frames"), F.max_by("emb", "frame").alias("emb"))
-    return en.merge_fragments(rows, "clip")
+    return fg.merge_fragments(*_fragments(s, d), dataclasses.replace(Tracking(), same=ALIKE))
+
+
+def reidentified(s, d):
+    """All vectors in order of vec_id as frames of eight cameras, told by a hash of the id; tracks live for 40 steps unseen."""
+    e = table(s, d, "embeddings").select(F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("camera"), F.floor(F.col("vec_id") / 16).alias("at"), "vec_id", "embedding")
+    return ri.reidentify(e, "camera", "at", "vec_id", "embedding", ri.Reid(ALIKE, 40))
 
 
 #: Scores as whole numbers, so that plans of equal totals are equal in both engines.
@@ -593,6 +613,7 @@ QUERIES = {
     "choose_k": (choose_k, None),
     "entity_track": (entity_track, None),
     "fragment_merge": (fragment_merge, None),
+    "reidentified": (reidentified, None),
     "chunk_orders": (chunk_orders, CHUNK_ORDERS),
     "greedy_pairs": (greedy_pairs, GREEDY),
     "wiener_separation": (wiener_separation, None),

@@ -87,7 +87,8 @@ BLOCK = 8192
 
 def gate_long(s, d):
     """All events as one series in blocks: no task holds the series, however long it is."""
-    e = table(s, d, "events").select(F.lit("all").alias("channel"), F.col("event_id").alias("hour"), F.log10("value").alias("rel"))
+    level = F.when(F.col("value") > 0, F.log10("value")).when(F.col("value") == 0, float("-inf"))  # Spark's own log10(0) is NULL, which shuts nothing
+    e = table(s, d, "events").select(F.lit("all").alias("channel"), F.col("event_id").alias("hour"), level.alias("rel"))
     df = gt.hysteresis(e, K, I, "rel", F.lit(1.6), F.lit(1.2), 2, 3, block=F.floor(F.col("hour") / BLOCK))
     return df.select(F.col("hour").alias("event_id"), F.col("state").cast("long").alias("state"))
 

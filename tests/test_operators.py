@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoweave.operators import entity, frames, gates, matching, metrics, order, report, resample, sampling, spectral, vectors, windows
+from chronoweave.operators import entity, fragments, frames, gates, matching, metrics, order, report, resample, sampling, spectral, vectors, windows
 
 
 def machine(v, hi, lo, on, off):
@@ -149,7 +149,8 @@ def test_tracker_keeps_identity_over_a_gap():
 
 def test_fragments_merge_into_the_largest(spark):
     rows = [("a", 0, list(range(20)), [1.0, 0.0]), ("a", 1, list(range(30, 35)), [0.9, 0.1]), ("a", 2, list(range(10)), [0.0, 1.0])]
-    got = entity.merge_fragments(spark.createDataFrame(rows, "clip string, track int, frames array<int>, emb array<double>"), "clip").toPandas()
+    df = spark.createDataFrame(rows, "clip string, track int, frames array<int>, emb array<double>")
+    got = fragments.merge_fragments(df, df.selectExpr("clip", "track", "explode(frames) AS frame")).toPandas()
     assert dict(zip(got.track, got["into"], strict=True)) == {0: 0, 1: 0, 2: 2}
 
 
