@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.config import Tracking
 from chronoweave.functions.numeric import cosine, unit
+from chronoweave.sources.tables import shared_folder
 
 #: Fragments of a clip that are all compared with each other; larger clips are cut into buckets of about so many by hashing.
 BUCKET = 256
@@ -59,11 +58,7 @@ class _Rounds:
     """
 
     def __init__(self, spark: SparkSession):
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not at and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        self.spark, self.n, self.held = spark, 0, {}
-        self.at = f"{(at or 'file://' + tempfile.gettempdir()).rstrip('/')}/fragments-{uuid.uuid4().hex}"
+        self.spark, self.n, self.held, self.at = spark, 0, {}, shared_folder(spark, "fragments")
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import entities, series, studio
+from chronoweave.plans import entities, recordings, series, studio
 
-ALL = series.QUERIES | entities.QUERIES | studio.QUERIES
+ALL = series.QUERIES | entities.QUERIES | studio.QUERIES | recordings.QUERIES
 
 
 def queries() -> dict:
