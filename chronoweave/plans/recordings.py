@@ -29,7 +29,7 @@ def _recorded(s, d):
 
 def pcm_recording(s, d):
     """Interleaved PCM16 under one gain."""
-    return _recorded(s, d).select("file", F.col("channel").cast("long").alias("channel"), "sample", r6("value", 9).alias("value"))
+    return _recorded(s, d).select("file", F.col("channel").cast("long").alias("channel"), "sample", (F.col("value") * 32768).cast("long").alias("pcm"))
 
 
 _R = f"""
@@ -37,14 +37,14 @@ t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS channel
 g AS (SELECT CASE WHEN max(abs(value)) > 0.999 THEN 0.999 / max(abs(value)) ELSE 1.0 END AS gain FROM events),
 n AS (SELECT unnest(range(min(event_id) // {FRAMES} * {FRAMES}, max(event_id) + 1)) AS sample FROM events),
 f AS (SELECT channel, sample, round_even(coalesce(value * gain, 0.0) * 32767, 0) / 32768 AS value FROM n CROSS JOIN t CROSS JOIN g LEFT JOIN events e ON e.event_id = n.sample AND e.event_type = t.event_type)"""
-PCM_RECORDING = f"WITH {_R} SELECT 'events' AS file, channel, sample, round(value, 9) + 0.0 AS value FROM f"
+PCM_RECORDING = f"WITH {_R} SELECT 'events' AS file, channel, sample, (value * 32768)::BIGINT AS pcm FROM f"
 
 
 def pcm_mono(s, d):
     """The mean of a recording's channels at each sample."""
-    return fr.mono(_recorded(s, d), ["file"], "sample", "value").select("file", "sample", r6("value", 9).alias("value"))
+    return fr.mono(_recorded(s, d), ["file"], "sample", "value").select("file", "sample", r6(F.col("value") * 32768).alias("level"))
 
 
-PCM_MONO = f"WITH {_R} SELECT 'events' AS file, sample, round(avg(value), 9) + 0.0 AS value FROM f GROUP BY sample"
+PCM_MONO = f"WITH {_R} SELECT 'events' AS file, sample, round(avg(value) * 32768, 6) + 0.0 AS level FROM f GROUP BY sample"
 
 QUERIES = {"pcm_recording": (pcm_recording, PCM_RECORDING), "pcm_mono": (pcm_mono, PCM_MONO)}
