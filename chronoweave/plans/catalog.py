@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import entities, recordings, series, studio
+from chronoweave.plans import entities, recordings, series, streams, studio
 
-ALL = series.QUERIES | entities.QUERIES | studio.QUERIES | recordings.QUERIES
+ALL = series.QUERIES | entities.QUERIES | studio.QUERIES | recordings.QUERIES | streams.QUERIES
 
 
 def queries() -> dict:
