@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chronoweave.functions import numeric as nu
+from chronoweave.operators import filters as fi
 from chronoweave.operators import frames as fr
 from chronoweave.operators import matching as mt
 from chronoweave.operators import resample as rs
@@ -204,6 +205,38 @@ def dropouts_filled(s, d):
 DROPOUTS = f"WITH {H} SELECT channel, hour, round(coalesce(last_value(CASE WHEN n > 2 THEN energy END IGNORE NULLS) OVER (PARTITION BY channel ORDER BY hour), 0.0), 5) + 0.0 AS v FROM h"
 
 
+BAND = fi.bandpass(3, 1.5, 8.0, 24.0)
+
+
+def lip_envelope(s, d):
+    """The envelope of what repeats 1.5 to 8 times a day, at 24 samples a day; hours without events are absent."""
+    h = hourly(s, d).withColumn("v", F.when(F.col("n") > 0, F.col("n").cast("double")))
+    return fi.band_envelope(h, K, "hour", "v", 24.0).select("channel", F.col("hour").cast("long").alias("hour"), r6("envelope").alias("envelope"))
+
+
+def _pass_sql(name: str, src: str) -> str:
+    """Recursive CTE name(channel, i, y, states) of the band's sections over src(channel, i, x), whose first i is -21."""
+    gain, sections = BAND
+    steady = ", ".join(f"x * {v!r}" for v in fi.cascade(*BAND).steady().tolist())
+    y = "".join(f", y{k} + f.p{2 * k} AS y{k + 1}" for k in range(len(sections)))
+    after = "".join(f", f.p{2 * k + 1} - {a1!r} * y{k + 1}, -y{k} - {a2!r} * y{k + 1}" for k, (a1, a2) in enumerate(sections))
+    return f"""{name}(channel, i, y, {', '.join(f'p{k}' for k in range(2 * len(sections)))}) AS (SELECT channel, -22::BIGINT, 0.0::DOUBLE, {steady} FROM {src} WHERE i = -21 UNION ALL
+  SELECT channel, i, y{len(sections)}{after.replace('f.', '')} FROM (SELECT e.channel, e.i, {gain!r} * e.x AS y0{y}, f.* EXCLUDE (channel, i, y) FROM {name} f JOIN {src} e ON e.channel = f.channel AND e.i = f.i + 1))"""
+
+
+ENVELOPE = f"""
+WITH RECURSIVE {H}, v AS (SELECT channel, hour, n > 0 AS ok, coalesce(last_value(nullif(n, 0) IGNORE NULLS) OVER w, first_value(nullif(n, 0) IGNORE NULLS) OVER (PARTITION BY channel ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))::DOUBLE AS v
+  FROM h WINDOW w AS (PARTITION BY channel ORDER BY hour)),
+c AS (SELECT v.channel, hour AS i, v - m AS x FROM v JOIN (SELECT channel, avg(v) AS m FROM v GROUP BY 1 HAVING sum(ok::INT) >= 8) USING (channel)),
+e1 AS (SELECT * FROM c UNION ALL SELECT c.channel, -c.i, 2 * z.x - c.x FROM c JOIN c z ON z.channel = c.channel AND z.i = 0 WHERE c.i BETWEEN 1 AND 21
+  UNION ALL SELECT c.channel, 1438 - c.i, 2 * z.x - c.x FROM c JOIN c z ON z.channel = c.channel AND z.i = 719 WHERE c.i BETWEEN 698 AND 718),
+{_pass_sql('forth', 'e1')}, e2 AS (SELECT channel, 719 - i AS i, y AS x FROM forth WHERE i >= -21),
+{_pass_sql('back', 'e2')}, b AS (SELECT channel, 719 - i AS i, y AS x FROM back WHERE i BETWEEN 0 AND 719),
+q AS (SELECT a.channel, a.i, sum(o.x * cot(pi() * (a.i - o.i) / 720)) / 360 AS q FROM b a JOIN b o ON o.channel = a.channel AND abs(a.i - o.i) % 2 = 1 GROUP BY 1, 2)
+SELECT v.channel, v.hour, round(CASE WHEN ok THEN coalesce(sqrt(b.x * b.x + q * q), 0.0) ELSE 0.0 END, 6) + 0.0 AS envelope
+FROM v LEFT JOIN b ON b.channel = v.channel AND b.i = v.hour LEFT JOIN q ON q.channel = v.channel AND q.i = v.hour"""
+
+
 def lip_resampled(s, d):
     """The resampled track without its validity."""
     return se.resample_hold(s, d).drop("valid")
@@ -294,6 +327,7 @@ QUERIES = {
     "window_starts": (window_starts, STARTS),
     "window_bodies": (window_bodies, BODIES),
     "dropouts_filled": (dropouts_filled, DROPOUTS),
+    "lip_envelope": (lip_envelope, ENVELOPE),
     "lip_resampled": (lip_resampled, f"SELECT channel, out, v FROM ({se.RESAMPLE_HOLD})"),
     "channel_sets": (channel_sets, SETS),
     "match_backfill": (match_backfill, None),
