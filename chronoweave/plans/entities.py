@@ -274,14 +274,14 @@ SELECT c_custkey, CASE WHEN v IS NOT NULL AND count(v) OVER (PARTITION BY c_mkts
 def bootstrap_ci(s, d):
     rows = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("g"), "n_chars")
     n = rows.groupBy("g").agg(F.count("*").alias("_n"))
-    draws = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
+    draws = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))))
     draws = draws.select("rep", "g", F.pmod((F.col("rep") * 7919 + F.col("k") * 104729 + 12345) * 1103 % 2147483647, F.col("_n")).cast("int").alias("i"))
     return me.bootstrap_difference(rows, "g", "n_chars", draws).select(r6("low", 4).alias("low"), r6("high", 4).alias("high"))
 
 
 BOOTSTRAP = """
 WITH x AS (SELECT doc_id, quality = 1 AS g, n_chars, row_number() OVER (PARTITION BY quality = 1 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY quality = 1) AS n FROM labels JOIN documents USING (doc_id)),
-d AS (SELECT rep, g, ((rep * 7919 + i * 104729 + 12345) * 1103 % 2147483647) % n AS i FROM x, (SELECT unnest(range(200)) AS rep)),
+d AS (SELECT rep, g, ((rep * 7919 + i * 104729 + 12345) * 1103 % 2147483647) % n AS i FROM x, (SELECT unnest(range(2000)) AS rep)),
 m AS (SELECT rep, avg(CASE WHEN x.g THEN n_chars END) - avg(CASE WHEN NOT x.g THEN n_chars END) AS v FROM d JOIN x ON x.g = d.g AND x.i = d.i GROUP BY 1)
 SELECT round(quantile_cont(v, 0.025), 4) + 0.0 AS low, round(quantile_cont(v, 0.975), 4) + 0.0 AS high FROM m"""
 
