@@ -115,6 +115,12 @@ def level_profile(frames: DataFrame, keys: list[str], db: str, value: str, split
     return df.groupBy(*keys).agg(F.count("*").alias("frames"), F.when(F.count("*") >= least, F.avg((F.col(value) < split).cast("double"))).alias("low_share"))
 
 
+def purity(profiles: DataFrame, keys: list[str], share: str = "low_share", out: str = "purity") -> DataFrame:
+    """How far the two signals of a key differ in their share: 1 if each has but one kind. NULL unless there are two, both with a share."""
+    two = (F.count("*") == 2) & (F.count(share) == 2)
+    return profiles.groupBy(*keys).agg(F.when(two, F.max(share) - F.min(share)).alias(out))
+
+
 def dominance_db(df: DataFrame, frame: list[str], channel: str, power: str, out: str = "sir") -> DataFrame:
     """Power over the strongest other channel in dB."""
     from chronoweave.operators.gates import rival_max

@@ -216,6 +216,18 @@ WITH {H}, x AS (SELECT * FROM r WHERE rel >= -25)
 SELECT channel, count(*) AS frames, CASE WHEN count(*) >= 10 THEN round(avg((n < 3)::INT), 6) + 0.0 END AS low_share FROM x GROUP BY channel"""
 
 
+def level_purity(s, d):
+    """A channel's even and odd hours as two signals."""
+    h = hourly(s, d).withColumn("stem", F.col("hour") % 2)
+    return me.purity(me.level_profile(h, ["channel", "stem"], "db", "n", 3.0), K).select("channel", r6("purity").alias("purity"))
+
+
+LEVEL_PURITY = f"""
+WITH {H}, q AS (SELECT *, quantile_cont(db, 0.95) OVER (PARTITION BY channel, hour % 2) AS ref FROM h),
+p AS (SELECT channel, hour % 2 AS stem, CASE WHEN count(*) >= 10 THEN avg((n < 3)::INT) END AS p FROM q WHERE db >= ref - 25 GROUP BY 1, 2)
+SELECT channel, CASE WHEN count(*) = 2 AND count(p) = 2 THEN round(max(p) - min(p), 6) + 0.0 END AS purity FROM p GROUP BY 1"""
+
+
 def long_absence(s, d):
     h = hourly(s, d).withColumn("none", F.col("n") == 0)
     h = wi.long_run_mask(h, K, I, "none", 1, "long")
@@ -716,6 +728,7 @@ QUERIES = {
     "gap_sessions": (gap_sessions, GAP_SESSIONS),
     "daily_trace": (daily_trace, DAILY_TRACE),
     "level_profile": (level_profile, LEVEL_PROFILE),
+    "level_purity": (level_purity, LEVEL_PURITY),
     "long_absence": (long_absence, LONG_ABSENCE),
     "pause_zones": (pause_zones, PAUSE_ZONES),
     "boxcar_smooth": (boxcar_smooth, BOXCAR),

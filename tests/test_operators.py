@@ -514,3 +514,11 @@ def test_written_spans_boxes_and_permutations(spark):
     p = spark.createDataFrame([([1, 2, 3, 4],), ([1, 2, 4, 3],), ([1, 4, 3, 2],), ([4, 3, 2, 1],), ([7],)], "p array<int>")
     got = {tuple(r.p): r.q for r in p.withColumn("q", matching.next_permutation(F.col("p"))).collect()}
     assert got == {(1, 2, 3, 4): [1, 2, 4, 3], (1, 2, 4, 3): [1, 3, 2, 4], (1, 4, 3, 2): [2, 1, 3, 4], (4, 3, 2, 1): [1, 2, 3, 4], (7,): [7]}
+
+
+def test_purity(spark):
+    from chronoweave.operators import metrics as me
+
+    rows = [("a", 0, 0.9), ("a", 1, 0.2), ("b", 0, 0.5), ("b", 1, None), ("c", 0, 0.5), ("d", 0, 0.1), ("d", 1, 0.2), ("d", 2, 0.3)]
+    got = {r.k: r.purity for r in me.purity(spark.createDataFrame(rows, "k string, stem int, low_share double"), ["k"]).collect()}
+    assert abs(got.pop("a") - 0.7) < 1e-12 and got == {"b": None, "c": None, "d": None}
