@@ -11,10 +11,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 class Sessions(StatefulProcessor):
-    """State of a key: the first row of each frame that the watermark hasn't passed, and the open session.
+    """State of a key, one value: the first row of each frame that the watermark hasn't passed, the open session, and the next timer.
 
-    A frame's timer is its end. A session's is the end of the last frame that could go on with it. At a timer all frames that
-    the watermark has passed are met in order, so neither the order of rows nor that of timers matters.
+    A frame is due at its end, a session at the end of the last frame that could go on with it; the timer is for what is due
+    first. At a timer all frames that the watermark has passed are met in order, so neither the order of rows nor that of
+    timers matters. Every access to state is a call out of Python, so a key has a few a batch, not a few a frame.
     """
 
     def __init__(self, frame_s: int, gap: int):
@@ -22,24 +23,44 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "us long, tie long, label string")
-        self.open = handle.getValueState("open", "label string, start long, last long, n long")
+        frames = "at array<long>, us array<long>, tie array<long>, label array<string>"
+        self.state = handle.getValueState("state", f"{frames}, now string, start long, last long, n long, due long")
+
+    def _read(self):
+        """(waiting frames, open session, next timer)"""
+        if (s := self.state.get()) is None:
+            return {}, None, None
+        waiting = {at: row for at, *row in zip(s[0], s[1], s[2], s[3], strict=True)}
+        return waiting, None if s[7] is None else tuple(s[4:8]), s[8]
+
+    def _write(self, waiting: dict, now: tuple | None, due: int | None) -> None:
+        """Keeps the state, with a timer for what is due first if none is set for it."""
+        ends = [*waiting, *([now[2] + self.gap] if now else [])]
+        if not ends:
+            self.state.clear()
+            return
+        first = (min(ends) + 1) * self.frame_ms
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            due = first
+        rows = sorted((at, *row) for at, row in waiting.items())
+        self.state.update((*([r[i] for r in rows] for i in range(4)), *(now or (None,) * 4), due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting, now, due = self._read()
         for part in rows:
-            for r in part.sort_values(["us", "tie"]).drop_duplicates("at").itertuples():
-                at, new = int(r.at), (int(r.us), int(r.tie), None if pd.isna(r.label) else r.label)
-                held = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
-                if held is None or new[:2] < (held[0], held[1]):
-                    self.waiting.updateValue((at,), new)
-                self.handle.registerTimer((at + 1) * self.frame_ms)
+            for at, us, tie, label in zip(*(part[c].tolist() for c in ("at", "us", "tie", "label")), strict=True):
+                held = waiting.get(at)
+                if held is None or (us, tie) < (held[0], held[1]):
+                    waiting[at] = [us, tie, None if pd.isna(label) else label]
+        self._write(waiting, now, due)
         yield _rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen, done = timerValues.getCurrentWatermarkInMs() // self.frame_ms, []
-        now = tuple(self.open.get()) if self.open.exists() else None
-        for at, label in sorted((int(k[0]), v[2]) for k, v in list(self.waiting.iterator()) if k[0] < seen):
-            self.waiting.removeKey((at,))
+        waiting, now, due = self._read()
+        for at in sorted(x for x in waiting if x < seen):
+            label = waiting.pop(at)[2]
             if label is None:
                 continue
             if now and now[0] == label and at - now[2] <= self.gap:
@@ -51,11 +72,7 @@ class Sessions(StatefulProcessor):
         if now and now[2] + self.gap < seen:
             done.append((key[0], now[0], now[1], now[3]))
             now = None
-        if now:
-            self.open.update(now)
-            self.handle.registerTimer((now[2] + self.gap + 1) * self.frame_ms)
-        elif self.open.exists():
-            self.open.clear()
+        self._write(waiting, now, due if due is not None and due > timerValues.getCurrentWatermarkInMs() else None)
         yield _rows(done)
 
     def close(self) -> None:

@@ -42,3 +42,56 @@ def test_stream_equals_table_over_files_out_of_order(spark, tmp_path):
     want = wi.gap_sessions(first.select("user", "at", F.col("e.kind").alias("label")), ["user"], "at", "label", 5)
     assert got == sorted(map(tuple, want.collect()), key=str) and len(got) > 60
     assert dropped == [0, 0, 0, 3, 0] and left < 8
+
+
+def test_few_state_calls_a_key():
+    """Each access to state is a call out of Python; a key of 200 frames had some hundreds of them a batch."""
+    import pandas as pd
+
+    from chronoweave.streaming.sessions import Sessions
+
+    calls, timers = [], []
+
+    class Store:
+        value = None
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or False
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return Store()
+
+        def getMapState(self, *_):
+            return Store()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    s = Sessions(10, 5)
+    s.init(Handle())
+    df = pd.DataFrame({"at": range(200), "us": range(200), "tie": range(200), "label": ["x"] * 100 + ["y"] * 100})
+    list(s.handleInputRows(("k",), iter([df.sample(frac=1, random_state=1)]), At(0)))
+    assert len(calls) <= 4 and timers == [10_000]
+    out = pd.concat(s.handleExpiredTimer(("k",), At(5_000_000), None))
+    assert out.values.tolist() == [["k", "x", 0, 100], ["k", "y", 100, 100]] and len(calls) <= 8
