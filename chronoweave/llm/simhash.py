@@ -329,8 +329,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 4
 #: Bits within which a key's fingerprints are compared exactly. At a similarity of 0.8 the distance is 9.7 bits on average, 2.9 its deviation.
 WIDE = 24
-#: Fingerprints that a key compares in one piece. Larger keys are dealt into pieces at random and differently for each band:
-#: two near copies that are parted in one meet in another, or are both linked to what they meet.
+#: Fingerprints that a key compares in one piece. Larger keys are dealt into pieces at random; what these leave in more than one
+#: group is then compared across pieces, so that every pair of a key is linked or compared.
 PIECE = 300
 
 
@@ -381,10 +381,12 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _similar(similarity: float, radius: int):
-    """Rows sorted by piece come in; verified links (a, b) of norms go out, a forest within each piece. Holds a few pieces."""
+    """Rows sorted by piece come in; verified links (a, b) of norms go out, a forest within each piece. Holds a few pieces.
 
-    def forest_of(fps: np.ndarray, sets: list[np.ndarray], pairs) -> Iterator[tuple[int, int]]:
-        label = np.arange(len(fps))
+    Rows of one root are linked already and aren't compared.
+    """
+
+    def forest_of(label: np.ndarray, sets: list[np.ndarray], pairs) -> Iterator[tuple[int, int]]:
         for i, j in pairs:
             if label[i] != label[j] and alike(sets[i], sets[j], similarity):
                 label[label == label[j]] = label[i]
@@ -412,6 +414,7 @@ def _similar(similarity: float, radius: int):
             key, norm = key[:cut], t.column(1).to_numpy()[:cut]
             fps = t.column(2).to_numpy()[:cut].view(np.uint64)
             sets = [np.frombuffer(x, np.uint32) for x in t.column(3).slice(0, cut).to_pylist()]
+            label = np.unique(t.column(4).to_numpy()[:cut], return_inverse=True)[1]
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(new, cut))
             small = np.repeat(size <= 32, size)
@@ -419,9 +422,9 @@ def _similar(similarity: float, radius: int):
             found: list[tuple[int, int]] = []
             if len(at):
                 x, y = small_pairs(key[at], fps[at], radius)
-                found += forest_of(fps, sets, zip(at[x].tolist(), at[y].tolist(), strict=True))
+                found += forest_of(label, sets, zip(at[x].tolist(), at[y].tolist(), strict=True))
             for s, m in zip(new[size > 32], size[size > 32], strict=True):
-                found += [(s + i, s + j) for i, j in forest_of(fps[s : s + m], sets[s : s + m], pairs_of(fps[s : s + m]))]
+                found += [(s + i, s + j) for i, j in forest_of(label[s : s + m], sets[s : s + m], pairs_of(fps[s : s + m]))]
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(norm[a]), pa.array(norm[b])], ["a", "b"])
@@ -453,15 +456,42 @@ def similar_groups(docs: DataFrame, work: Work, key: str = "doc_id", text: str =
     keyed = work.write(rows.select("norm", F.posexplode("keys").alias("t", "k")).select("norm", "t", F.xxhash64("t", "k").alias("key")).distinct())
     many = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     deal = F.xxhash64("key", F.pmod(F.xxhash64("norm", "t"), F.ceil(F.col("n") / PIECE)))
-    keyed = work.write(lookup(keyed, many, "key", "n", keyed.count()).select("norm", deal.alias("piece")))
+    total, every = keyed.count(), keyed
+    keyed = work.write(lookup(keyed, many, "key", "n", total).select("norm", deal.alias("piece")))
     # One row of each norm that shares a key brings its set of shingles. The merge hints keep one plan at every size.
     one = rows.groupBy("norm").agg(F.min("no").alias("no")).join(keyed.select("norm").distinct().hint("merge"), "norm").select("no")
     sets = rows.select("no", "norm", "fp", "grams").join(one.hint("merge"), "no")
-    shipped = keyed.join(sets.hint("merge"), "norm").select("piece", "norm", "fp", "grams").repartition("piece").sortWithinPartitions("piece", "norm")
-    found = work.write(shipped.mapInArrow(_similar(similarity, radius), "a long, b long"))
+    compared = lambda dealt: dealt.join(sets.hint("merge"), "norm").select("piece", "norm", "fp", "grams", "root").repartition("piece").sortWithinPartitions("piece", "norm").mapInArrow(_similar(similarity, radius), "a long, b long")
+    found = work.write(compared(keyed.withColumn("root", F.col("norm"))))
+    roots = components(found, work)
+    parted = many.where(F.col("n") > PIECE)
+    if parted.limit(1).count():
+        found = found.unionByName(work.write(compared(_across(lookup(every, parted, "key", "n", total), roots, total, work))))
+        roots = components(found, work)
     for k in (0, 2, 3, 4):  # what the links were found with is not needed any more
         work.drop(first + k)
-    return narrow, components(found, work)
+    return narrow, roots
+
+
+def _across(large: DataFrame, roots: DataFrame, total: int, work: Work) -> DataFrame:
+    """(piece, norm, root): rows (key, norm, n) of keys of several pieces, dealt so that any two of different roots meet in some piece.
+
+    A key's rows of its most frequent root are dealt by themselves, and so are the others; each piece of others meets every
+    piece. A key of one root has no rows. So a row is copied as often as there are pieces it has still to meet.
+    """
+    met = large.join(roots.hint("merge"), large["norm"] == roots["node"], "left").select("key", "norm", "n", F.coalesce("root", "norm").alias("root"))
+    met = work.write(met)
+    sizes = met.groupBy("key", "root", "n").agg(F.count("*").alias("c")).groupBy("key", "n").agg(F.max(F.struct("c", "root")).alias("top"))
+    sizes = work.write(sizes.where(F.col("top.c") < F.col("n")).select("key", "n", F.col("top.root").alias("top"), F.ceil(F.col("top.c") / PIECE).alias("p"), F.ceil((F.col("n") - F.col("top.c")) / PIECE).alias("q")))
+    dealt = lookup(met.drop("n"), sizes, "key", "n", total)
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    mine, most = F.pmod(F.xxhash64("norm", "key"), F.when(F.col("root") == F.col("top"), F.col("p")).otherwise(F.col("q"))), F.lit(True)
+    dealt = dealt.withColumn("i", mine)
+    with_most = F.transform(upto("p"), lambda k: F.struct(F.col("i").alias("x"), most.alias("most"), k.alias("y")))
+    with_others = F.transform(upto("q"), lambda k: F.struct(F.least("i", k).alias("x"), F.lit(False).alias("most"), F.greatest("i", k).alias("y")))
+    of_most = F.transform(upto("q"), lambda k: F.struct(k.alias("x"), most.alias("most"), F.col("i").alias("y")))
+    places = F.when(F.col("root") == F.col("top"), of_most).otherwise(F.concat(with_most, with_others))
+    return dealt.select("key", "norm", "root", F.inline(places)).select(F.xxhash64("key", "x", "most", "y").alias("piece"), "norm", "root")
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -769,3 +769,31 @@ def test_oracles(spark):
 
 def test_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_keys_of_many_pieces_lose_no_link(spark, monkeypatch):
+    """Two near copies that share one large key, dealt into different pieces, were linked in none."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for g in range(60):
+        own = list(base)
+        for at in r.sample(range(300), 14):
+            own[at] = f"g{g}x{at}"
+        for m in range(2):
+            one = list(own)
+            one[r.randrange(300)] = f"m{g}x{m}"
+            texts.append(" ".join(one))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def groups(piece):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        rows, roots = simhash.similar_groups(docs, simhash.Work(spark, "pieces"))
+        got = rows.join(roots, rows["norm"] == roots["node"], "left").selectExpr("doc_id", "coalesce(root, norm) r").collect()
+        of = {}
+        for x in got:
+            of.setdefault(x.r, set()).add(x.doc_id)
+        return sorted(map(sorted, of.values()))
+
+    whole = groups(10_000)
+    assert 2 <= max(map(len, whole)) < len(texts) and groups(3) == whole
