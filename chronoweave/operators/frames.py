@@ -76,9 +76,9 @@ def relative_level(df: DataFrame, keys: list[str], db: str, q: float = 0.95, out
     `long` is for series of more distinct levels than a task can hold: the same quantile, by counting.
     """
     if long:
-        from chronoweave.operators.order import _same, quantile
+        from chronoweave.operators.order import _spread, quantile
 
-        return _same(df, quantile(df, keys, db, q, "_ref"), keys).withColumn(out, F.col(db) - F.col("_ref")).drop("_ref")
+        return _spread(df, quantile(df, keys, db, q, "_ref", "_rows"), keys, "_rows").withColumn(out, F.col(db) - F.col("_ref")).drop("_ref")
     ref = df.groupBy(*keys).agg(F.percentile(db, F.lit(q)).alias("_ref"))
     return df.join(ref, keys).withColumn(out, F.col(db) - F.col("_ref")).drop("_ref")
 

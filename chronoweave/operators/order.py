@@ -14,6 +14,8 @@ ACCURACY = 10_000
 HALF = 10 / ACCURACY
 #: Groups up to this size are their own bracket.
 SMALL = 10_000
+#: Keys that travel to their rows, at most.
+MOST = 4096
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -26,12 +28,30 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(right, on, how).drop(*own)
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
+def _spread(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """_same(left, right, keys) where n of right is a key's rows: the 4,096 largest keys travel to their rows, which aren't shuffled.
+
+    A join by key alone sorts all rows of a key in one task. Of the other keys each has at most 1/4096 of all rows.
+    """
+    if not keys:
+        return _same(left, right, keys).drop(n)
+    own = [f"_key{i}" for i in range(len(keys))]
+    right = right.withColumnsRenamed(dict(zip(keys, own, strict=True)))
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+    large = F.broadcast(right.orderBy(F.desc(n), *own).limit(MOST))
+    hot = left.join(large, on).drop(*own, n)
+    if right.limit(MOST + 1).count() <= MOST:
+        return hot
+    rest = left.join(large.select(*own), on, "left_anti")
+    return hot.unionByName(rest.join(right, on).drop(*own, n))
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile", rows: str | None = None) -> DataFrame:
     """(keys, out): the exact q-quantile of each key's values, between neighbours by their distance, as `percentile` gives it.
 
     `percentile` holds all distinct values of a key in one task. Here a sketch brackets the rank, rows below the bracket are
     counted where they are, and only the bracket's distinct values, 0.0024 of the key at most beside ties, are put in order.
-    NULL and NaN values count for nothing; a key without others has NULL.
+    NULL and NaN values count for nothing; a key without others has NULL. With `rows` a column of that name has the count of values.
     """
     x = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{value}`").cast("double").alias("_x"))
     x = x.withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
@@ -41,7 +61,7 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "q
     low = F.when(whole | F.lit(q <= HALF), F.col("_min")).otherwise(F.col("_e")[0])
     high = F.when(whole | F.lit(q >= 1 - HALF), F.col("_max")).otherwise(F.col("_e")[1])
     ref = ref.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
-    met = _same(x, ref, keys).where(F.col("_x") <= F.col("_high"))
+    met = _spread(x, ref.withColumn("_rows", F.col("_n")), keys, "_rows").where(F.col("_x") <= F.col("_high"))
     # Below the bracket all rows of a key are one group, whose place in the order is first.
     inside = F.when(F.col("_x") >= F.col("_low"), F.col("_x"))
     counts = met.groupBy(*keys, "_n", inside.alias("_v")).agg(F.count("*").alias("_c"))
@@ -54,7 +74,8 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "q
     share = at - F.floor(at)
     exact = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((1 - share) * F.col("_a") + share * F.col("_b"))
     found = found.select(*keys, exact.alias(out))
-    return _same(ref.select(*keys), found.select(*keys, out), keys, "left")
+    own = [F.col("_n").alias(rows)] if rows else []
+    return _same(ref.select(*keys, *own), found.select(*keys, out), keys, "left")
 
 
 def ranges(df: DataFrame, keys: list[str], value: str, parts: int, out: str = "_part") -> DataFrame:

@@ -522,3 +522,13 @@ def test_purity(spark):
     rows = [("a", 0, 0.9), ("a", 1, 0.2), ("b", 0, 0.5), ("b", 1, None), ("c", 0, 0.5), ("d", 0, 0.1), ("d", 1, 0.2), ("d", 2, 0.3)]
     got = {r.k: r.purity for r in me.purity(spark.createDataFrame(rows, "k string, stem int, low_share double"), ["k"]).collect()}
     assert abs(got.pop("a") - 0.7) < 1e-12 and got == {"b": None, "c": None, "d": None}
+
+
+def test_large_keys_travel_to_their_rows(spark, monkeypatch):
+    """A quantile joined by key alone had all rows of a key sorted by one task."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") % 977).cast("double").alias("x"))
+    rel = lambda: frames.relative_level(df, ["k"], "x", 0.9, "rel", long=True)
+    assert rel()._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
+    want = sorted(map(str, rel().collect()))
+    monkeypatch.setattr(order, "MOST", 1)
+    assert sorted(map(str, rel().collect())) == want and len(want) == 3000
