@@ -101,14 +101,15 @@ class _Solver:
 
     def runner_up(self) -> float | None:
         """Greatest total of a plan that lacks one of these pairs: each is forbidden in turn and its row paired anew."""
-        best, state = None, (self.cost, self.u, self.v, self.of_row, self.of_col)
+        best, state = None, (self.u, self.v, self.of_row, self.of_col)
         for r, c in self.pairs():
-            self.cost, self.u, self.v, self.of_row, self.of_col = (x.copy() for x in state)
-            self.cost[r, c] = np.inf
+            self.u, self.v, self.of_row, self.of_col = (x.copy() for x in state)
+            cost, self.cost[r, c] = self.cost[r, c], np.inf
             self.of_row[r] = self.of_col[c] = -1
             if self.augment(r):
                 best = self.total() if best is None else max(best, self.total())
-        self.cost, self.u, self.v, self.of_row, self.of_col = state
+            self.cost[r, c] = cost
+        self.u, self.v, self.of_row, self.of_col = state
         return best
 
 
@@ -154,6 +155,20 @@ def assign(scores: DataFrame, keys: list[str], row: str, col: str, score: str) -
     return packed.mapInArrow(run, f"{fields}{', ' if keys else ''}plan array<{kind}>, total double, margin double")
 
 
+def best_rows(scores: DataFrame, keys: list[str], row: str, col: str, score: str) -> DataFrame:
+    """The scores that the best plan and the next can hold, for keys of many rows and few columns; of m columns each keeps m + 1.
+
+    A column that is paired with a row beyond its best m can take one of these instead that no other column has, of ties an
+    earlier row; one more is needed where a pair is forbidden. So `assign` gives the same pairs, total and margin, while a
+    matrix has m * (m + 1) rows at most. Rows left out aren't in its plan.
+    """
+    x = F.col(score).cast("double")
+    known = scores.select(*keys, row, col, F.when(~F.isnan(x), x).alias(score))
+    m = known.select(*keys, col).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    best = Window.partitionBy(*keys, col).orderBy(F.desc_nulls_last(score), row)
+    return known.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= m + 1).drop("_k")
+
+
 def shift_scores(left: DataFrame, right: DataFrame, index: str, row: str, col: str, a: str, b: str, n: int) -> DataFrame:
     """(lag, row, col, score) for every common circular lag of the left side, 0 included.
 

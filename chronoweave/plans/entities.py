@@ -151,7 +151,7 @@ SELECT x.nation AS c_nationkey, replace(x.plan, '~', '-') AS plan, x.total::DOUB
 def assign_vectors(s, d):
     """T4-T6 on larger matrices: the vectors of a batch, by id modulo 50, each claim a dimension of its own."""
     v = _vectors(s, d).select((F.col("vec_id") % 50).alias("batch"), "vec_id", F.posexplode("v").alias("dim", "x"))
-    return mt.assign(v, ["batch"], "vec_id", "dim", "x").select("batch", F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"))
+    return mt.assign(mt.best_rows(v, ["batch"], "vec_id", "dim", "x"), ["batch"], "vec_id", "dim", "x").select("batch", F.array_join("plan", ",").alias("plan"), r6("total").alias("total"), r6("margin").alias("margin"))
 
 
 def auc_rank(s, d):
@@ -273,10 +273,8 @@ SELECT c_custkey, CASE WHEN v IS NOT NULL AND count(v) OVER (PARTITION BY c_mkts
 
 def bootstrap_ci(s, d):
     rows = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("g"), "n_chars")
-    n = rows.groupBy("g").agg(F.count("*").alias("_n"))
-    draws = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))))
-    draws = draws.select("rep", "g", F.pmod((F.col("rep") * 7919 + F.col("k") * 104729 + 12345) * 1103 % 2147483647, F.col("_n")).cast("int").alias("i"))
-    return me.bootstrap_difference(rows, "g", "n_chars", draws).select(r6("low", 4).alias("low"), r6("high", 4).alias("high"))
+    draw = lambda rep, k, n: (rep * 7919 + k * 104729 + 12345) * 1103 % 2147483647 % n
+    return me.bootstrap_difference(rows, "g", "n_chars", 2000, draw, PARTS).select(r6("low", 4).alias("low"), r6("high", 4).alias("high"))
 
 
 BOOTSTRAP = """

@@ -532,3 +532,14 @@ def test_large_keys_travel_to_their_rows(spark, monkeypatch):
     want = sorted(map(str, rel().collect()))
     monkeypatch.setattr(order, "MOST", 1)
     assert sorted(map(str, rel().collect())) == want and len(want) == 3000
+
+
+def test_resamples_by_tiles(spark, monkeypatch):
+    """Draws are made where the values are, tile by tile: no row a draw."""
+    monkeypatch.setattr(metrics, "TILE", 7)
+    rows = [(k, k % 3 == 0, None if k == 5 else k * k % 101) for k in range(60)]
+    draw = lambda rep, k, n: (rep * 31 + k * 17 + 5) % n
+    got = metrics.bootstrap_difference(spark.createDataFrame(rows, "key long, g boolean, x long"), "g", "x", 40, draw).first()
+    of = {g: [np.nan if x is None else x for _, f, x in rows if f == g] for g in (True, False)}
+    d = [np.subtract(*[np.nanmean(np.array(of[g], float)[draw(rep, np.arange(len(of[g])), len(of[g]))]) for g in (True, False)]) for rep in range(40)]
+    assert np.allclose([got.low, got.high], np.quantile(d, [0.025, 0.975]))
