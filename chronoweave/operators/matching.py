@@ -40,7 +40,14 @@ class _Solver:
         self.cost[: self.shape[0], : self.shape[1]] = np.where(np.isnan(score), np.inf, -score)
         self.u, self.v = np.zeros(n), np.zeros(n)
         self.of_row, self.of_col = np.full(n, -1), np.full(n, -1)
+        # The smaller side first: what is left pairs with zeros in one step. A transposed matrix has its potentials swapped.
+        turn = self.shape[0] > self.shape[1]
+        if turn:
+            self.cost = np.ascontiguousarray(self.cost.T)
         self.complete = all(self.augment(i) for i in range(n))
+        if turn:
+            self.cost = np.ascontiguousarray(self.cost.T)
+            self.u, self.v, self.of_row, self.of_col = self.v, self.u, self.of_col, self.of_row
 
     def augment(self, row: int) -> bool:
         """Pairs one more row along the shortest path of alternating pairs; False if there is none."""

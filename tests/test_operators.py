@@ -543,3 +543,13 @@ def test_resamples_by_tiles(spark, monkeypatch):
     of = {g: [np.nan if x is None else x for _, f, x in rows if f == g] for g in (True, False)}
     d = [np.subtract(*[np.nanmean(np.array(of[g], float)[draw(rep, np.arange(len(of[g])), len(of[g]))]) for g in (True, False)]) for rep in range(40)]
     assert np.allclose([got.low, got.high], np.quantile(d, [0.025, 0.975]))
+
+
+def test_best_rows_keep_the_plan(spark):
+    """Of many rows and few columns, with ties and NULLs, the rows kept give the pairs, total and margin of all rows."""
+    r = np.random.default_rng(4)
+    rows = [(k, i, c, None if r.random() < 0.1 else float(r.integers(0, 12))) for k in range(6) for i in range(2 + 8 * k) for c in range(3)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, s double")
+    plans = lambda d: {x.k: ([c for c in x.plan if c is not None], x.total, x.margin) for x in matching.assign(d, ["k"], "r", "c", "s").collect()}
+    few = matching.best_rows(df, ["k"], "r", "c", "s")
+    assert plans(few) == plans(df) and few.groupBy("k").agg(F.count_distinct("r").alias("n")).agg(F.max("n")).first()[0] <= 12
