@@ -59,8 +59,11 @@ class _Solver:
             reach = low + self.cost[at] - self.u[at] - self.v
             nearer = ~done & (reach < dist)
             dist[nearer], back[nearer] = reach[nearer], at
-            col = int(np.argmin(np.where(done, np.inf, dist)))
+            left = np.where(done, np.inf, dist)
+            col = int(np.argmin(left))
             low = dist[col]
+            free = np.flatnonzero((left == low) & (self.of_col < 0))  # of columns as near a free one, which ends the path
+            col = int(free[0]) if len(free) else col
             if done[col] or np.isinf(low):
                 return False
             done[col] = True
