@@ -38,9 +38,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v over its length; NULL for a zero vector."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    """v over its length; NULL for a zero vector. The length is held in an array, else each element would work it out anew."""
+    over = lambda norm: F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    return F.transform(F.array(F.sqrt(dot(v, v))), over)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
