@@ -30,96 +30,166 @@ def correlation_matrix(left: DataFrame, right: DataFrame, keys: list[str], index
 class _Solver:
     """Best one-to-one plan of a matrix by shortest augmenting paths.
 
-    The matrix is made square with pairs of score 0, which stand for "not paired". Absent pairs (NaN) can't be taken.
+    Each of the smaller side (few) is paired. Those of the larger side (many) that are left over stand for pairs of score 0 with
+    rows or columns that don't exist; these are all alike, so one more node stands for them all and the matrix isn't made square.
+    Absent pairs (NaN) can't be taken.
     """
 
     def __init__(self, score: np.ndarray):
-        self.shape = score.shape
-        n = max(self.shape)
-        self.cost = np.zeros((n, n))
-        self.cost[: self.shape[0], : self.shape[1]] = np.where(np.isnan(score), np.inf, -score)
-        self.u, self.v = np.zeros(n), np.zeros(n)
-        self.of_row, self.of_col = np.full(n, -1), np.full(n, -1)
-        # The smaller side first: what is left pairs with zeros in one step. A transposed matrix has its potentials swapped.
-        turn = self.shape[0] > self.shape[1]
-        if turn:
-            self.cost = np.ascontiguousarray(self.cost.T)
-        self.complete = all(self.augment(i) for i in range(n))
-        if turn:
-            self.cost = np.ascontiguousarray(self.cost.T)
-            self.u, self.v, self.of_row, self.of_col = self.v, self.u, self.of_col, self.of_row
-
-    def augment(self, row: int) -> bool:
-        """Pairs one more row along the shortest path of alternating pairs; False if there is none."""
-        n = len(self.u)
+        self.shape, self.turn = score.shape, score.shape[0] > score.shape[1]
+        side = score.T if self.turn else score
+        self.pay = np.ascontiguousarray(np.where(np.isnan(side), np.inf, -side))
+        m, n = self.pay.shape
+        self.few, self.many = np.zeros(m), np.zeros(n)
+        self.of_few, self.of_many = np.full(m, -1), np.full(n, -1)
+        self.complete = all(self.augment(i) for i in range(m))
+
+    def augment(self, one: int) -> bool:
+        """Pairs one more of the few along the shortest path of alternating pairs; False if there is none."""
+        n = len(self.many)
         dist, back, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-        low, at, seen = 0.0, row, []
+        low, at, seen = 0.0, one, []
         while True:
             seen.append(at)
-            reach = low + self.cost[at] - self.u[at] - self.v
+            reach = low + self.pay[at] - self.few[at] - self.many
             nearer = ~done & (reach < dist)
             dist[nearer], back[nearer] = reach[nearer], at
             left = np.where(done, np.inf, dist)
-            col = int(np.argmin(left))
-            low = dist[col]
-            free = np.flatnonzero((left == low) & (self.of_col < 0))  # of columns as near a free one, which ends the path
-            col = int(free[0]) if len(free) else col
-            if done[col] or np.isinf(low):
+            to = int(np.argmin(left))
+            low = dist[to]
+            free = np.flatnonzero((left == low) & (self.of_many < 0))  # of those as near a free one, which ends the path
+            to = int(free[0]) if len(free) else to
+            if done[to] or np.isinf(low):
                 return False
-            done[col] = True
-            if self.of_col[col] < 0:
+            done[to] = True
+            if self.of_many[to] < 0:
                 break
-            at = self.of_col[col]
+            at = self.of_many[to]
         for r in seen:
-            self.u[r] += low - (dist[self.of_row[r]] if r != row else 0.0)
-        self.v[done] -= low - dist[done]
+            self.few[r] += low - (dist[self.of_few[r]] if r != one else 0.0)
+        self.many[done] -= low - dist[done]
         while True:
-            r = back[col]
-            self.of_col[col] = r
-            self.of_row[r], col = col, self.of_row[r]
-            if r == row:
+            r = back[to]
+            self.of_many[to] = r
+            self.of_few[r], to = to, self.of_few[r]
+            if r == one:
                 return True
 
+    def _square(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Costs, potentials of rows and columns, and the column of each row, of the square with the pairs of score 0."""
+        m, n = self.pay.shape
+        fill = np.zeros(n - m)
+        cost, few = np.concatenate((self.pay, np.zeros((n - m, n)))), np.concatenate((self.few, fill))
+        of_few = np.concatenate((self.of_few, np.flatnonzero(self.of_many < 0)))
+        return (cost.T, self.many, few, np.argsort(of_few)) if self.turn else (cost, few, self.many, of_few)
+
+    cost, u, v, of_row = (property(lambda self, k=k: self._square()[k]) for k in range(4))
+
     def first_of_ties(self) -> None:
         """Moves to the lexicographically first of the best plans: row by row the least column whose pair costs nothing more."""
         rows, cols = self.shape
-        slack = self.cost - self.u[:, None] - self.v
-        tight = slack <= 1e-12 * max(1.0, float(np.abs(self.cost[np.isfinite(self.cost)]).max(initial=0.0)))
+        n = len(self.many)
+        near = 1e-12 * max(1.0, float(np.abs(self.pay[np.isfinite(self.pay)]).max(initial=0.0)))
+        # With the node of those left over as the last row or column
+        tight = np.zeros((len(self.few) + 1, n), bool)
+        tight[:-1] = self.pay - self.few[:, None] - self.many <= near
+        tight[-1] = -self.many <= near if len(self.few) < n else False
+        of_many = np.where(self.of_many < 0, len(self.few), self.of_many)
+        of_few = np.append(self.of_few, -1)
+        if self.turn:
+            tight, of_row, of_col = np.ascontiguousarray(tight.T), of_many, of_few
+        else:
+            of_row, of_col = of_few, of_many
         for r in range(rows):
-            for c in np.flatnonzero(tight[r]):
-                if c == self.of_row[r] or c >= cols and self.of_row[r] >= cols:
-                    break
-                other, mine = self.of_col[c], self.of_row[r]
-                if other > r and self._reroute(other, mine, tight, {int(c)}, r):
-                    self.of_row[r], self.of_col[c] = c, r
-                    break
-
-    def _reroute(self, row: int, free: int, tight: np.ndarray, tried: set[int], fixed: int) -> bool:
-        for c in np.flatnonzero(tight[row]):
-            if c not in tried:
-                tried.add(int(c))
-                if c == free or self.of_col[c] > fixed and self._reroute(self.of_col[c], free, tight, tried, fixed):
-                    self.of_row[row], self.of_col[c] = c, row
-                    return True
-        return False
+            mine = of_row[r]
+            wish = np.flatnonzero(tight[r, : min(mine, cols)])
+            wish = wish[of_col[wish] > r]
+            if len(wish):
+                self._reroute(tight, of_row, of_col, r, wish)
+        few, many = (of_col, of_row) if self.turn else (of_row, of_col)
+        self.of_few, self.of_many = few[: len(self.few)].copy(), np.where(many[:n] == len(self.few), -1, many[:n])
+
+    def _reroute(self, tight: np.ndarray, of_row: np.ndarray, of_col: np.ndarray, r: int, wish: np.ndarray) -> None:
+        """Gives row r the first column of `wish` whose row, and those moved by it, can end in the column that r gives up. Rows before r stay.
+
+        The rows that can are found from that column backwards, in steps that are one look at the table each.
+        """
+        mine = int(of_row[r])
+        takes, gives = np.full(len(of_row), -1), np.full(tight.shape[1], -1)  # the column a row would move to; the row that gives a column up
+        gives[mine] = r
+        waits, ends = np.arange(len(of_row)) > r, np.array([mine])
+        while len(ends) and gives[wish[0]] < 0:
+            meets = tight[:, ends] & waits[:, None]
+            found = np.flatnonzero(meets.any(axis=1))
+            takes[found], waits[found] = ends[np.argmax(meets[found], axis=1)], False
+            own = found[of_row[found] >= 0]
+            held, by = of_row[own], own
+            if len(own) < len(found):  # the node of the columns left over
+                held = np.concatenate((held, np.flatnonzero(of_col == found[-1])))
+                by = np.concatenate((by, np.full(len(held) - len(by), found[-1])))
+            ends, at = np.unique(held[gives[held] < 0], return_index=True)
+            gives[ends] = by[gives[held] < 0][at]
+        able = wish[gives[wish] >= 0]
+        if not len(able):
+            return
+        row, c = r, int(able[0])
+        while True:
+            other = int(gives[c])
+            of_row[row], of_col[c] = c if of_row[row] >= 0 else -1, row
+            if c == mine:
+                return
+            row, c = other, int(takes[other])
 
     def total(self) -> float:
-        return float(sum(-self.cost[r, c] for r, c in self.pairs()))
+        return float(sum(-self._paid(self.of_few)))
+
+    def _paid(self, of_few: np.ndarray) -> np.ndarray:
+        """What each pair costs, in order of rows."""
+        cost = self.pay[np.arange(len(of_few)), of_few]
+        return cost[np.argsort(of_few)] if self.turn else cost
 
     def pairs(self) -> list[tuple[int, int]]:
-        return [(r, int(self.of_row[r])) for r in range(self.shape[0]) if self.of_row[r] < self.shape[1]]
+        at = [(int(c), r) if self.turn else (r, int(c)) for r, c in enumerate(self.of_few)]
+        return sorted(at)
 
     def runner_up(self) -> float | None:
-        """Greatest total of a plan that lacks one of these pairs: each is forbidden in turn and its row paired anew."""
-        best, state = None, (self.u, self.v, self.of_row, self.of_col)
-        for r, c in self.pairs():
-            self.u, self.v, self.of_row, self.of_col = (x.copy() for x in state)
-            cost, self.cost[r, c] = self.cost[r, c], np.inf
-            self.of_row[r] = self.of_col[c] = -1
-            if self.augment(r):
-                best = self.total() if best is None else max(best, self.total())
-            self.cost[r, c] = cost
-        self.u, self.v, self.of_row, self.of_col = state
+        """Greatest total of a plan that lacks one of these pairs: the least round of moves that each of the few can begin.
+
+        A move takes one of the few to the partner of the next, or to one that is left over; that costs what the pair is above
+        the potentials. All rounds are searched at once, from each of the few the nearest first.
+        """
+        m, n = self.pay.shape
+        extra = int(n > m)
+        step = np.full((m + extra, m + extra), np.inf)
+        step[:m, :m] = np.maximum(0.0, self.pay[:, self.of_few] - self.few[:, None] - self.many[self.of_few])
+        left = np.flatnonzero(self.of_many < 0)
+        if extra:
+            beyond = self.pay[:, left] - self.few[:, None] - self.many[left]
+            spare = left[np.argmin(beyond, axis=1)]
+            step[:m, m], step[m, :m] = np.maximum(0.0, beyond.min(axis=1)), np.maximum(0.0, -self.many[self.of_few])
+        np.fill_diagonal(step, np.inf)
+        each = np.arange(m)
+        dist, back, done = step[:m].copy(), np.repeat(each[:, None], m + extra, axis=1), np.zeros((m, m + extra), bool)
+        for _ in range(m + extra):
+            at = np.argmin(np.where(done, np.inf, dist), axis=1)
+            done[each, at] = True
+            reach = dist[each, at][:, None] + step[at]
+            nearer = ~done & (reach < dist)
+            dist, back = np.where(nearer, reach, dist), np.where(nearer, at[:, None], back)
+        least = dist[each, each]
+        if np.isinf(least.min()):
+            return None
+        best = -np.inf
+        for i in np.flatnonzero(least <= least.min() + 1e-9 * max(1.0, float(least.min()))):
+            of_few, at = self.of_few.copy(), int(i)
+            while True:
+                was = int(back[i, at])
+                if was < m:
+                    of_few[was] = spare[was] if at == m else self.of_few[at]
+                at = was
+                if at == i:
+                    break
+            best = max(best, float(sum(-self._paid(of_few))))
         return best
 
 
@@ -149,7 +219,8 @@ def assign(scores: DataFrame, keys: list[str], row: str, col: str, score: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, plans, totals, margins = [], [], [], []
-            for i, cells in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            for i in range(b.num_rows):
+                cells = b.column(b.num_columns - 1)[i].as_py()
                 rows, cols = sorted({x["r"] for x in cells}), sorted({x["c"] for x in cells})
                 row_at, col_at = {r: k for k, r in enumerate(rows)}, {c: k for k, c in enumerate(cols)}
                 m = np.full((len(rows), len(cols)), np.nan)

@@ -344,6 +344,29 @@ def test_assignment_of_large_matrices(spark):
     assert matching.assign(none, ["k"], "r", "c", "s").collect() == [] and matching.assign(none, [], "r", "c", "s").collect() == []
 
 
+@pytest.mark.parametrize("turn", [False, True])
+def test_ties_among_many_left_over(turn):
+    """Row 0 can have either column, row 1 ties with all that are left over; that chain of rows made the square's search recurse too deep."""
+    m = np.zeros((3000, 2))
+    m[:, 0] = m[0, 1] = 1.0
+    plan, total, margin = matching.solve(m.T if turn else m)
+    assert (plan if turn else plan[:2]) == [1, 0] and (total, margin) == (2.0, 0.0) and sum(c is not None for c in plan) == 2
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_assignment_of_long_tied_matrices(turn):
+    """Thousands of rows left over beside tied ones: the first of ties by all plans of each column's best four rows."""
+    r = np.random.default_rng(5)
+    m = np.concatenate((np.zeros((3000, 3)), r.integers(1, 4, (60, 3)).astype(float)))
+    m[::7, 0] = 3.0
+    m[50, 1] = m[2999, 1] = m[3010, 1] = 9.0
+    keep = sorted({int(i) for c in range(3) for i in np.lexsort((np.arange(len(m)), -m[:, c]))[:4]})
+    plans = sorted(((m[p, range(3)].sum(), p) for p in itertools.permutations(keep, 3)), key=lambda x: (-x[0], x[1] if turn else [x[1].index(i) if i in x[1] else 3 for i in keep]))
+    plan, total, margin = matching.solve(m.T if turn else m)
+    assert (plan if turn else [plan.index(c) for c in range(3)]) == list(plans[0][1])
+    assert total == plans[0][0] and margin == plans[0][0] - plans[1][0]
+
+
 def test_backfill_goes_stem_by_stem(spark):
     held = spark.createDataFrame([(1, 0, 9, 0.4)], "clip int, track int, stem int, confidence double")
     scores = spark.createDataFrame([(1, t, s, v) for t, s, v in [(1, 0, 0.5), (2, 0, 0.4), (1, 1, 0.9), (2, 1, 0.8)]], "clip int, track int, stem int, score double")
